@@ -134,4 +134,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0)
     lots = max(1, -(-tokens // LOT_TOKENS))
     # A few lots share a key's hash at random, never by content: copies of a document go apart.
     dealt = cut.withColumn("lot", F.expr(f"pmod(xxhash64(doc_id, start, 97), {lots}L)"))
-    return dealt.groupBy("lot").applyInPandas(partial(_pack_lot, capacity=capacity), PACKED)
+    return dealt.groupBy("lot").applyInPandas(lambda rows: _pack_lot(rows, capacity), PACKED)

@@ -9,7 +9,6 @@ lots are items of the next round, until one lot is left.
 
 from __future__ import annotations
 
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -42,7 +41,7 @@ def packed_items(items: DataFrame, shards: int) -> DataFrame:
     lots = -(-items.count() // LOT_ITEMS) or 1
     dealt = items.withColumn("lot", F.expr(f"pmod(xxhash64(a, b, c), {lots}L)"))
     kind = "a long, b long, c long, lot long, bytes long, tokens long, rows long, bin int"
-    placed = staged(dealt.groupBy("lot").applyInPandas(partial(_pack_lot, shards=shards), kind))
+    placed = staged(dealt.groupBy("lot").applyInPandas(lambda rows: _pack_lot(rows, shards), kind))
     if lots == 1:
         return placed.select("a", "b", "c", F.col("bin").alias("shard"))
     bins = placed.groupBy("lot", "bin").agg(*(F.sum(s).alias(s) for s in _SIZES))

@@ -132,7 +132,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
 
     def blocks(rows: DataFrame, size: int, count: int, known: tuple | None) -> DataFrame:
         dealt = rows.withColumn("block", F.expr(f"pmod(xxhash64(vec_id, 7), {-(-count // size)}L)"))
-        return dealt.groupBy("block").applyInPandas(partial(_pack, width=width, square=square, pivots=pivots, sample=known, k=k), _BLOCK)
+        return dealt.groupBy("block").applyInPandas(lambda rows: _pack(rows, width, square, pivots, known, k), _BLOCK)
 
     q = blocks(queries, QUERIES, asked, held).select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "table", "floor")))
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // CANDIDATES) - 1).cast("long"))))
