@@ -5,9 +5,10 @@ each minimum the low BITS are kept, packed into four longs, and the bit counts o
 estimate their similarity, corrected for minima that agree by chance. What the estimate lets through
 is confirmed on the full sets.
 
-Copies (equal sets) are one node. Groups are never expanded into all pairs: a first pass links each
-node to its best candidate among the groups' picked heads; a second pass compares, within a group,
-only nodes that the links so far leave in different components, each against those outside its own.
+Copies (equal sets) are one node. Groups are never expanded into all pairs: each node is first held
+against its groups' picked heads only, which makes few components of many nodes; a last pass
+compares, within a group, only nodes that are still in different components, each outside the
+group's main one against those outside its own.
 """
 
 from __future__ import annotations
@@ -113,6 +114,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(f"100L * both >= {percent}L * (na + nb - both)").select("a", "b").distinct()
 
 
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those links (a, b) that lead from one component to another, with both components as lo and hi."""
+    left, right = labels.select(F.col("doc_id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("doc_id").alias("b"), F.col("c").alias("cb"))
+    met = links.join(left, "a").join(right, "b").where("ca <> cb")
+    return met.withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")}).drop("ca", "cb")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (doc_id, c) after the components that `links` (a, b) join have become one.
+
+    Only one link between two components goes into the search for larger ones.
+    """
+    up = components(_between(links, labels).select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct())
+    return staged(labels.join(up.withColumnRenamed("id", "c"), "c", "left").select("doc_id", F.coalesce("component", "c").alias("c")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs` (doc_id, text).
 
@@ -136,21 +153,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     star = members.where("doc_id <> head").select("doc_id", "head").distinct()
     scored = star.alias("e").join(signs.alias("a"), F.expr("e.doc_id = a.doc_id")).join(signs.alias("b"), F.expr("e.head = b.doc_id")).where(_plausible("a", "b", percent))
-    best = scored.select(F.col("e.doc_id").alias("a"), F.struct(estimate("a", "b").alias("s"), F.col("e.head").alias("h")).alias("t")).groupBy("a").agg(F.max("t.s").alias("s"), F.max_by("t.h", "t").alias("b"))
-    first = staged(confirmed(best.select("a", "b"), sets, percent))
-
-    found = components(first)
-    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "head", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("head"), F.col("c"))).alias("main")).where("lo < hi").select("key", "main")
+    scored = staged(scored.select(F.col("e.doc_id").alias("a"), F.col("e.head").alias("b"), estimate("a", "b").alias("s")))
+
+    # Links to heads merge nearly all of a large group: each node's best one, then the best between
+    # two components, then all that still lead from one component to another.
+    labels = staged(grouped.select("doc_id", F.col("doc_id").alias("c")))
+    for by in (["a"], ["lo", "hi"], None):
+        open_links = _between(scored, labels)
+        if by:
+            open_links = open_links.groupBy(*by).agg(F.max(F.struct("s", "a", "b")).alias("t")).select("t.a", "t.b")
+        labels = merged(labels, confirmed(open_links.select("a", "b"), sets, percent))
+
+    placed = members.join(labels, "doc_id").select("key", "doc_id", "head", "c")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("doc_id") == F.col("head"), F.col("c"))).alias("main")).where("low < high").select("key", "main")
     open_rows = staged(placed.join(mixed, "key").join(signs, "doc_id").select("key", "doc_id", "c", "main", "n", *_SIGNATURE))
     a, b = open_rows.where("c <> main").alias("a"), open_rows.alias("b")
     apart = F.expr("a.key = b.key and a.c <> b.c and (b.c = b.main or a.doc_id < b.doc_id)")
     rest = a.join(b, apart & _plausible("a", "b", percent)).select(F.expr("least(a.doc_id, b.doc_id)").alias("a"), F.expr("greatest(a.doc_id, b.doc_id)").alias("b")).distinct()
-    links = first.union(confirmed(rest, sets, percent))
+    labels = merged(labels, confirmed(rest, sets, percent))
 
     # Each set's component, carried to all its copies.
-    all_found = components(links)
-    held = nodes.join(all_found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
+    held = nodes.join(labels, "doc_id", "left").select("n", "d1", "d2", F.coalesce("c", "doc_id").alias("component_id"))
     out = base.select("doc_id", "n", "d1", "d2").join(held, ["n", "d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
