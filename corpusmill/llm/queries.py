@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, packing, sharding, sql, topk
+from corpusmill.llm import bpe, chat, packing, rules, sharding, sql, topk
 from corpusmill.llm.neardup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +42,25 @@ def op6_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat.digests(chat.format_turns(turns.unionByName(more)))
+
+
+def op10_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_vector_bin_sharding": op2_vector_bin_sharding,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pivot_top_k": op4_pivot_top_k,
     "op6_differencing_packing": op6_differencing_packing,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_robust_quality_rules": op10_robust_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": sql.NEAR_DUPLICATES,
