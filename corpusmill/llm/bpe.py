@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -103,7 +104,7 @@ def merge(word: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
 def encoder(path: str) -> Encoder:
     ranks = vocabulary(path)
     queue = RankQueue(max(ranks.values()) + 1)
-    return Encoder(lambda words: [merge(w.encode(), ranks, queue) for w in words])
+    return Encoder(lambda words: [array("I", merge(w.encode(), ranks, queue)).tobytes() for w in words])
 
 
 @cache

@@ -9,6 +9,7 @@ longest exceeds the capacity, the number of windows rises.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from functools import cache, partial
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.pretokens import Encoder
 from corpusmill.plans.staging import staged
 
-CAPACITY, PART, LOT_TOKENS = 1024, 256, 1 << 17
+#: SLACK is the share of padding below which differencing is not tried.
+CAPACITY, PART, LOT_TOKENS, SLACK = 1024, 256, 1 << 17, 0.005
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = _PIECES + ", sequence_id long, offset long"
 
@@ -33,7 +35,21 @@ def encoder(path: str) -> Encoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings are ordinary text
-    return Encoder(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    border = ids_of("\n")[0]
+
+    def encode(words: list[str]) -> list[bytes]:
+        """Words of letters, perhaps after a blank, go to the library as lines of one text: a line's end is a token of its own there."""
+        plain = [w.isalpha() or w[0] == " " and w[1:].isalpha() for w in words]
+        ids = ids_of("\n".join(w for w, x in zip(words, plain, strict=True) if x))
+        data, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == border)).tolist(), 4 * len(ids)]
+        lines = (data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True))
+        return [next(lines) if x else ids_of(w).tobytes() for w, x in zip(words, plain, strict=True)]
+
+    return Encoder(encode)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -63,10 +79,8 @@ def differenced(sizes: np.ndarray, windows: int) -> np.ndarray:
     n = len(sizes)
     if windows <= 1:
         return np.zeros(n, np.int64)
-    parents = np.full(2 * n * 1, -1, np.int64)
     joins: list[tuple[np.ndarray, np.ndarray]] = []
-    count = n
-    heap = []
+    count, heap = n, []
     for i, size in enumerate(sizes.tolist()):
         sums, nodes = np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
         sums[0], nodes[0] = size, i
@@ -75,18 +89,17 @@ def differenced(sizes: np.ndarray, windows: int) -> np.ndarray:
     while len(heap) > 1:
         _, _, a, na = heapq.heappop(heap)
         _, tie, b, nb = heap[0]
-        b, nb = b[::-1], nb[::-1]
-        sums = a + b
-        both = np.flatnonzero((na >= 0) & (nb >= 0))
-        nodes = np.maximum(na, nb)
-        if len(both):
-            made = np.arange(count, count + len(both))
+        nb = nb[::-1]
+        sums, nodes = a + b[::-1], np.maximum(na, nb)
+        both = np.flatnonzero(np.minimum(na, nb) >= 0)
+        if both.size:
             joins.append((na[both], nb[both]))
-            nodes[both] = made
-            count += len(both)
-        order = np.argsort(-sums, kind="stable")
+            nodes[both] = np.arange(count, count + both.size)
+            count += both.size
+        order = sums.argsort()[::-1]
         sums = sums[order]
-        heapq.heapreplace(heap, (int(sums[-1] - sums[0]), tie, sums - sums[-1], nodes[order]))
+        sums -= sums[-1]
+        heapq.heapreplace(heap, (-int(sums[0]), tie, sums, nodes[order]))
     # From the last partition's windows down to the pieces that were joined into them.
     parents = np.full(count, -1, np.int64)
     final = heap[0][3]
@@ -100,7 +113,7 @@ def differenced(sizes: np.ndarray, windows: int) -> np.ndarray:
 
 def windows_of(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """A window for each size, none above capacity; as few windows as differencing can fill."""
-    windows = -(-int(sizes.sum()) // capacity)
+    windows = math.ceil(int(sizes.sum()) / (capacity * (1 - SLACK)))
     while True:
         window = differenced(sizes, windows)
         if np.bincount(window, sizes).max(initial=0) <= capacity:

@@ -17,7 +17,7 @@ import numpy as np
 from corpusmill.llm.words import chunks, prefix_hash, span_hash
 
 #: Characters split in one go, and the most words a worker remembers.
-CHUNK, REMEMBERED = 1 << 20, 400_000
+CHUNK, REMEMBERED = 1 << 21, 250_000
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 # The characters with the Unicode property White_Space.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -96,19 +96,29 @@ def gather(flat: np.ndarray, offset: np.ndarray, size: np.ndarray, which: np.nda
 
 
 class Encoder:
-    """Ids of whole texts, word by word; `encode` gives the ids of words not met before."""
+    """Ids of whole texts, word by word.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode, self.known = encode, dict[str, bytes]()
+    `encode` gives the ids of words not met before, each as the bytes of unsigned 32-bit numbers.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode = encode
+        self.young, self.old = dict[str, bytes](), dict[str, bytes]()
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as the bytes of unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found = list(map(self.known.get, words))
-        new = [k for k, x in enumerate(found) if x is None]
+        # Words met again move to the young generation; those that are not go with the old one.
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, words))
+        absent = [k for k, x in enumerate(found) if x is None]
+        new = []
+        for k in absent:
+            if (ids := self.old.get(words[k])) is None:
+                new.append(k)
+            else:
+                found[k] = self.young[words[k]] = ids
         for k, ids in zip(new, self.encode([words[k] for k in new]), strict=True):
-            found[k] = self.known[words[k]] = np.array(ids, np.uint32).tobytes()
+            found[k] = self.young[words[k]] = ids
         return found
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
