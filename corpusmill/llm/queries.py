@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat, packing, rules, sharding, sql, topk
+from corpusmill.llm import bpe, chat, gam, packing, rules, sharding, sql, topk, toxicity
 from corpusmill.llm.neardup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,18 @@ def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
 
 
+def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -58,7 +66,9 @@ QUERIES: dict[str, Query] = {
     "op2_vector_bin_sharding": op2_vector_bin_sharding,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_pivot_top_k": op4_pivot_top_k,
+    "op5_additive_quality": op5_additive_quality,
     "op6_differencing_packing": op6_differencing_packing,
+    "op8_toxicity_chain": op8_toxicity_chain,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_robust_quality_rules": op10_robust_quality_rules,
 }
