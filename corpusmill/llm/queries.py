@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat, gam, packing, rules, sharding, sql, topk, toxicity
+from corpusmill.llm import bpe, chat, gam, packing, rules, sharding, sql, suffixes, topk, toxicity
 from corpusmill.llm.neardup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op6_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op4_pivot_top_k": op4_pivot_top_k,
     "op5_additive_quality": op5_additive_quality,
     "op6_differencing_packing": op6_differencing_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_robust_quality_rules": op10_robust_quality_rules,
