@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm.words import _BYTE, as_bytes, chunks, mix, prefix_hash, span_hash
 from corpusmill.plans.staging import staged
@@ -234,7 +235,7 @@ def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"d": ids[row], "th": hashes[row], "pos": pos.astype(np.int32), "size": size.astype(np.int32), "open": open_, "bucket": rows["bucket"].iloc[0]})
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text, found in zip(as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True):
@@ -244,10 +245,11 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(start.tolist(), end.tolist(), strict=True):
                 kept.append(text[at:a])
                 at = b
-            rows.append((int((end - start).sum()), len(start), b"".join([*kept, text[at:]])))
-        kinds = (pa.int64(), pa.int64(), pa.binary())
+            rest = b"".join([*kept, text[at:]])
+            rows.append((int((end - start).sum()), len(start), rest.decode(errors="ignore") if as_text else rest))
+        kinds = (pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("th"), *columns], ["d", "th", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("carried"), *columns], ["d", "carried", "n_removed", "n_spans", "kept"])
 
 
 def _by_row(spans: DataFrame, *more: str) -> DataFrame:
@@ -259,15 +261,16 @@ def _keyed(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_LARGEST))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of `docs` (doc_id, text).
+def without_repeats(docs: DataFrame, carry: list[Column | str] | None = None, as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, carried) of every row of `docs` (doc_id, text).
 
     Every byte of a text's UTF-8 that lies in a string of WINDOW bytes which also occurs in a document
-    with a smaller doc_id is removed; kept is the rest, as bytes. Repeats within a document stay, as
+    with a smaller doc_id is removed; kept is the rest, as bytes, or, with
+    `as_text`, as text without characters that lost a byte. Repeats within a document stay, as
     do those of rows with the same doc_id. A null text is empty; a null doc_id counts as the largest.
-    Other columns are ignored; no rows give none.
+    carried is a struct of the columns named in `carry`; other columns are ignored; no rows give none.
     """
-    texts = docs.select(_keyed(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.struct(*carry).alias("carried") if carry else F.struct(F.lit(0).alias("none")).alias("carried"), _keyed(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     first = texts.mapInArrow(partial(_map_runs, buckets=buckets), _PACKED)
@@ -275,6 +278,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     further = texts.join(_by_row(found.where("open"), "bucket"), ["d", "th"], "left").where("found is not null").mapInArrow(_cut_runs, "bucket int, d long, th long, pos int, data binary")
     second = further.groupBy("bucket").applyInPandas(lambda rows: _sort_windows(rows), "d long, th long, pos int, size int")
     gone = found.where("not open").select("d", "th", "pos", "size").unionByName(second)
-    out = texts.join(_by_row(gone), ["d", "th"], "left").mapInArrow(_apply, "d long, th long, n_removed long, n_spans long, kept binary")
+    kind = T.StructType.fromDDL(f"d long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").add(texts.schema["carried"])
+    kind = T.StructType([kind["d"], kind["carried"], kind["n_removed"], kind["n_spans"], kind["kept"]])
+    out = texts.join(_by_row(gone), ["d", "th"], "left").mapInArrow(partial(_apply, as_text=as_text), kind)
     doc_id = F.when(F.col("d") != _LARGEST, F.col("d")).alias("doc_id")
-    return out.select(doc_id, (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept")
+    return out.select(doc_id, (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept", "carried")

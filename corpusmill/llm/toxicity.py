@@ -173,3 +173,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None =
     chain = fit(*training_rows(docs if learn_from is None else learn_from, labels, "toxic"))
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_score, chain=chain), SCORED)
     return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+def _pass(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        clean = np.ones(batch.num_rows, bool)
+        for lo, hi, keys, rows in _in_chunks(as_bytes(batch.column("text"))):
+            hit, present = _known(chain.features, keys)
+            clean[lo:hi] = chain.probabilities(present, rows[hit], hi - lo)[:, -1] < 0.5
+        yield batch.filter(pa.array(clean))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` with all their columns, without those that `toxicity` finds toxic."""
+    chain = fit(*training_rows(docs if learn_from is None else learn_from, labels, "toxic"))
+    return docs.mapInArrow(partial(_pass, chain=chain), docs.schema)
