@@ -1,17 +1,67 @@
-"""The corpus pipeline: stages of the training-data operators, each over what the one before kept."""
+"""The corpus pipeline: five training-data operators, each over all that the one before kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
-#: A trained classifier and numpy stages have no SQL form; tests hold the stages against brute force.
+from corpusmill.llm import packing, rules, suffixes, toxicity
+from corpusmill.llm.neardup import near_duplicates
+from corpusmill.llm.queries import TOKENIZER, table
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a key of id and text: rows with the same key get the same decision."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text", F.isnull("doc_id"), F.isnull("text")))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on the labelled documents, doesn't find toxic."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and aren't outliers of their language and source."""
+    kept = rules.judged(_keyed(docs).drop("doc_id").withColumnRenamed("_row", "doc_id")).where("kept").select(F.col("doc_id").alias("_row"))
+    return _keyed(docs).join(kept, "_row", "left_semi").drop("_row")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    kept = near_duplicates(docs).where("kept").select("doc_id")
+    # Rows that share a null id are no copies of one another.
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.where("doc_id is null"))
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of an earlier document; a character that loses a byte goes; n_chars follows."""
+    rest = [c for c in docs.columns if c != "text"]
+    found = suffixes.without_repeats(docs, [*rest, F.isnull("text").alias("_null")], as_text=True)
+    texts = found.select(*(F.col(f"carried.{c}") for c in rest), F.when(~F.col("carried._null"), F.col("kept")).alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the packed sequences."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality rules", quality_stage),
+    ("near dedup", near_dedup_stage),
+    ("suffix dedup", suffix_dedup_stage),
+    ("packing", packing_stage),
+]
+#: A trained classifier, robust estimates and library tokens have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
