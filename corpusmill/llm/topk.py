@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Pivots; candidates from which pivots and first thresholds are taken; vectors in a block; evaluated at a time.
-PIVOTS, SAMPLE, CANDIDATES, QUERIES, STEP = 64, 2048, 2048, 512, 128
+PIVOTS, SAMPLE, CANDIDATES, QUERIES, STEP = 32, 2048, 2048, 512, 512
 _BLOCK = "block long, ids binary, vectors binary, table binary, floor binary"
 
 
@@ -37,12 +37,10 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows: in floating point where no sum can leave its exact range."""
+def exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Integer rows in the kind of number in which their inner products are exact: floating point where no sum leaves its exact range."""
     most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return (a.astype(np.float64), b.astype(np.float64)) if most < 1 << 53 else (a, b)
 
 
 def pivots_of(sample: np.ndarray, square: int) -> np.ndarray:
@@ -67,29 +65,33 @@ def _pack(rows: pd.DataFrame, width: int, square: int, pivots: np.ndarray, sampl
     apart = (points**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * points @ pivots.T
     floor = np.full(len(ids), np.iinfo(np.int64).min)
     if sample and len(sample[0]):
-        scores = products(vectors, sample[1])
+        a, b = exact(vectors, sample[1])
+        scores = (a @ b.T).astype(np.int64)
         scores[ids[:, None] == sample[0][None, :]] = np.iinfo(np.int64).min
         if scores.shape[1] >= k:
             floor = np.partition(scores, -k, axis=1)[:, -k]
-    data = (ids, vectors, np.sqrt(np.maximum(apart, 0)), floor)
+    data = (ids, vectors, np.sqrt(np.maximum(apart, 0)).astype(np.float32), floor)
     return pd.DataFrame([[rows["block"].iloc[0], *(x.tobytes() for x in data)]], columns=["block", "ids", "vectors", "table", "floor"])
 
 
-def best(query: np.ndarray, own: int, floor: int, ids: np.ndarray, vectors: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best(query: np.ndarray, floor: int, ids: np.ndarray, vectors: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k best candidates for one query; `most` has the highest possible score of each."""
-    open_ = np.flatnonzero((most >= floor) & (ids != own))
-    order = open_[np.argsort(-most[open_], kind="stable")]
+    order = np.argsort(-most)
+    ceiling = most[order]
     found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for at in range(0, len(order), STEP):
-        if len(scores) >= k and most[order[at]] < scores[k - 1]:
+        if ceiling[at] < floor:
             break
         step = order[at : at + STEP]
-        got = products(vectors[step], query[None, :])[:, 0]
-        found, scores = np.append(found, ids[step]), np.append(scores, got)
-        keep = np.lexsort((found, -scores))[:k]
-        found, scores = found[keep], scores[keep]
-    good = scores >= floor
-    return found[good], scores[good]
+        got = vectors[step] @ query
+        good = np.flatnonzero(got >= floor)
+        if len(good):
+            found, scores = np.append(found, ids[step[good]]), np.append(scores, got[good].astype(np.int64))
+            keep = np.lexsort((found, -scores))[:k]
+            found, scores = found[keep], scores[keep]
+            if len(scores) == k:
+                floor = max(floor, int(scores[-1]))
+    return found, scores
 
 
 def _search(batches: Iterator[pa.RecordBatch], width: int, square: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -97,15 +99,19 @@ def _search(batches: Iterator[pa.RecordBatch], width: int, square: int, k: int)
         for row in batch.to_pylist():
             of = lambda name, kind: np.frombuffer(row[name], kind)
             ids, queries = of("ids", np.int64), of("q_ids", np.int64)
-            vectors, asked = of("vectors", np.int64).reshape(-1, width), of("q_vectors", np.int64).reshape(-1, width)
-            table, q_table = of("table", np.float64).reshape(len(ids), -1), of("q_table", np.float64).reshape(len(queries), -1)
-            by_pivot, out = np.ascontiguousarray(table.T), []
-            for i, own in enumerate(queries.tolist()):
-                bound = np.abs(by_pivot - q_table[i][:, None]).max(axis=0, initial=0)
-                reach = float((asked[i].astype(np.float64) ** 2).sum()) + square
-                # Half a unit more than rounding can take away; scores are whole numbers.
-                most = (reach - bound**2) / 2 + 0.5 + 1e-9 * reach
-                found, scores = best(asked[i], own, int(of("q_floor", np.int64)[i]), ids, vectors, most, k)
+            vectors, asked = exact(of("vectors", np.int64).reshape(-1, width), of("q_vectors", np.int64).reshape(-1, width))
+            table, q_table = of("table", np.float32).reshape(len(ids), -1), of("q_table", np.float32).reshape(len(queries), -1)
+            bound = np.zeros((len(queries), len(ids)), np.float32)
+            apart = np.empty_like(bound)
+            for own, other in zip(q_table.T, np.ascontiguousarray(table.T), strict=True):
+                np.subtract(own[:, None], other[None, :], out=apart)
+                np.maximum(bound, np.abs(apart, out=apart), out=bound)
+            reach, out = (asked.astype(np.float64) ** 2).sum(axis=1) + square, []
+            for own, query, far, less, floor in zip(queries.tolist(), asked, reach.tolist(), bound, of("q_floor", np.int64).tolist(), strict=True):
+                # Half a unit, which rounding can't reach, as scores are whole numbers; and what single precision may take away.
+                most = (far - np.maximum(less - 1e-6 * far**0.5 - 1e-3, 0).astype(np.float64) ** 2) / 2 + 0.5 + 1e-9 * far
+                open_ = np.flatnonzero((most >= floor) & (ids != own))
+                found, scores = best(query, floor, ids[open_], vectors[open_], most[open_], k)
                 out.append((np.full(len(found), own), found, scores))
             columns = [pa.array(np.concatenate(c)) if out else pa.array([], pa.int64()) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
