@@ -1 +1 @@
-
+"""Column functions that stay inside the JVM."""
