@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import q_corpus
+from corpusmill.plans import q_activity, q_chunking, q_corpus, q_retrieval
 from corpusmill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
