@@ -91,7 +91,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for j in range(width):
-        grams += words[j : len(words) - width + 1 + j] * factors[j]
+        grams += words[j : j + len(grams)] * factors[j]
     grams = mix(grams)
     out = []
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
