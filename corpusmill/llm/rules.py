@@ -130,7 +130,8 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     scaled = _total([F.pow((F.col(x) - F.col(f"m_{x}")) / (F.col(f"d_{x}") * 1.4826 + FEATURES[x] * UNIT), F.lit(2.0)) for x in names])
     placed = rows.join(start, "g").select("g", *names, scaled.alias("d2"))
     for step in range(STEPS + 1):
-        near = placed.join(_subset_limits(placed, F.col("d2")), "g").where(F.floor(F.log2(F.col("d2") + 1e-6) * _BINS) <= F.col("limit"))
+        # The limits are a few rows for each group; written down, they meet the rows without a shuffle of those while small.
+        near = placed.join(staged(_subset_limits(placed, F.col("d2"))), "g").where(F.floor(F.log2(F.col("d2") + 1e-6) * _BINS) <= F.col("limit"))
         found = staged(_estimates(near, _consistency(SHARE) if step == STEPS else 1.0))
         placed = _with_distance(rows, found)
     return found
@@ -148,7 +149,7 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = staged(rows.withColumn("base_failed", failed).withColumns(_features()))
     sound = rows.where("not base_failed")
     counts = sound.groupBy("lang", "source").agg(F.count("*").alias("m"))
-    few = counts.where(F.col("m") < POOLED_BELOW).select(F.xxhash64("lang", "source", F.isnull("lang"), F.isnull("source")).alias("key"))
+    few = staged(counts.where(F.col("m") < POOLED_BELOW).select(F.xxhash64("lang", "source", F.isnull("lang"), F.isnull("source")).alias("key")))
     key = F.xxhash64("lang", "source", F.isnull("lang"), F.isnull("source"))
     grouped = sound.withColumn("key", key).join(few.withColumn("pool", F.lit(1)), "key", "left")
     grouped = grouped.withColumn("g", F.when(F.col("pool") == 1, F.xxhash64("lang", F.isnull("lang"), F.lit("few"))).otherwise(F.col("key"))).drop("key", "pool")
