@@ -7,8 +7,7 @@ for, and a pass sorts only what the pass before left in one group:
 1. by the window's anchor, its least string of ANCHOR bytes. Neighbouring windows mostly have the
    same anchor; such a run of windows is one entry, so there are far fewer entries than suffixes;
 2. within an anchor, by all bytes under the run. A run that an earlier document has too goes whole;
-3. window by window, only for runs of which another document has the anchor with the same bytes
-   beside it, to the left or to the right, as any common window does.
+3. only for runs whose anchor, but not whose bytes, another document has: window by window.
 
 Entries travel as packed columns, dealt out by anchor; every batch first keeps, of equal entries,
 only those of the smallest document, so that a frequent passage is not gathered by one task. Runs of
@@ -31,19 +30,17 @@ from pyspark.sql import types as T
 from corpusmill.llm.words import _BYTE, as_bytes, chunks, mix, prefix_hash, span_hash
 from corpusmill.plans.staging import staged
 
-WINDOW, ANCHOR = 50, 20
-#: A window that contains an anchor reaches this far beyond it on one side at least.
-SIDE = (WINDOW - ANCHOR) // 2
+WINDOW, ANCHOR = 50, 16
 #: Bytes of text for which there is one bucket, and entries that a task packs at a time.
-BUCKET_BYTES, FLUSH = 4 << 20, 1 << 21
+BUCKET_BYTES, FLUSH = 4 << 20, 1 << 20
 _LARGEST = (1 << 63) - 1
 _PACKED = "bucket int, data binary"
 _SPANS = "d long, th long, pos int, size int, open boolean, bucket int"
-_COLUMNS = [("anchor", np.uint64), ("block", np.uint64), ("row", np.uint32), ("pos", np.uint32), ("more", np.uint8), ("left", np.uint16), ("right", np.uint16)]
+_COLUMNS = [("anchor", np.uint64), ("block", np.uint64), ("row", np.uint32), ("pos", np.uint32), ("more", np.uint8)]
 
 
 def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of every run of windows with one anchor: anchor, block, text number, first window, number of further windows, and the bytes beside the anchor."""
+    """Of every run of windows with one anchor: anchor, block, text number, first window and number of further windows."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     n = len(data) - WINDOW + 1
@@ -70,10 +67,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     begin = (ends - [len(t) for t in texts])[owner[first]]
     place = (anchor[first] - first).astype(np.uint64)
     block = mix(span_hash(prefix, first, stop + WINDOW) + place)
-    a = anchor[first]
-    left = span_hash(prefix, np.maximum(a - SIDE, begin), a)
-    right = span_hash(prefix, a + ANCHOR, np.minimum(a + ANCHOR + SIDE, ends[owner[first]]))
-    columns = (grams[a], block, owner[first], first - begin, stop - first, left & np.uint64(0xFFFF), right & np.uint64(0xFFFF))
+    columns = (grams[anchor[first]], block, owner[first], first - begin, stop - first)
     return tuple(c.astype(kind) for c, (_, kind) in zip(columns, _COLUMNS, strict=True))
 
 
@@ -224,12 +218,6 @@ def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     if len(order):
         # Anchors of several documents with several blocks: the smallest documents' runs of every block.
         further = order[_shared(columns[0][order], ids[columns[2][order]], new) & ~gone]
-        beside = np.zeros(len(further), bool)
-        for side in columns[5:]:
-            by = np.lexsort((side[further], columns[0][further]))
-            a, d, e = columns[0][further][by], ids[columns[2][further]][by], side[further][by]
-            beside[by] |= _shared(a ^ (e.astype(np.uint64) << np.uint64(48)), d, np.ones(len(a), bool))
-        further = further[beside]
         out.append((columns[2][further].astype(np.int64), columns[3][further].astype(np.int64), columns[4][further].astype(np.int64) + WINDOW, np.ones(len(further), bool)))
     row, pos, size, open_ = (np.concatenate(x) for x in zip(*out, strict=True))
     return pd.DataFrame({"d": ids[row], "th": hashes[row], "pos": pos.astype(np.int32), "size": size.astype(np.int32), "open": open_, "bucket": rows["bucket"].iloc[0]})
