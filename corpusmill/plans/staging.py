@@ -31,3 +31,22 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of whole texts that a Python worker gets at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, after the session's Arrow batches have been bounded for rows that hold whole texts.
+
+    The default of 10,000 rows suits numbers; with long texts such a batch, its copies in the JVM
+    and the worker, and the result would take much of an executor's memory. Smaller settings stay.
+    """
+    conf = docs.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(conf.get(key, "") or "")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return docs
