@@ -46,7 +46,7 @@ def text_batches(docs: DataFrame) -> DataFrame:
     conf = docs.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = str(conf.get(key, "") or "")
+        now = conf.get(key, str(most)).removesuffix("b")
         if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return docs
