@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusmill.llm.pretokens import Encoder, gather
+from corpusmill.plans.staging import text_batches
 
 
 @cache
@@ -150,7 +151,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     ids are those of the whole text, without special tokens; decoded are the bytes that they stand
     for. A null text is empty and has no ids. Other columns are ignored; repeated rows are repeated.
     """
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(partial(_round_trip, path=path), "doc_id long, ids array<int>, decoded binary")
+    return text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(partial(_round_trip, path=path), "doc_id long, ids array<int>, decoded binary")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.words import as_bytes, chunks, word_hashes
+from corpusmill.plans.staging import text_batches
 
 #: Labelled rows for fitting at most, bins of a feature, bins of a feature in a pair, pairs, cycles and step.
 TRAINING_ROWS, BINS, PAIR_BINS, PAIRS, CYCLES, RATE, RIDGE = 10_000, 32, 8, 6, 120, 0.15, 2.0
@@ -200,6 +201,7 @@ def held_out(doc_id: Column) -> Column:
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """A model fitted on at most TRAINING_ROWS labelled documents outside the held-out fold, chosen by a hash of doc_id."""
+    text_batches(docs)
     rows = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # At most TRAINING_ROWS ids and labels are broadcast, and as many rows of features come to the driver.
     chosen = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(TRAINING_ROWS)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.components import components
 from corpusmill.llm.words import as_bytes, chunks, mix, shingle_sets
-from corpusmill.plans.staging import staged
+from corpusmill.plans.staging import staged, text_batches
 
 HASHES, ROWS, BITS = 128, 4, 2
 #: Estimates below this are dropped: 5 standard errors below a similarity of 0.75.
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shingles and no links. Rows that repeat a doc_id count as one document. Other columns are
     ignored; an empty table gives an empty result.
     """
-    base = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED))
+    base = staged(text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED))
     nodes = base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     signs = base.join(nodes, ["n", "d1", "d2", "doc_id"], "left_semi")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.pretokens import Encoder
-from corpusmill.plans.staging import staged
+from corpusmill.plans.staging import staged, text_batches
 
 #: SLACK is the share of padding below which differencing is not tried.
 CAPACITY, PART, LOT_TOKENS, SLACK = 1024, 256, 1 << 17, 0.005
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0)
     has `end_id` alone. start and length tell the piece, sequence_id and offset its place. Repeated
     rows are packed as often as they occur; other columns are ignored; no rows give no pieces.
     """
-    cut = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(partial(_cut, path=path, capacity=capacity, end_id=end_id), _PIECES)
+    cut = text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(partial(_cut, path=path, capacity=capacity, end_id=end_id), _PIECES)
     cut = staged(cut)
     tokens = cut.agg(F.sum("length")).first()[0] or 0
     lots = max(1, -(-tokens // LOT_TOKENS))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.words import _BYTE, as_bytes, chunks, mix, prefix_hash, span_hash
-from corpusmill.plans.staging import staged
+from corpusmill.plans.staging import staged, text_batches
 
 WINDOW, ANCHOR = 50, 16
 #: Bytes of text for which there is one bucket, and entries that a task packs at a time.
@@ -258,7 +258,7 @@ def without_repeats(docs: DataFrame, carry: list[Column | str] | None = None, as
     do those of rows with the same doc_id. A null text is empty; a null doc_id counts as the largest.
     carried is a struct of the columns named in `carry`; other columns are ignored; no rows give none.
     """
-    texts = docs.select(F.struct(*carry).alias("carried") if carry else F.struct(F.lit(0).alias("none")).alias("carried"), _keyed(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = text_batches(docs).select(F.struct(*carry).alias("carried") if carry else F.struct(F.lit(0).alias("none")).alias("carried"), _keyed(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     first = texts.mapInArrow(partial(_map_runs, buckets=buckets), _PACKED)

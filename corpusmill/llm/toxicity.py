@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.words import _BYTE, _SPACE, as_bytes, chunks, mix, prefix_hash, span_hash
+from corpusmill.plans.staging import text_batches
 
 CATEGORIES = ["term", "stem", "toxic"]
 #: Labelled rows that the models are fitted on at most; features kept at most; rows that a feature occurs in at least; folds.
@@ -171,7 +172,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None =
     both kinds no document is toxic.
     """
     chain = fit(*training_rows(docs if learn_from is None else learn_from, labels, "toxic"))
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_score, chain=chain), SCORED)
+    scored = text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_score, chain=chain), SCORED)
     return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
@@ -187,4 +188,4 @@ def _pass(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.Record
 def without_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` with all their columns, without those that `toxicity` finds toxic."""
     chain = fit(*training_rows(docs if learn_from is None else learn_from, labels, "toxic"))
-    return docs.mapInArrow(partial(_pass, chain=chain), docs.schema)
+    return text_batches(docs).mapInArrow(partial(_pass, chain=chain), docs.schema)
