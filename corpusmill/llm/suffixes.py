@@ -102,6 +102,11 @@ def _shared(keys: np.ndarray, d: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.repeat(several, np.diff(np.append(begin, len(keys))))
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """All first bytes, then all second ones and so on: the upper bytes of small numbers are zeros that compress away."""
+    return np.ascontiguousarray(x.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T
+
+
 def _pack(columns: list[np.ndarray], ids: np.ndarray, hashes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: entries that are the smallest of their kind here, and spans that are known to go."""
     order, _, gone = _owned(columns, ids)
@@ -122,7 +127,7 @@ def _pack(columns: list[np.ndarray], ids: np.ndarray, hashes: np.ndarray, bucket
         # Five bytes of the anchor and six of the block tell entries apart; the rest are small numbers.
         a, b = columns[0][mine], columns[1][mine]
         parts = [np.array([len(used), len(mine), spans.stop - spans.start], np.int64), ids[used], hashes[used], a.view(np.uint8).reshape(-1, 8)[:, :5], b.view(np.uint8).reshape(-1, 8)[:, :6]]
-        parts += [local.astype(np.uint32), *(c[mine] for c in columns[3:]), start[spans], end[spans]]
+        parts += [_planes(np.diff(local[: len(mine)], prepend=0)), _planes(columns[3][mine]), columns[4][mine], local[len(mine) :], start[spans], end[spans]]
         out[0].append(k)
         out[1].append(b"".join(np.ascontiguousarray(p).tobytes() for p in parts))
     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["bucket", "data"])
@@ -144,9 +149,9 @@ def _unpack(data: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.n
         full = np.zeros((entries, 8), np.uint8)
         full[:, :size] = take(entries * size, np.uint8).reshape(-1, size)
         wide.append(full.view(np.uint64).reshape(-1))
-    local = take(entries + spans, np.uint32)
-    rest = [take(entries, kind) for _, kind in _COLUMNS[3:]]
-    return [*wide, local[:entries], *rest], ids, hashes, local[entries:], take(spans, np.int64), take(spans, np.int64)
+    row, pos = (np.ascontiguousarray(take(entries * 4, np.uint8).reshape(4, entries).T).view(np.uint32).reshape(-1) for _ in range(2))
+    row, more = np.cumsum(row).astype(np.uint32), take(entries, np.uint8)
+    return [*wide, row, pos, more], ids, hashes, *(take(spans, np.int64) for _ in range(3))
 
 
 def _joined(parts: list[list[np.ndarray]], sizes: list[int]) -> list[np.ndarray]:
