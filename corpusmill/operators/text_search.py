@@ -69,8 +69,9 @@ def ranked(queries: DataFrame, posted: DataFrame) -> DataFrame:
     """
     wanted = normal_queries(queries).select("query_id", F.posexplode(parsed(F.col("query"))).alias("alt", "a"))
     needed = wanted.select("query_id", "alt", F.size("a.must").alias("n"), F.posexplode("a.must").alias("k", "term"))
-    met = needed.join(posted, "term").groupBy("query_id", "alt", "chunk_id").agg(F.first("n").alias("n"), F.count_distinct("k").alias("have"), F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("places"))
-    met = met.where("have = n")
+    met = needed.join(posted, "term").groupBy("query_id", "alt", "chunk_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("places"))
+    # The distinct terms are counted in the gathered places; a distinct count would double the rows before the shuffle.
+    met = met.where(F.size(F.array_distinct(F.transform("places", lambda x: x["k"]))) == F.col("n"))
     banned = wanted.select("query_id", "alt", F.explode("a.must_not").alias("term")).join(posted, "term").select("query_id", "alt", "chunk_id").distinct()
     met = met.join(banned, ["query_id", "alt", "chunk_id"], "left_anti")
     phrase = wanted.select("query_id", "alt", F.posexplode("a.phrases").alias("phrase", "p")).select("query_id", "alt", "phrase", F.size("p").alias("size"), F.posexplode("p").alias("i", "term"))
