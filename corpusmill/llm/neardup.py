@@ -3,7 +3,8 @@
 Each document's shingle set gets HASHES minima. Bands of ROWS full minima give candidate groups; of
 each minimum the low BITS are kept, packed into four longs, and the bit counts of two signatures
 estimate their similarity, corrected for minima that agree by chance. What the estimate lets through
-is confirmed on the full sets.
+is confirmed on the full sets. Before pairs are formed within groups, a signature of MORE_HASHES
+other minima, which the choice of candidates hasn't biased, has to agree.
 
 Copies (equal sets) are one node. Groups are never expanded into all pairs: each node is first held
 against its groups' picked heads only, which makes few components of many nodes; a last pass
@@ -26,21 +27,24 @@ from corpusmill.llm.words import as_bytes, chunks, mix, shingle_sets
 from corpusmill.plans.staging import staged, text_batches
 
 HASHES, ROWS, BITS = 128, 4, 2
-#: Estimates below this are dropped: 5 standard errors below a similarity of 0.75.
-LEAST_ESTIMATE = 0.52
+#: Minima of the longer signature that candidates get before pairs are formed.
+MORE_HASHES = 1024
+#: Estimates below these are dropped: 5 standard errors below a similarity of 0.75, by either signature.
+LEAST_ESTIMATE, LEAST_LONG_ESTIMATE = 0.52, 0.668
 _SIGNATURE = [f"s{k}" for k in range(HASHES * BITS // 64)]
 _FACTORS = mix(np.arange(1000, 1000 + HASHES, dtype=np.uint64)) | np.uint64(1)
+_MORE_FACTORS = mix(np.arange(5000, 5000 + MORE_HASHES, dtype=np.uint64)) | np.uint64(1)
 _SIGNED = "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{s} long" for s in _SIGNATURE) + ", bands array<long>"
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """HASHES minima for each set; all ones for an empty set."""
+def minima(sets: list[np.ndarray], factors: np.ndarray = _FACTORS) -> np.ndarray:
+    """A minimum for each set and factor; all ones for an empty set."""
     full = [s for s in sets if len(s)]
-    out = np.full((len(sets), HASHES), ~np.uint64(0))
+    out = np.full((len(sets), len(factors)), ~np.uint64(0))
     if full:
         values, starts = np.concatenate(full), np.cumsum([0, *map(len, full[:-1])])
         rows = np.flatnonzero([len(s) > 0 for s in sets])
-        for k, factor in enumerate(_FACTORS):
+        for k, factor in enumerate(factors):
             out[rows, k] = np.minimum.reduceat(values * factor, starts)
     return mix(out)
 
@@ -62,6 +66,10 @@ def packed(low: np.ndarray) -> np.ndarray:
     return (bits << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.reshape(-1).view(np.int64)))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_bytes(batch.column("text"))
@@ -72,9 +80,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array(np.array(d, np.uint64).view(np.int64)) for d in digests]
             columns += [pa.array(c.copy().view(np.int64)) for c in packed(low).T]
-            keys = band_keys(low)
-            flat = pa.array(keys.reshape(-1).view(np.int64))
-            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, keys.shape[1], dtype=np.int32)), flat))
+            columns.append(_lists(band_keys(low)))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", *_SIGNATURE, "bands"])
 
 
@@ -85,19 +91,30 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(texts[lo:hi])
             offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
             flat = pa.array(np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "shingles"])
+            columns = [batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, flat), _lists(packed(minima(sets, _MORE_FACTORS))), _lists(band_keys(minima(sets)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shingles", "long_sign", "bands"])
 
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity of two packed signatures by bit counts, less what agrees by chance."""
-    odd = int("01" * 32, 2)
-    differ = []
-    for s in _SIGNATURE:
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        differ.append(F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(odd))))
-    same = 1 - reduce(lambda x, y: x + y, differ) / F.lit(float(HASHES))
+def _differing(x: Column, y: Column) -> Column:
+    """How many of the two-bit fields of two words differ."""
+    z = x.bitwiseXOR(y)
+    return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(int("01" * 32, 2))))
+
+
+def _corrected(differ: Column, hashes: int) -> Column:
+    """Similarity from the number of minima that differ, less what agrees by chance."""
     chance = 1 / 2**BITS
-    return (same - chance) / (1 - chance)
+    return (1 - differ / F.lit(float(hashes)) - chance) / (1 - chance)
+
+
+def estimate(a: str, b: str) -> Column:
+    """Similarity of two packed signatures by bit counts."""
+    return _corrected(reduce(lambda x, y: x + y, [_differing(F.col(f"{a}.{s}"), F.col(f"{b}.{s}")) for s in _SIGNATURE]), HASHES)
+
+
+def long_estimate(a: str, b: str) -> Column:
+    differ = F.aggregate(F.zip_with(f"{a}.long_sign", f"{b}.long_sign", _differing), F.lit(0), lambda s, x: s + x)
+    return _corrected(differ, MORE_HASHES)
 
 
 def _plausible(a: str, b: str, percent: int) -> Column:
@@ -149,7 +166,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     grouped = members.select("doc_id").distinct()
     signs = staged(signs.join(grouped, "doc_id", "left_semi").select("doc_id", "n", *_SIGNATURE))
-    sets = staged(docs.select(F.col("doc_id").cast("long"), "text").join(grouped, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, shingles array<long>"))
+    sets = staged(docs.select(F.col("doc_id").cast("long"), "text").join(grouped, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, shingles array<long>, long_sign array<long>, bands array<long>"))
 
     star = members.where("doc_id <> head").select("doc_id", "head").distinct()
     scored = star.alias("e").join(signs.alias("a"), F.expr("e.doc_id = a.doc_id")).join(signs.alias("b"), F.expr("e.head = b.doc_id")).where(_plausible("a", "b", percent))
@@ -166,10 +183,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     placed = members.join(labels, "doc_id").select("key", "doc_id", "head", "c")
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("doc_id") == F.col("head"), F.col("c"))).alias("main")).where("low < high").select("key", "main")
-    open_rows = staged(placed.join(mixed, "key").join(signs, "doc_id").select("key", "doc_id", "c", "main", "n", *_SIGNATURE))
+    more = sets.select("doc_id", "long_sign", "bands")
+    open_rows = staged(placed.join(mixed, "key").join(signs, "doc_id").join(more, "doc_id").select("key", "doc_id", "c", "main", "n", *_SIGNATURE, "long_sign", "bands"))
     a, b = open_rows.where("c <> main").alias("a"), open_rows.alias("b")
     apart = F.expr("a.key = b.key and a.c <> b.c and (b.c = b.main or a.doc_id < b.doc_id)")
-    rest = a.join(b, apart & _plausible("a", "b", percent)).select(F.expr("least(a.doc_id, b.doc_id)").alias("a"), F.expr("greatest(a.doc_id, b.doc_id)").alias("b")).distinct()
+    # A pair comes from the first band that it has in common only.
+    first_common = F.element_at("a.bands", F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True).cast("int")) == F.col("a.key")
+    likely = _plausible("a", "b", percent) & (long_estimate("a", "b") >= LEAST_LONG_ESTIMATE * percent / 75) & first_common
+    rest = a.join(b, apart & likely).select(F.expr("least(a.doc_id, b.doc_id)").alias("a"), F.expr("greatest(a.doc_id, b.doc_id)").alias("b")).distinct()
     labels = merged(labels, confirmed(rest, sets, percent))
 
     # Each set's component, carried to all its copies.
