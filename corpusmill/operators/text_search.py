@@ -9,6 +9,7 @@ from corpusmill.functions.text import collapse, terms
 
 #: Covers up to this length count fully, longer ones in proportion.
 COVER = 16
+_MUST, _NOT, _PHRASE = 0, 1, 2
 
 
 def normal_queries(queries: DataFrame) -> DataFrame:
@@ -68,18 +69,25 @@ def ranked(queries: DataFrame, posted: DataFrame) -> DataFrame:
     alternative's cover density.
     """
     wanted = normal_queries(queries).select("query_id", F.posexplode(parsed(F.col("query"))).alias("alt", "a"))
-    needed = wanted.select("query_id", "alt", F.size("a.must").alias("n"), F.posexplode("a.must").alias("k", "term"))
-    met = needed.join(posted, "term").groupBy("query_id", "alt", "chunk_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("places"))
-    # The distinct terms are counted in the gathered places; a distinct count would double the rows before the shuffle.
-    met = met.where(F.size(F.array_distinct(F.transform("places", lambda x: x["k"]))) == F.col("n"))
-    banned = wanted.select("query_id", "alt", F.explode("a.must_not").alias("term")).join(posted, "term").select("query_id", "alt", "chunk_id").distinct()
-    met = met.join(banned, ["query_id", "alt", "chunk_id"], "left_anti")
-    phrase = wanted.select("query_id", "alt", F.posexplode("a.phrases").alias("phrase", "p")).select("query_id", "alt", "phrase", F.size("p").alias("size"), F.posexplode("p").alias("i", "term"))
+    term = lambda kind, t, phrase, i, size: F.struct(F.lit(kind).alias("kind"), t.alias("term"), phrase.alias("phrase"), i.alias("i"), size.alias("size"))
+    no, zero = F.lit(-1), F.lit(0)
+    needed = F.concat(
+        F.transform("a.must", lambda t, k: term(_MUST, t, no, k, zero)),
+        F.transform("a.must_not", lambda t: term(_NOT, t, no, zero, zero)),
+        F.flatten(F.transform("a.phrases", lambda p, j: F.transform(p, lambda t, i: term(_PHRASE, t, j, i, F.size(p))))),
+    )
+    rows = wanted.select("query_id", "alt", F.size("a.must").alias("n"), F.size("a.phrases").alias("phrases"), F.inline(needed))
+    # All kinds of terms meet the postings at once, so texts are taken apart once.
+    met = rows.join(posted, "term").groupBy("query_id", "alt", "chunk_id").agg(F.first("n").alias("n"), F.first("phrases").alias("phrases"), F.collect_list(F.struct("kind", "pos", "phrase", "i", "size")).alias("m"))
+    of = lambda kind: F.filter("m", lambda x: x["kind"] == kind)
+    places = F.array_sort(F.transform(of(_MUST), lambda x: F.struct(x["pos"].alias("pos"), x["i"].alias("k"))))
+    met = met.select("query_id", "chunk_id", "n", "phrases", "m", places.alias("places")).where(F.size(F.array_distinct(F.transform("places", lambda x: x["k"]))) == F.col("n"))
+    met = met.where(~F.exists("m", lambda x: x["kind"] == _NOT))
     # A phrase is there where all its words, each moved back by its place in it, stand at one place.
-    starts = phrase.join(posted, "term").groupBy("query_id", "alt", "phrase", "size", "chunk_id", (F.col("pos") - F.col("i")).alias("at")).agg(F.count_distinct("i").alias("have")).where("have = size")
-    found = starts.groupBy("query_id", "alt", "chunk_id").agg(F.count_distinct("phrase").alias("found"))
-    count = wanted.select("query_id", "alt", F.size("a.phrases").alias("phrases"))
-    met = met.join(count, ["query_id", "alt"]).join(found, ["query_id", "alt", "chunk_id"], "left").where("coalesce(found, 0) = phrases")
+    moved = F.array_distinct(F.transform(of(_PHRASE), lambda x: F.struct(x["phrase"].alias("phrase"), (x["pos"] - x["i"]).alias("at"), x["i"].alias("i"), x["size"].alias("size"))))
+    met = met.withColumn("moved", F.when(F.col("phrases") > 0, moved))
+    whole = F.filter("moved", lambda s: F.size(F.filter("moved", lambda x: (x["phrase"] == s["phrase"]) & (x["at"] == s["at"]))) == s["size"])
+    met = met.where((F.col("phrases") == 0) | (F.size(F.array_distinct(F.transform(whole, lambda x: x["phrase"]))) == F.col("phrases")))
     scored = met.select("query_id", "chunk_id", _density(F.col("places"), F.col("n")).alias("rank"))
     return scored.groupBy("query_id", "chunk_id").agg(F.round(F.max("rank"), 6).alias("rank"))
 
