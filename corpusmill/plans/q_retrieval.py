@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import text as t
 from corpusmill.functions import vectors as v
 from corpusmill.operators import embedding as e
 from corpusmill.operators import evaluation as ev
