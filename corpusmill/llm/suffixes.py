@@ -16,7 +16,6 @@ the last pass travel as their bytes, which are fewer than the fingerprints of th
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 

@@ -255,7 +255,7 @@ def test_suffix_dedup_edges(spark):
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    out = toxicity.toxicity(docs, labels.where(~fold)).join(labels.where(fold).withColumnRenamed("toxic", "y"), "doc_id").select("toxic", "y", "text" if False else "doc_id").collect()
+    out = toxicity.toxicity(docs, labels.where(~fold)).join(labels.where(fold).withColumnRenamed("toxic", "y"), "doc_id").select("toxic", "y").collect()
     hit = sum(r.toxic and r.y == 1 for r in out)
     assert hit >= 0.85 * sum(r.y for r in out) and sum(r.toxic and r.y == 0 for r in out) <= 0.01 * len(out)
 
