@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
@@ -85,3 +85,16 @@ def reranked(candidates: DataFrame, scores: DataFrame, top_k: int, enabled: bool
     rows = rows.withColumn("relevance_score", F.when(use, F.col("relevance_score"))).drop("ok")
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("relevance_score"), "fused_rank", "chunk_id")
     return rows.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= top_k)
+
+
+def register_table_function(spark: SparkSession, name: str, found: DataFrame) -> None:
+    """Makes candidates callable from SQL: `SELECT * FROM name(query_id, k)`, a table function over a view.
+
+    A parameter can't stand in LIMIT, so the cut is by rank.
+    """
+    found.createOrReplaceTempView(f"{name}_candidates")
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(query BIGINT, k INT)
+        RETURNS TABLE (chunk_id BIGINT, text_rank INT, vector_rank INT, rrf_score DOUBLE, fused_rank INT)
+        RETURN SELECT c.chunk_id, c.text_rank, c.vector_rank, c.rrf_score, c.fused_rank FROM {name}_candidates c
+        WHERE c.query_id = {name}.query AND c.fused_rank <= {name}.k""")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
 from corpusmill.operators import analytics, clean
 from corpusmill.plans.registry import query
+from corpusmill.plans.staging import shared_folder
 from corpusmill.plans.views import duck, table, view
-from corpusmill.sources import tables
+from corpusmill.sources import jsonl, tables
 
 _META_DUCK = duck("v_raw_meta") + r""",
 j AS (SELECT doc_id, coalesce(CAST(raw_json AS JSON)->'root', CAST(raw_json AS JSON)) AS j FROM v_raw_meta),
@@ -37,6 +40,25 @@ def s02_markdown_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.length("text").cast("long").alias("chars"))
 
 
+@query(r"SELECT CAST(doc_id AS VARCHAR) AS source_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5, lang FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''")
+def s03_jsonl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as JSON lines and read back with checks."""
+    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    jsonl.write(docs.select(F.col("doc_id").cast("string").alias("source_id"), "text", F.struct("lang").alias("metadata")), path)
+    found, _ = jsonl.read_documents(spark, path)
+    return found.select("source_id", F.md5("text").alias("text_md5"), F.get_json_object("metadata", "$.lang").alias("lang"))
+
+
+@query("SELECT text, concat('[\"', item_id, '\"]') AS relevance FROM benchmark")
+def s04_jsonl_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages written as queries with a relevance beside the metadata, and read back."""
+    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    items = table(spark, sf_dir, "benchmark")
+    jsonl.write(items.select("text", F.array(F.col("item_id").cast("string")).alias("relevance"), F.lit("none").alias("metadata")), path)
+    return jsonl.read_queries(spark, path)[0].select("text", "relevance")
+
+
 @query(duck("v_chunks") + " SELECT CAST(chunk_id AS VARCHAR) AS source_id, text, 'sample' AS dataset_name FROM v_chunks WHERE text <> '' ORDER BY md5(concat(CAST(chunk_id AS VARCHAR), '7')), chunk_id LIMIT 100")
 def s06_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = tables.sampled(view(spark, sf_dir, "v_chunks").where("text <> ''"), "chunk_id", 100, "7")

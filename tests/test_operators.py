@@ -257,3 +257,10 @@ def test_usage_edges(spark):
     one = spark.createDataFrame([(1, day("10:00:00"), i, i == 9) for i in range(2)], "user_id int, t string, event_id int, is_premium boolean").withColumn("ts", F.to_timestamp("t"))
     assert rows(usage.daily_usage(one, 3).select("used", "remaining")) == [(2, 1)]
     assert rows(one.limit(1).select(usage.seconds_to_reset(F.to_timestamp(F.lit("2024-01-01 23:59:59"))))) == [(1,)]
+
+
+def test_sql_table_function(spark):
+    text = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1)], "query_id long, chunk_id long, text_rank int")
+    near = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, chunk_id long, vector_rank int")
+    fusion.register_table_function(spark, "hybrid", fusion.fused(text, near, fusion.Params()))
+    assert [r.chunk_id for r in spark.sql("SELECT * FROM hybrid(1, 2) ORDER BY fused_rank").collect()] == [11, 12]
