@@ -17,7 +17,7 @@ import numpy as np
 from corpusmill.llm.words import chunks, prefix_hash, span_hash
 
 #: Characters split in one go, and the most words a worker remembers.
-CHUNK, REMEMBERED = 1 << 21, 250_000
+CHUNK, REMEMBERED = 1 << 19, 150_000
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 # The characters with the Unicode property White_Space.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -26,7 +26,7 @@ from corpusmill.plans.staging import text_batches
 
 CATEGORIES = ["term", "stem", "toxic"]
 #: Labelled rows that the models are fitted on at most; features kept at most; rows that a feature occurs in at least; folds.
-TRAINING_ROWS, KEPT, SUPPORT, FOLDS = 4_000, 4096, 4, 5
+TRAINING_ROWS, KEPT, SUPPORT, FOLDS = 2_000, 4096, 4, 5
 _STEMS = (4, 5, 6)
 _EDGES = np.zeros(256, bool)
 _EDGES[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
