@@ -35,10 +35,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and repeated links have no effect; an empty table gives an empty one.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(rounds):
-        edges = staged(_star(_star(edges, True), False))
-        now = tuple(edges.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) as decimal(38, 0))"))).first())
+    state = lambda: tuple(edges.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) as decimal(38, 0))"))).first())
+    before = state()
+    for _ in range(rounds if before[0] else 1):
+        if before[0]:
+            edges = staged(_star(_star(edges, True), False))
+        now = state()
         if now == before:
             break
         before = now
