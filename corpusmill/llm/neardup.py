@@ -175,11 +175,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Links to heads merge nearly all of a large group: each node's best one, then the best between
     # two components, then all that still lead from one component to another.
     labels = staged(grouped.select("doc_id", F.col("doc_id").alias("c")))
+    open_links = scored.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
     for by in (["a"], ["lo", "hi"], None):
-        open_links = _between(scored, labels)
         if by:
-            open_links = open_links.groupBy(*by).agg(F.max(F.struct("s", "a", "b")).alias("t")).select("t.a", "t.b")
-        labels = merged(labels, confirmed(open_links.select("a", "b"), sets, percent))
+            chosen = open_links.groupBy(*by).agg(F.max(F.struct("s", "a", "b")).alias("t")).select("t.a", "t.b")
+        else:
+            chosen = open_links.select("a", "b")
+        labels = merged(labels, confirmed(chosen, sets, percent))
+        if by:  # the next round needs only those links that still lead between components
+            open_links = staged(_between(open_links.select("a", "b", "s"), labels))
 
     placed = members.join(labels, "doc_id").select("key", "doc_id", "head", "c")
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("doc_id") == F.col("head"), F.col("c"))).alias("main")).where("low < high").select("key", "main")
