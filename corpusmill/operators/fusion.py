@@ -35,8 +35,8 @@ def fused(text: DataFrame, vector: DataFrame, p: Params) -> DataFrame:
 def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, p: Params = Params(), posted: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Fused candidates for queries (query_id, query, qvec) among chunks (chunk_id, document_id, text, embedding).
 
-    Both branches carry ids and ranks only. Blank queries have no results; `posted` may be stored
-    postings.
+    Both branches carry ids and ranks only. A null embedding or qvec leaves the chunk or query to the
+    text branch. Blank queries have no results; `posted` may be stored postings.
     """
     asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "") if "query" in queries.columns else queries
     inside = chunks.where(F.col("document_id").isNotNull())

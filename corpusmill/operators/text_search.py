@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import collapse, terms
+from corpusmill.plans.staging import staged
 
 #: Covers up to this length count fully, longer ones in proportion.
 COVER = 16
@@ -77,6 +78,7 @@ def ranked(queries: DataFrame, posted: DataFrame) -> DataFrame:
         F.flatten(F.transform("a.phrases", lambda p, j: F.transform(p, lambda t, i: term(_PHRASE, t, j, i, F.size(p))))),
     )
     rows = wanted.select("query_id", "alt", F.size("a.must").alias("n"), F.size("a.phrases").alias("phrases"), F.inline(needed))
+    rows = staged(rows)  # of known size: where the terms are few, Spark sends them to the postings
     # All kinds of terms meet the postings at once, so texts are taken apart once.
     met = rows.join(posted, "term").groupBy("query_id", "alt", "chunk_id").agg(F.first("n").alias("n"), F.first("phrases").alias("phrases"), F.collect_list(F.struct("kind", "pos", "phrase", "i", "size")).alias("m"))
     of = lambda kind: F.filter("m", lambda x: x["kind"] == kind)

@@ -53,14 +53,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id document_id", r"concat('T\n', source) title", journal, "concat('https://www.doi.org/10.1/', doc_id) doi_url")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text")
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return table(spark, sf_dir, "documents").join(vectors, "doc_id").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", "embedding")
+    """All documents; embedding is null where none is stored, which only the vector branch minds."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return _texts(spark, sf_dir).join(vectors, "chunk_id", "left")
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All queries; those without a stored vector have a null qvec and run on text alone."""
     vectors = view(spark, sf_dir, "v_qvec").select((F.col("query_id") / 20).cast("long").alias("query_id"), "qvec")
-    return ts.normal_queries(view(spark, sf_dir, "v_qtext")).join(vectors, "query_id")
+    return ts.normal_queries(view(spark, sf_dir, "v_qtext")).join(vectors, "query_id", "left")
 
 
 @query(duck("v_qtext") + r" SELECT query_id, trim(regexp_replace(query, '\s+', ' ', 'g')) AS query FROM v_qtext WHERE trim(regexp_replace(query, '\s+', ' ', 'g')) <> ''")
@@ -112,16 +118,19 @@ def r07_vector_top_k_in_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("vector_rank", F.row_number().over(order)).where("vector_rank <= 200")
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fu.hybrid_retrieve(_chunks(spark, sf_dir), _queries(spark, sf_dir), posted=_posted(spark, sf_dir))
+
+
 @query(_FUSED + " SELECT query_id, chunk_id, text_rank, vector_rank, rrf_score, fused_rank FROM fused")
 def r08_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fu.hybrid_retrieve(_chunks(spark, sf_dir), _queries(spark, sf_dir))
+    return _found(spark, sf_dir)
 
 
 @query(_FUSED + f" SELECT query_id, chunk_id, rrf_score, fused_rank, {_CITATION} AS citation, {_SNIPPET} AS snippet FROM fused JOIN {_DOCS} d ON d.doc_id = chunk_id")
 def r09_hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid candidates with document columns, citation and snippet."""
-    chunks = _chunks(spark, sf_dir)
-    found = fu.with_documents(fu.hybrid_retrieve(chunks, _queries(spark, sf_dir)), chunks, _documents(spark, sf_dir))
+    found = fu.with_documents(_found(spark, sf_dir), _texts(spark, sf_dir), _documents(spark, sf_dir))
     return found.select("query_id", "chunk_id", "rrf_score", "fused_rank", "citation", "snippet")
 
 
@@ -154,9 +163,8 @@ s AS (SELECT query_id, chunk_id, fused_rank, round(len(list_intersect(a, b))::DO
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, queries = _chunks(spark, sf_dir), _queries(spark, sf_dir)
-    found = fu.hybrid_retrieve(chunks, queries)
-    return found.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    texts, queries = _texts(spark, sf_dir), _queries(spark, sf_dir)
+    return _found(spark, sf_dir).join(texts.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
 
 
 @query(_FUSED + _RERANK + " SELECT query_id, chunk_id, relevance_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, fused_rank) AS INTEGER) AS relevance_rank FROM s")
@@ -181,9 +189,9 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance
 SELECT query_id, chunk_id, final_rank, {_CITATION} AS citation FROM r JOIN {_DOCS} d ON d.doc_id = chunk_id WHERE final_rank <= 10""")
 def r16_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From queries to reranked passages with citations."""
-    rows, chunks = _candidates(spark, sf_dir), _chunks(spark, sf_dir)
+    rows, texts = _candidates(spark, sf_dir), _texts(spark, sf_dir)
     best = fu.reranked(rows.drop("text", "query"), fu.scored(rows), 10)
-    return fu.with_documents(best, chunks, _documents(spark, sf_dir)).select("query_id", "chunk_id", "final_rank", "citation")
+    return fu.with_documents(best, texts, _documents(spark, sf_dir)).select("query_id", "chunk_id", "final_rank", "citation")
 
 
 _METRICS = duck("v_qvec", "v_qrels") + _VECTOR_TOP.format(id="query_id", source="embeddings").replace("<= 50", "<= 200") + """,

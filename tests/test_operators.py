@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as t
 from corpusmill.functions import vectors as v
 from corpusmill.operators import clean, conversations, embedding, evaluation, fusion, intervals, sections, splitting, text_search, usage, vector_search
+from corpusmill.plans import q_retrieval
 from corpusmill.sources import jsonl, tables
 
 
@@ -264,3 +265,15 @@ def test_sql_table_function(spark):
     near = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, chunk_id long, vector_rank int")
     fusion.register_table_function(spark, "hybrid", fusion.fused(text, near, fusion.Params()))
     assert [r.chunk_id for r in spark.sql("SELECT * FROM hybrid(1, 2) ORDER BY fused_rank").collect()] == [11, 12]
+
+
+def test_retrieval_queries_keep_texts_without_vectors(spark, tmp_path):
+    texts = [(0, "red fox"), (1, "red red fox"), (2, "blue whale"), (3, "")]
+    spark.createDataFrame([(i, x, "en", "s") for i, x in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "red big fox"), (1, "blue big whale"), (2, " ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r.query_id, r.chunk_id): (r.text_rank, r.vector_rank) for r in q_retrieval.r08_rank_fusion(spark, str(tmp_path)).collect()}
+    # Document 1 and query 1 have no vector; both are found by their words.
+    assert found == {(0, 0): (1, 1), (0, 1): (2, None), (1, 2): (1, None)}
+    for f in (q_retrieval.r09_hybrid_retrieve, q_retrieval.x01_scored_passages, q_retrieval.x04_merged_reranking, q_retrieval.r16_retrieve):
+        assert {(r.query_id, r.chunk_id) for r in f(spark, str(tmp_path)).collect()} == set(found)
