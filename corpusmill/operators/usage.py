@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAILY_LIMIT = 10
 
@@ -27,23 +33,42 @@ def decisions(requests: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame:
     return requests.withColumn("nth", nth).withColumn("accepted", F.col("is_premium") | (F.col("nth") <= limit))
 
 
+def _opened(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Sorted hits (key, us, event_id) with the start of their window and their number in it."""
+    key, opened, count = None, None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys, times, events = batch.columns
+        codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        us, timed = times.fill_null(0).to_numpy(), times.is_valid().to_numpy(zero_copy_only=False)
+        starts, counts = us.copy(), np.ones(n, np.int32)
+        bounds = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), n]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if lo or keys[0].as_py() != key:
+                opened, count = None, 0
+            at = lo + int((~timed[lo:hi]).sum())  # hits without a time come first
+            while at < hi:
+                if opened is None or us[at] >= opened + span:
+                    opened, count = int(us[at]), 0
+                end = at + max(1, int(np.searchsorted(us[at:hi], opened + span)))
+                starts[at:end], counts[at:end] = opened, np.arange(count + 1, count + 1 + end - at)
+                at, count = end, count + end - at
+        key = keys[n - 1].as_py()
+        yield pa.RecordBatch.from_arrays([keys, events, times, pa.array(starts, mask=~timed), pa.array(counts)], [batch.schema.names[0], "event_id", "us", "opened", "count"])
+
+
 def fixed_windows(hits: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
     """Hits (key, ts, event_id) with count, allowed and retry_after; a window opens at a key's first hit outside one.
 
-    The order within a key decides, so a key's hits are folded in order, as an array in the JVM.
+    The order within a key decides, so a key's hits are one task's work; they pass as a sorted stream
+    of which only the open window and its count are held. A hit without a time is a window of its own.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    listed = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at.alias("us"), "event_id"))).alias("h"))
-    kind = "array<struct<event_id:bigint,us:bigint,opened:bigint,count:int>>"
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.try_element_at(s, F.lit(-1))
-        inside = (F.size(s) > 0) & (x["us"] < last["opened"] + seconds * 1_000_000)
-        opened = F.when(inside, last["opened"]).otherwise(x["us"])
-        count = F.when(inside, last["count"] + 1).otherwise(1)
-        return F.concat(s, F.array(F.struct(x["event_id"].alias("event_id"), x["us"].alias("us"), opened.alias("opened"), count.alias("count")))).cast(kind)
-
-    rows = listed.select(key, F.inline(F.aggregate("h", F.array().cast(kind), step)))
+    lined = hits.select(key, at.alias("us"), "event_id").repartition(key).sortWithinPartitions(key, "us", "event_id")
+    kind = T.StructType([lined.schema[key], T.StructField("event_id", T.LongType()), T.StructField("us", T.LongType()), T.StructField("opened", T.LongType()), T.StructField("count", T.IntegerType())])
+    rows = lined.withColumn("event_id", F.col("event_id").cast("long")).mapInArrow(partial(_opened, span=seconds * 1_000_000), kind)
     allowed = (F.col("count") == 1) | (F.col("count") <= limit)
     wait = F.ceil((F.col("opened") + seconds * 1_000_000 - F.col("us")) / 1_000_000)
     return rows.select(key, "event_id", "count", allowed.alias("allowed"), F.when(~allowed, F.greatest(wait, F.lit(1))).cast("long").alias("retry_after"))

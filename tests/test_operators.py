@@ -277,3 +277,15 @@ def test_retrieval_queries_keep_texts_without_vectors(spark, tmp_path):
     assert found == {(0, 0): (1, 1), (0, 1): (2, None), (1, 2): (1, None)}
     for f in (q_retrieval.r09_hybrid_retrieve, q_retrieval.x01_scored_passages, q_retrieval.x04_merged_reranking, q_retrieval.r16_retrieve):
         assert {(r.query_id, r.chunk_id) for r in f(spark, str(tmp_path)).collect()} == set(found)
+
+
+def test_fixed_windows_of_a_hot_key(spark):
+    n = 120_000  # a second apart, in batches: windows of ten hits
+    hot = spark.range(n).select(F.lit("hot").alias("key"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"))
+    rest = spark.createDataFrame([("a", 5, n), ("a", None, n + 1), (None, 7, n + 2), ("a", 14, n + 3), (None, 17, n + 4)], "key string, s long, event_id long").select("key", F.timestamp_seconds("s").alias("ts"), "event_id")
+    out = usage.fixed_windows(hot.union(rest), "key", 10, 4)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    same = (F.col("count") == F.col("event_id") % 10 + 1) & (F.col("allowed") == (F.col("event_id") % 10 < 4)) & F.col("retry_after").eqNullSafe(F.when(F.col("event_id") % 10 >= 4, 10 - F.col("event_id") % 10))
+    assert out.where("key = 'hot'").where(same).count() == n
+    assert sorted(r.event_id - n for r in out.where("event_id >= 120000 and count = 1").collect()) == [0, 1, 2, 4]
+    assert [r.event_id - n for r in out.where("event_id >= 120000 and count = 2").collect()] == [3]
