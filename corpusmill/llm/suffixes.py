@@ -12,6 +12,12 @@ for, and a pass sorts only what the pass before left in one group:
 Entries travel as packed columns, dealt out by anchor; every batch first keeps, of equal entries,
 only those of the smallest document, so that a frequent passage is not gathered by one task. Runs of
 the last pass travel as their bytes, which are fewer than the fingerprints of their windows.
+
+A frequent phrase that is shorter than a window stands in many contexts, so its anchor has many runs
+that differ. Such hot anchors are counted in a sample of the text; their runs are dealt by their bytes
+in the second step, all of them go on to the third, and there each of their windows is dealt by its own
+fingerprint, again only those of the smallest document of a batch. A sample that misses an anchor
+changes no result.
 """
 
 from __future__ import annotations
@@ -32,6 +38,9 @@ from corpusmill.plans.staging import staged, text_batches
 WINDOW, ANCHOR = 50, 16
 #: Bytes of text for which there is one bucket, and entries that a task packs at a time.
 BUCKET_BYTES, FLUSH = 4 << 20, 1 << 20
+#: Runs from which an anchor is hot, about a bucket's; one of so many parts of the text is counted; characters from which a text is counted by a piece.
+HOT_RUNS, SAMPLE, LONG = BUCKET_BYTES // 17, 64, 1 << 16
+_LOW = np.uint64((1 << 40) - 1)  # the bytes of an anchor that travel
 _LARGEST = (1 << 63) - 1
 _PACKED = "bucket int, data binary"
 _SPANS = "d long, th long, pos int, size int, open boolean, bucket int"
@@ -106,13 +115,34 @@ def _planes(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T
 
 
-def _pack(columns: list[np.ndarray], ids: np.ndarray, hashes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _is_hot(anchor: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return np.isin(anchor & _LOW, hot)
+
+
+def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = as_bytes(batch.column("text"))
+        for lo, hi in chunks([len(t) for t in texts]):
+            anchor, n = np.unique(runs(texts[lo:hi])[0] & _LOW, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+
+
+def hot_anchors(texts: DataFrame) -> np.ndarray:
+    """Anchors with more than about HOT_RUNS runs in texts (d, th, text); there are fewer than buckets."""
+    size, by = F.length("text"), F.xxhash64("d", "th")
+    piece = F.ceil(size / SAMPLE).cast("int")
+    part = F.when(size > LONG, F.substring("text", F.pmod(by, size - piece + 1).cast("int") + 1, piece)).when(F.pmod(by, F.lit(SAMPLE)) == 0, F.col("text"))
+    counts = texts.select(part.alias("text")).where("text <> ''").mapInArrow(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.anchor for r in counts.where(F.col("n") > HOT_RUNS / SAMPLE).collect()], np.uint64))
+
+
+def _pack(columns: list[np.ndarray], ids: np.ndarray, hashes: np.ndarray, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: entries that are the smallest of their kind here, and spans that are known to go."""
     order, _, gone = _owned(columns, ids)
     cut, left = order[gone], np.sort(order[~gone])
     row, start, end = merged_spans(columns[2][cut], columns[3][cut], columns[3][cut] + columns[4][cut] + WINDOW)
     columns = [c[left] for c in columns]
-    bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
+    bucket = (np.where(_is_hot(columns[0], hot), columns[1], columns[0]) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
     span_bounds = np.linspace(0, len(row), buckets + 1).astype(int)
@@ -160,7 +190,7 @@ def _joined(parts: list[list[np.ndarray]], sizes: list[int]) -> list[np.ndarray]
     return [np.concatenate(c) for c in zip(*moved, strict=True)]
 
 
-def _map_runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _map_runs(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     held, ids, hashes, entries = [], [], [], 0
     for batch in batches:
         texts = as_bytes(batch.column("text"))
@@ -171,43 +201,111 @@ def _map_runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
             hashes.append(th[lo:hi])
             entries += len(held[-1][0])
             if entries > FLUSH:
-                yield from _pack(_joined(held, [len(x) for x in ids]), np.concatenate(ids), np.concatenate(hashes), buckets)
+                yield from _pack(_joined(held, [len(x) for x in ids]), np.concatenate(ids), np.concatenate(hashes), buckets, hot)
                 held, ids, hashes, entries = [], [], [], 0
     if held:
-        yield from _pack(_joined(held, [len(x) for x in ids]), np.concatenate(ids), np.concatenate(hashes), buckets)
-
-
-def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes under each open run."""
-    for batch in batches:
-        rows = []
-        for d, th, text, found in zip(batch.column("d").to_pylist(), batch.column("th").to_pylist(), as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True):
-            rows += [(f["bucket"], d, th, f["pos"], text[f["pos"] : f["pos"] + f["size"]]) for f in found]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "d", "th", "pos", "data"])
+        yield from _pack(_joined(held, [len(x) for x in ids]), np.concatenate(ids), np.concatenate(hashes), buckets, hot)
 
 
-def _sort_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """The last pass: spans of windows that a smaller document's run has too."""
-    texts = rows["data"].tolist()
+def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of runs: run number, place in the run and fingerprint."""
     sizes = np.array([len(t) for t in texts])
     prefix = prefix_hash(_BYTE[np.frombuffer(b"".join(texts), np.uint8)])
     count = sizes - WINDOW + 1
-    row = np.repeat(np.arange(len(rows)), count)
-    at = np.repeat(np.cumsum(sizes) - sizes, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    keys, d = span_hash(prefix, at, at + WINDOW), rows["d"].to_numpy()[row]
+    row = np.repeat(np.arange(len(texts)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(sizes) - sizes, count) + place
+    return row, place, span_hash(prefix, at, at + WINDOW)
+
+
+def _later(keys: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which windows a smaller document has too."""
     order = np.lexsort((d, keys))
     begin = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-    least = np.repeat(d[order][begin], np.diff(np.append(begin, len(order))))
-    gone = np.sort(order[d[order] > least])
-    start = at[gone] - (np.cumsum(sizes) - sizes)[row[gone]] + rows["pos"].to_numpy()[row[gone]]
+    out = np.zeros(len(keys), bool)
+    out[order] = d[order] > np.repeat(d[order][begin], np.diff(np.append(begin, len(order))))
+    return out
+
+
+def _pack_windows(held: list[tuple[int, int, int, bytes]], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Windows of hot runs (d, th, pos, bytes) by bucket: those of the smallest document here, and spans that are known to go."""
+    d, th, pos = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3])
+    row, place, keys = _windows([x[3] for x in held])
+    start, gone = pos[row] + place, _later(keys, d[row])
+    run, first, end = merged_spans(row[gone], start[gone], start[gone] + WINDOW)
+    left = np.flatnonzero(~gone)
+    bucket = (keys[left] % np.uint64(buckets)).astype(np.int64)
+    by = left[np.argsort(bucket, kind="stable")]
+    bounds = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
+    span_bounds = np.linspace(0, len(run), buckets + 1).astype(int)
+    for k in range(buckets):
+        mine, spans = by[bounds[k] : bounds[k + 1]], slice(span_bounds[k], span_bounds[k + 1])
+        if len(mine) or spans.start < spans.stop:
+            parts = [np.array([len(mine), spans.stop - spans.start]), keys[mine], d[row[mine]], th[row[mine]], start[mine], d[run[spans]], th[run[spans]], first[spans], end[spans] - first[spans]]
+            yield k, b"".join(p.tobytes() for p in parts)
+
+
+def _cut_runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The bytes under each open run; of hot ones the windows instead, at place -1."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "d", "th", "pos", "data"])
+
+    held, windows = [], 0
+    for batch in batches:
+        rows = []
+        for d, th, text, found in zip(batch.column("d").to_pylist(), batch.column("th").to_pylist(), as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True):
+            for f in found:
+                data = text[f["pos"] : f["pos"] + f["size"]]
+                if f["bucket"] >= 0:
+                    rows.append((f["bucket"], d, th, f["pos"], data))
+                    continue
+                held.append((d, th, f["pos"], data))
+                windows += len(data) - WINDOW + 1
+                if windows > FLUSH:
+                    yield out([(k, 0, 0, -1, x) for k, x in _pack_windows(held, buckets)])
+                    held, windows = [], 0
+        yield out(rows)
+    if held:
+        yield out([(k, 0, 0, -1, x) for k, x in _pack_windows(held, buckets)])
+
+
+def _sort_packed(packed: list[bytes]) -> pd.DataFrame:
+    """The last pass over windows of hot runs."""
+    windows, spans = [], []
+    for data in packed:
+        n, m = np.frombuffer(data, np.int64, 2)
+        x = np.frombuffer(data, np.int64, offset=16)
+        windows.append(x[: 4 * n].reshape(4, n))
+        spans.append(x[4 * n :].reshape(4, m))
+    keys, d, th, start = np.concatenate(windows, axis=1)
+    if len(keys):
+        gone = _later(keys, d)
+        spans.append(np.stack([d[gone], th[gone], start[gone], np.full(gone.sum(), WINDOW)]))
+    d, th, pos, size = np.concatenate(spans, axis=1)
+    return pd.DataFrame({"d": d, "th": th, "pos": pos.astype(np.int32), "size": size.astype(np.int32)})
+
+
+def _sort_runs(rows: pd.DataFrame) -> pd.DataFrame:
+    """The last pass over runs of one bucket."""
+    row, place, keys = _windows(rows["data"].tolist())
+    gone = np.flatnonzero(_later(keys, rows["d"].to_numpy()[row]))
+    start = place[gone] + rows["pos"].to_numpy()[row[gone]]
     mine, start, end = merged_spans(row[gone], start, start + WINDOW)
     return pd.DataFrame({"d": rows["d"].to_numpy()[mine], "th": rows["th"].to_numpy()[mine], "pos": start.astype(np.int32), "size": (end - start).astype(np.int32)})
 
 
-def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans of a bucket's entries that go, and the runs (as spans that are open) to be told apart further."""
+def _sort_windows(rows: pd.DataFrame) -> pd.DataFrame:
+    """The last pass: spans of windows that a smaller document's run has too. Equal windows have one anchor, so both kinds stand apart."""
+    hot = rows["pos"] < 0
+    parts = [_sort_packed(rows["data"][hot].tolist())] if hot.any() else []
+    return pd.concat([*parts, _sort_runs(rows[~hot])] if not hot.all() else parts)
+
+
+def _sort_bucket(rows: pd.DataFrame, hot: np.ndarray) -> pd.DataFrame:
+    """Spans of a bucket's entries that go, and the runs (as spans that are open) to be told apart further; hot ones are in bucket -1."""
     parts = [_unpack(x) for x in rows["data"]]
     columns = _joined([p[0] for p in parts], [len(p[1]) for p in parts])
     ids, hashes = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
@@ -218,13 +316,16 @@ def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     row = np.concatenate([row, columns[2][cut]])
     start, end = np.concatenate([start, columns[3][cut]]), np.concatenate([end, columns[3][cut].astype(np.int64) + columns[4][cut] + WINDOW])
     row, start, end = merged_spans(row, start, end)
-    out = [(row, start, end - start, np.zeros(len(row), bool))]
+    own = rows["bucket"].iloc[0]
+    out = [(row, start, end - start, np.zeros(len(row), bool), np.full(len(row), own))]
     if len(order):
-        # Anchors of several documents with several blocks: the smallest documents' runs of every block.
-        further = order[_shared(columns[0][order], ids[columns[2][order]], new) & ~gone]
-        out.append((columns[2][further].astype(np.int64), columns[3][further].astype(np.int64), columns[4][further].astype(np.int64) + WINDOW, np.ones(len(further), bool)))
-    row, pos, size, open_ = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pd.DataFrame({"d": ids[row], "th": hashes[row], "pos": pos.astype(np.int32), "size": size.astype(np.int32), "open": open_, "bucket": rows["bucket"].iloc[0]})
+        # Anchors of several documents with several blocks, and hot ones: the smallest documents' runs of every block.
+        common = _is_hot(columns[0][order], hot)
+        open_ = (common | _shared(columns[0][order], ids[columns[2][order]], new)) & ~gone
+        further = order[open_]
+        out.append((columns[2][further].astype(np.int64), columns[3][further].astype(np.int64), columns[4][further].astype(np.int64) + WINDOW, np.ones(len(further), bool), np.where(common[open_], -1, own)))
+    row, pos, size, open_, bucket = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pd.DataFrame({"d": ids[row], "th": hashes[row], "pos": pos.astype(np.int32), "size": size.astype(np.int32), "open": open_, "bucket": bucket.astype(np.int32)})
 
 
 def _apply(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -265,9 +366,10 @@ def without_repeats(docs: DataFrame, carry: list[Column | str] | None = None, as
     texts = text_batches(docs).select(F.struct(*carry).alias("carried") if carry else F.struct(F.lit(0).alias("none")).alias("carried"), _keyed(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    first = texts.mapInArrow(partial(_map_runs, buckets=buckets), _PACKED)
-    found = staged(first.groupBy("bucket").applyInPandas(lambda rows: _sort_bucket(rows), _SPANS))
-    further = texts.join(_by_row(found.where("open"), "bucket"), ["d", "th"], "left").where("found is not null").mapInArrow(_cut_runs, "bucket int, d long, th long, pos int, data binary")
+    hot = hot_anchors(texts)
+    first = texts.mapInArrow(partial(_map_runs, buckets=buckets, hot=hot), _PACKED)
+    found = staged(first.groupBy("bucket").applyInPandas(lambda rows: _sort_bucket(rows, hot), _SPANS))
+    further = texts.join(_by_row(found.where("open"), "bucket"), ["d", "th"], "left").where("found is not null").mapInArrow(partial(_cut_runs, buckets=buckets), "bucket int, d long, th long, pos int, data binary")
     second = further.groupBy("bucket").applyInPandas(lambda rows: _sort_windows(rows), "d long, th long, pos int, size int")
     gone = found.where("not open").select("d", "th", "pos", "size").unionByName(second)
     kind = T.StructType.fromDDL(f"d long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").add(texts.schema["carried"])

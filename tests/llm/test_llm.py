@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -244,6 +245,30 @@ def test_suffix_dedup_of_repetitive_texts(spark, texts):
     assert out == brute_repeats(rows)
 
 
+def test_suffix_dedup_of_a_frequent_phrase(spark, corpus, monkeypatch):
+    rng = random.Random(3)
+    # The phrase is shorter than a window, so each of its runs has bytes of its own; a longer passage has edges that many share.
+    phrase, passage = "all rights reserved", prose(rng, 14)
+    more = [f"{prose(rng, 12)} {phrase} {prose(rng, 12)} {passage} {prose(rng, 12)}" for _ in range(300)]
+    rows = list(enumerate([*(t for _, t in corpus), *more]))
+    for name, value in (("HOT_RUNS", 100), ("SAMPLE", 1), ("BUCKET_BYTES", 4096)):
+        monkeypatch.setattr(suffixes, name, value)
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.without_repeats(frame(spark, rows)).collect()}
+    assert out == brute_repeats(rows)
+    hot = suffixes.hot_anchors(frame(spark, rows).selectExpr("doc_id d", "xxhash64(text) th", "text"))
+    batch = pa.RecordBatch.from_pydict({"d": list(range(300)), "th": [0] * 300, "text": more})
+    packed = [r for b in suffixes._map_runs(iter([batch]), 32, hot) for r in b.to_pylist()]
+    frequent = collections.Counter()
+    for r in packed:
+        anchors = suffixes._unpack(r["data"])[0][0]
+        frequent[r["bucket"]] = int(np.isin(anchors, hot).sum())
+    assert sum(frequent.values()) > 300 and max(frequent.values()) < sum(frequent.values()) / 8
+    found = [[{"pos": t.index(phrase) - 35, "size": 84, "bucket": -1}] for t in more]
+    cut = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], ["d", "th", "text", "found"])
+    sizes = [len(r["data"]) for b in suffixes._cut_runs(iter([cut]), 32) for r in b.to_pylist()]
+    assert len(sizes) == 32 and max(sizes) < sum(sizes) / 8
+
+
 def test_suffix_dedup_edges(spark):
     long = "0123456789" * 6
     rows = [(2, long), (2, long), (None, long), (None, "short"), (1, None)]
