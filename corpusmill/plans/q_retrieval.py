@@ -9,6 +9,7 @@ from corpusmill.functions import vectors as v
 from corpusmill.operators import embedding as e
 from corpusmill.operators import evaluation as ev
 from corpusmill.operators import fusion as fu
+from corpusmill.operators import lookup
 from corpusmill.operators import text_search as ts
 from corpusmill.operators import vector_search as vs
 from corpusmill.plans.registry import query
@@ -152,11 +153,17 @@ def r12_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS found FROM events WHERE json_type(CAST(props AS JSON)) = 'OBJECT' GROUP BY event_type")
 def r13_metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose metadata is an object, as a lookup by key needs it."""
+    """Counts of rows whose metadata is an object at all; the lookup itself is r13_containment_lookup."""
     is_object = F.schema_of_variant(F.try_parse_json("props")).startswith("OBJECT")
     return table(spark, sf_dir, "events").where(is_object).groupBy("event_type").agg(F.count("*").alias("found"))
 
 
+@query("""SELECT event_id, event_type FROM events WHERE json_contains(CAST(props AS JSON), '{"k": 42}')""")
+def r13_containment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose metadata contains a key with a value."""
+    return lookup.containing(table(spark, sf_dir, "events"), "props", {"k": 42}).select("event_id", "event_type")
+
+
 _RERANK = f""",
 c AS (SELECT f.*, list_distinct(regexp_extract_all(lower(q.query), '{_WORD}')) AS a, list_distinct(regexp_extract_all(lower(d.text), '{_WORD}')) AS b FROM fused f JOIN q USING (query_id) JOIN documents d ON d.doc_id = f.chunk_id),
 s AS (SELECT query_id, chunk_id, fused_rank, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) AS relevance_score FROM c)"""

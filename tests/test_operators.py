@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
 from corpusmill.functions import vectors as v
-from corpusmill.operators import clean, conversations, embedding, evaluation, fusion, intervals, sections, splitting, text_search, usage, vector_search
+from corpusmill.operators import clean, conversations, embedding, evaluation, fusion, intervals, lookup, sections, splitting, text_search, usage, vector_search
 from corpusmill.plans import q_retrieval
 from corpusmill.sources import jsonl, tables
 
@@ -289,3 +289,15 @@ def test_fixed_windows_of_a_hot_key(spark):
     assert out.where("key = 'hot'").where(same).count() == n
     assert sorted(r.event_id - n for r in out.where("event_id >= 120000 and count = 1").collect()) == [0, 1, 2, 4]
     assert [r.event_id - n for r in out.where("event_id >= 120000 and count = 2").collect()] == [3]
+
+
+def test_metadata_containment(spark, tmp_path):
+    props = ['{"k": 42}', '{"k": 42.0, "t": ["a", {"b": null}]}', '{"k": "42"}', '{"k": 4}', '{"t": ["b"], "o": {"x": true, "it\'s": 1}}', "[42]", "not json", None, '{"k": 42.5}', '{"k": 9007199254740993}']
+    events = spark.createDataFrame([(i, p, "e") for i, p in enumerate(props)], "event_id long, props string, event_type string")
+    ids = lambda wanted: sorted(r.event_id for r in lookup.containing(events, "props", wanted).collect())
+    assert ids({"k": 42}) == [0, 1] and ids({"k": "42"}) == [2] and ids({"k": 42.5}) == [8] and ids({"k": None}) == []
+    assert ids({"k": 9007199254740992}) == [] and ids({"k": 9007199254740993}) == [9]
+    assert ids({"k": 42, "t": ["a"]}) == [1] and ids({"t": [{"b": None}]}) == [1] and ids({"o": {"x": True, "it's": 1}}) == [4] and ids({"o": {"x": False}}) == []
+    assert ids({}) == [0, 1, 2, 3, 4, 8, 9]
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(rows(q_retrieval.r13_containment_lookup(spark, str(tmp_path)))) == [(0, "e"), (1, "e")]
