@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import packing, rules, suffixes, toxicity
 from corpusmill.llm.neardup import near_duplicates
 from corpusmill.llm.queries import TOKENIZER, table
+from corpusmill.plans.staging import staged
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -28,10 +29,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id; of rows that share an id, the one with the least content hash."""
     kept = near_duplicates(docs).where("kept").select("doc_id")
     # Rows that share a null id are no copies of one another.
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(F.isnull("text"), F.xxhash64("text"), F.xxhash64(*docs.columns))
+    same = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order))
+    one = same.where("_nth = 1").select(*docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
 
 
@@ -55,13 +58,13 @@ STAGES = [
     ("suffix dedup", suffix_dedup_stage),
     ("packing", packing_stage),
 ]
-#: A trained classifier, robust estimates and library tokens have no SQL form; tests hold the stages against brute force.
+#: A trained classifier, robust estimates and library tokens have no SQL form; tests hold the operators, not this chain, against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents table."""
+    """The last stage's rows for the documents table; what a stage gives is written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

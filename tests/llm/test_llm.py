@@ -355,3 +355,25 @@ def test_pipeline(spark, tmp_path):
 
 def test_every_query_is_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_pipeline_keeps_the_least_content_hash_of_an_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = [(i % 10, prose(rng, 60)) for i in range(60)]
+    docs = frame(spark, rows)
+    hashes = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    least = {i: min((r.h, r.text) for r in hashes if r.doc_id == i)[1] for i in range(10)}
+    for order in (F.col("text").asc(), F.col("text").desc()):
+        out = corpus_pipeline.near_dedup_stage(spark, docs.orderBy(order).coalesce(1), SF).collect()
+        assert {r.doc_id: r.text for r in out} == least and len(out) == 10
+
+
+def test_pipeline_run_writes_each_stage(spark, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda s, docs, d: read.append(docs.inputFiles()) or docs) for name, _ in corpus_pipeline.STAGES])
+    corpus_pipeline.run(spark, SF)
+    assert all("staged-" in f for files in read[1:] for f in files) and all(read)
