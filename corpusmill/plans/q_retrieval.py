@@ -255,7 +255,7 @@ def v07_pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_METRICS + " SELECT 'all' AS model_key, count(*) AS queries, round(avg(recall_50), 6) AS mean_recall_50, round(avg(recall_100), 6) AS mean_recall_100, round(avg(recall_200), 6) AS mean_recall_200, round(avg(ndcg), 6) AS mean_ndcg, round(avg(mrr), 6) AS mean_mrr FROM m")
 def v08_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of a run; the model's key is a grouping column, so many models are one job."""
+    """Means of a run; the model's key is a grouping column, so many models are one job."""
     key = F.lit("all").alias("model_key")
     metrics = ev.query_metrics(view(spark, sf_dir, "v_qvec").select("query_id", key), _pairs(spark, sf_dir).select("*", key), view(spark, sf_dir, "v_qrels"), by=("model_key",))
     return ev.run_summary(metrics, ["model_key"])
