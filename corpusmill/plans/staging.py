@@ -13,10 +13,12 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` as the cluster names it.
 
-    Only where the setting is absent (tests, one machine) a temporary folder takes its place.
+    Only where the setting is absent and the master is local, a temporary folder takes its place.
     """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")
@@ -25,11 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back.
 
-    A written table is read by column, is compressed, and does not depend on any executor.
+    A written table is read by column, is compressed, and does not depend on any executor. It is
+    deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
