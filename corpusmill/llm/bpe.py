@@ -19,8 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusmill.llm.pretokens import Encoder, gather
+from corpusmill.llm.words import freeing
 from corpusmill.plans.staging import text_batches
 
+#: Words that a worker remembers: a merge costs far more than a place in the table.
+REMEMBERED = 1_600_000
+
 
 @cache
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -105,7 +109,16 @@ def merge(word: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
 def encoder(path: str) -> Encoder:
     ranks = vocabulary(path)
     queue = RankQueue(max(ranks.values()) + 1)
-    return Encoder(lambda words: [array("I", merge(w.encode(), ranks, queue)).tobytes() for w in words])
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = array("I"), array("q")
+        for word in words:
+            ids = merge(word.encode(), ranks, queue)
+            flat.extend(ids)
+            sizes.append(len(ids))
+        return np.frombuffer(flat, np.uint32), np.frombuffer(sizes, np.int64)
+
+    return Encoder(encode, most=REMEMBERED)
 
 
 @cache
@@ -129,6 +142,7 @@ def decoded(ids: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
+@freeing
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     coder = encoder(path)
     for batch in batches:
@@ -138,6 +152,7 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), rows, decoded(ids, ends, path)], ["doc_id", "ids", "decoded"])
 
 
+@freeing
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [np.array(x or [], np.int64) for x in batch.column("ids").to_pylist()]

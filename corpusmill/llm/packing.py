@@ -1,7 +1,8 @@
 """Packing documents into sequences of bounded length by Karmarkar-Karp differencing.
 
 Each document's ids are cut into full sequences and shorter pieces of at most PART ids. Pieces are
-dealt into lots by a hash, a lot for about LOT_TOKENS ids, so that every lot is one bounded task.
+dealt into lots by a hash of their place in the table, a lot for about LOT_TOKENS ids, so that every
+lot is one bounded task.
 Within a lot, multiway differencing splits the pieces into windows of nearly equal length; while the
 longest exceeds the capacity, the number of windows rises.
 """
@@ -10,64 +11,78 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.pretokens import Encoder
+from corpusmill.llm.words import freeing, mix
 from corpusmill.plans.staging import staged, text_batches
 
-#: SLACK is the share of padding below which differencing is not tried.
-CAPACITY, PART, LOT_TOKENS, SLACK = 1024, 256, 1 << 17, 0.005
+#: A lot has about LOT_TOKENS ids and LOT_PIECES pieces at most; SLACK is the share of padding below which differencing is not tried.
+CAPACITY, PART, LOT_TOKENS, LOT_PIECES, SLACK = 1024, 256, 1 << 17, 1 << 12, 0.005
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = _PIECES + ", sequence_id long, offset long"
 
 
 @cache
 def encoder(path: str) -> Encoder:
-    from tokenizers import Tokenizer
+    """Pre-tokens are found here and their ids come from the library, which cuts no further; its added tokens stand for themselves."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings are ordinary text
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def ids_of(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    border = ids_of("\n")[0]
+    return Encoder(encode, {token.content: number for number, token in tokenizer.get_added_tokens_decoder().items()})
 
-    def encode(words: list[str]) -> list[bytes]:
-        """Words of letters, perhaps after a blank, go to the library as lines of one text: a line's end is a token of its own there."""
-        plain = [w.isalpha() or w[0] == " " and w[1:].isalpha() for w in words]
-        ids = ids_of("\n".join(w for w, x in zip(words, plain, strict=True) if x))
-        data, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == border)).tolist(), 4 * len(ids)]
-        lines = (data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True))
-        return [next(lines) if x else ids_of(w).tobytes() for w, x in zip(words, plain, strict=True)]
 
-    return Encoder(encode)
+def cut(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, start and length of the pieces of documents of these sizes: full sequences, then parts of PART ids at most."""
+    full = sizes // capacity
+    count = full + -(-(sizes % capacity) // PART)
+    owner = np.repeat(np.arange(len(sizes)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    rest = np.maximum(nth - full[owner], 0)
+    start = np.minimum(nth, full[owner]) * capacity + rest * PART
+    return owner, start, np.where(nth < full[owner], capacity, np.minimum(PART, sizes[owner] - start))
 
 
+@freeing
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    coder = encoder(path)
+    coder, met, task = encoder(path), 0, TaskContext.get()
+    salt = np.uint64((task.partitionId() if task else 0) << 40)
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        names = batch.column("doc_id").to_pylist()
         for lo, hi, ids, ends in coder.batches(texts):
-            rows, begin = [], 0
-            for name, stop in zip(names[lo:hi], ends.tolist(), strict=True):
-                own = np.append(ids[begin:stop], end_id).astype("<u4").tobytes()
-                total, at, begin = len(own) // 4, 0, stop
-                while at < total:
-                    size = capacity if total - at >= capacity else min(PART, total - at)
-                    rows.append((name, at, size, zlib.crc32(own[4 * at : 4 * (at + size)]), total))
-                    at += size
-            columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            sizes = np.diff(ends, prepend=0) + 1
+            after = np.cumsum(sizes)
+            whole = np.full(after[-1], end_id, "<u4")
+            own = np.ones(len(whole), bool)
+            own[after - 1] = False
+            whole[own] = ids
+            owner, start, length = cut(sizes, capacity)
+            begin = after[owner] - sizes[owner] + start
+            data = memoryview(whole.tobytes())
+            sums = [zlib.crc32(data[a:b]) for a, b in zip((4 * begin).tolist(), (4 * (begin + length)).tolist(), strict=True)]
+            # Lots are dealt by place in the table, so rows without an id and copies go to many.
+            deal = mix(np.arange(met, met + len(owner), dtype=np.uint64) + salt).view(np.int64)
+            met += len(owner)
+            columns = [batch.column("doc_id").slice(lo, hi - lo).take(pa.array(owner)), *(pa.array(c, pa.int64()) for c in (start, length, sums, sizes[owner], deal))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
 
 
 def differenced(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -137,14 +152,13 @@ def _pack_lot(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row for each piece of every row of `docs` (doc_id, text), with its place in a sequence.
 
-    A document's ids are those of the tokenizer file `path`, then `end_id`; a null text is empty and
-    has `end_id` alone. start and length tell the piece, sequence_id and offset its place. Repeated
-    rows are packed as often as they occur; other columns are ignored; no rows give no pieces.
+    A document's ids are those of the tokenizer file `path`, then `end_id`; the file's added tokens
+    are met in texts as the library meets them, so their strings are single ids. A null text is empty
+    and has `end_id` alone; rows with a null or repeated doc_id are documents of their own. start and length tell the piece, sequence_id and offset its place. Other
+    columns are ignored; no rows give no pieces.
     """
-    cut = text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(partial(_cut, path=path, capacity=capacity, end_id=end_id), _PIECES)
-    cut = staged(cut)
-    tokens = cut.agg(F.sum("length")).first()[0] or 0
-    lots = max(1, -(-tokens // LOT_TOKENS))
-    # A few lots share a key's hash at random, never by content: copies of a document go apart.
-    dealt = cut.withColumn("lot", F.expr(f"pmod(xxhash64(doc_id, start, 97), {lots}L)"))
+    pieces = staged(text_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(partial(_cut, path=path, capacity=capacity, end_id=end_id), _PIECES + ", deal long"))
+    tokens, count = pieces.agg(F.sum("length"), F.count("*")).first()
+    lots = max(1, -(-(tokens or 0) // LOT_TOKENS), -(-count // LOT_PIECES))
+    dealt = pieces.withColumn("lot", F.expr(f"pmod(deal, {lots}L)")).drop("deal")
     return dealt.groupBy("lot").applyInPandas(lambda rows: _pack_lot(rows, capacity), PACKED)
