@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import as_bytes, chunks, word_hashes
+from corpusmill.llm.words import as_bytes, chunks, freeing, word_hashes
 from corpusmill.plans.staging import text_batches
 
 #: Labelled rows for fitting at most, bins of a feature, bins of a feature in a pair, pairs, cycles and step.
@@ -143,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
     tables = [np.zeros(len(b) + 1) for b in borders]
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return Model(borders, coarse, bias, tables, [], [])
     bins = [np.searchsorted(b, c, side="right") for b, c in zip(borders, x.T, strict=True)]
     cells = [np.searchsorted(b, c, side="right") for b, c in zip(coarse, x.T, strict=True)]
@@ -178,6 +178,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return Model(borders, coarse, bias, tables, pairs, pair_tables)
 
 
+@freeing
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_bytes(batch.column("text"))
@@ -187,6 +188,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), rows], ["doc_id", "x"])
 
 
+@freeing
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_bytes(batch.column("text"))
@@ -203,10 +205,11 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """A model fitted on at most TRAINING_ROWS labelled documents outside the held-out fold, chosen by a hash of doc_id."""
     text_batches(docs)
     rows = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"))  # of several labels the worst counts
     # At most TRAINING_ROWS ids and labels are broadcast, and as many rows of features come to the driver.
-    chosen = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(TRAINING_ROWS)
+    chosen = rows.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(TRAINING_ROWS)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    found = texts.mapInArrow(_featured, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(TRAINING_ROWS).toPandas()
+    found = texts.mapInArrow(_featured, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "x").limit(TRAINING_ROWS).toPandas()
     x = np.array(found["x"].tolist(), np.float64).reshape(len(found), len(FEATURES))
     return fit(x, found["y"].to_numpy(np.float64))
 
