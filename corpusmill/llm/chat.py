@@ -5,7 +5,8 @@ backslash are escaped: `\` as `\\`, `###` as `\h`, `</turn>` as `\e`, and in rol
 that no text can open or close a turn and reading back restores every text.
 
 A batch of turns is put together by columns: the lengths of all segments give their offsets by
-cumulative sums, and headers, texts and ends are copied by index into one buffer made beforehand.
+cumulative sums, and headers, texts and ends are copied by index into one buffer made beforehand, which
+becomes the column of an Arrow table as it is.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.words import freeing
+
 OPEN, CLOSE = "### ", "</turn>\n"
 LEARNED = "assistant"
 #: Bytes after which a part of a very long conversation ends.
@@ -66,6 +69,15 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, ends[:, 2], ends[:, 0], ends[:, 1]
 
 
+def cuts_of(ids: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
+    """Where rows begin: at each conversation's first turn, and where its turns up to there fill another `limit` bytes."""
+    first = np.concatenate(([True], ids[1:] != ids[:-1]))
+    opened = np.maximum.accumulate(np.where(first, np.append(0, ends[:-1]), 0))
+    filled = (ends - opened - 1) // limit
+    return np.flatnonzero(first | np.concatenate(([False], filled[1:] != filled[:-1])))
+
+
+@freeing
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = 0
     for batch in batches:
@@ -73,25 +85,21 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         roles, texts = (pc.fill_null(batch.column(c).cast(pa.large_string()), "") for c in ("role", "text"))
         data, ends, lo, hi = assemble(roles, texts)
-        learned = np.asarray(pc.equal(roles, LEARNED))
-        ids, turns = batch.column("conv_id"), batch.column("turn").to_pylist()
-        # A row for each run of one conversation, or less where that would be too long.
-        same = ids.to_pylist()
-        cuts, held = [0], 0
-        for i in range(1, len(same)):
-            begin = int(ends[cuts[-1] - 1]) if cuts[-1] else 0
-            held = int(ends[i]) - begin
-            if same[i] != same[i - 1] or held > PART:
-                cuts.append(i)
-        cuts.append(len(same))
-        rows = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            begin = int(ends[a - 1]) if a else 0
-            own = np.flatnonzero(learned[a:b]) + a
-            rows.append((same[a], turns[a], part, data[begin : int(ends[b - 1])].tobytes().decode(), b - a, (lo[own] - begin).astype(np.int32), (hi[own] - begin).astype(np.int32)))
-            part += 1
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FORMATTED.split(", ")])
+        ids = batch.column("conv_id")
+        # Numbers that differ where conversations do; null is one of them.
+        cut = cuts_of(ids.dictionary_encode(null_encoding="encode").indices.to_numpy(), ends, PART)
+        stop = np.append(cut[1:], len(ends))
+        begin = np.append(0, ends)[cut]
+        # The buffer itself becomes the column of texts; spans are places within their row.
+        formatted = pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(np.append(begin, ends[-1])), pa.py_buffer(data)).cast(pa.string())
+        own = np.flatnonzero(np.asarray(pc.equal(roles, LEARNED)))
+        row = np.searchsorted(cut, own, side="right") - 1
+        offsets = pa.array(np.searchsorted(own, np.append(cut, len(ends))).astype(np.int32))
+        spans = [pa.ListArray.from_arrays(offsets, pa.array((x[own] - begin[row]).astype(np.int32))) for x in (lo, hi)]
+        first = pa.array(cut)
+        columns = [ids.take(first), batch.column("turn").take(first), pa.array(np.arange(part, part + len(cut), dtype=np.int32)), formatted, pa.array((stop - cut).astype(np.int32)), *spans]
+        part += len(cut)
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FORMATTED.split(", ")])
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -115,6 +123,7 @@ def _read(formatted: str) -> Iterator[tuple[str, str]]:
         yield unescaped(role), unescaped(text)
 
 
+@freeing
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, now, state = [], object(), None
 
