@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.words import _BYTE, as_bytes, chunks, mix, prefix_hash, span_hash
+from corpusmill.llm.words import _BYTE, as_bytes, chunks, freeing, mix, prefix_hash, span_hash
 from corpusmill.plans.staging import staged, text_batches
 
 WINDOW, ANCHOR = 50, 16
 #: Bytes of text for which there is one bucket, and entries that a task packs at a time.
-BUCKET_BYTES, FLUSH = 4 << 20, 1 << 20
+BUCKET_BYTES, FLUSH = 4 << 20, 1 << 19
 #: Runs from which an anchor is hot, about a bucket's; one of so many parts of the text is counted; characters from which a text is counted by a piece.
 HOT_RUNS, SAMPLE, LONG = BUCKET_BYTES // 17, 64, 1 << 16
 _LOW = np.uint64((1 << 40) - 1)  # the bytes of an anchor that travel
@@ -119,6 +119,7 @@ def _is_hot(anchor: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.isin(anchor & _LOW, hot)
 
 
+@freeing
 def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_bytes(batch.column("text"))
@@ -136,6 +137,14 @@ def hot_anchors(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.anchor for r in counts.where(F.col("n") > HOT_RUNS / SAMPLE).collect()], np.uint64))
 
 
+def met(bucket: np.ndarray, spans: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur in sorted ones and where each begins and the last ends; one of no rows where there are only spans."""
+    present, first = np.unique(bucket, return_index=True)
+    if not len(present) and spans:
+        present, first = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    return present, np.append(first, len(bucket))
+
+
 def _pack(columns: list[np.ndarray], ids: np.ndarray, hashes: np.ndarray, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: entries that are the smallest of their kind here, and spans that are known to go."""
     order, _, gone = _owned(columns, ids)
@@ -144,13 +153,11 @@ def _pack(columns: list[np.ndarray], ids: np.ndarray, hashes: np.ndarray, bucket
     columns = [c[left] for c in columns]
     bucket = (np.where(_is_hot(columns[0], hot), columns[1], columns[0]) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    span_bounds = np.linspace(0, len(row), buckets + 1).astype(int)
+    present, bounds = met(bucket[by], len(row))
+    span_bounds = np.linspace(0, len(row), len(present) + 1).astype(int)
     out = ([], [])
-    for k in range(buckets):
-        mine, spans = by[bounds[k] : bounds[k + 1]], slice(span_bounds[k], span_bounds[k + 1])
-        if not len(mine) and spans.start == spans.stop:
-            continue
+    for i, k in enumerate(present.tolist()):
+        mine, spans = by[bounds[i] : bounds[i + 1]], slice(span_bounds[i], span_bounds[i + 1])
         rows = np.concatenate([columns[2][mine].astype(np.int64), row[spans]])
         used, local = np.unique(rows, return_inverse=True)
         # Five bytes of the anchor and six of the block tell entries apart; the rest are small numbers.
@@ -190,6 +197,7 @@ def _joined(parts: list[list[np.ndarray]], sizes: list[int]) -> list[np.ndarray]
     return [np.concatenate(c) for c in zip(*moved, strict=True)]
 
 
+@freeing
 def _map_runs(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     held, ids, hashes, entries = [], [], [], 0
     for batch in batches:
@@ -236,15 +244,16 @@ def _pack_windows(held: list[tuple[int, int, int, bytes]], buckets: int) -> Iter
     left = np.flatnonzero(~gone)
     bucket = (keys[left] % np.uint64(buckets)).astype(np.int64)
     by = left[np.argsort(bucket, kind="stable")]
-    bounds = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-    span_bounds = np.linspace(0, len(run), buckets + 1).astype(int)
-    for k in range(buckets):
-        mine, spans = by[bounds[k] : bounds[k + 1]], slice(span_bounds[k], span_bounds[k + 1])
+    present, bounds = met(np.sort(bucket), len(run))
+    span_bounds = np.linspace(0, len(run), len(present) + 1).astype(int)
+    for i, k in enumerate(present.tolist()):
+        mine, spans = by[bounds[i] : bounds[i + 1]], slice(span_bounds[i], span_bounds[i + 1])
         if len(mine) or spans.start < spans.stop:
             parts = [np.array([len(mine), spans.stop - spans.start]), keys[mine], d[row[mine]], th[row[mine]], start[mine], d[run[spans]], th[run[spans]], first[spans], end[spans] - first[spans]]
             yield k, b"".join(p.tobytes() for p in parts)
 
 
+@freeing
 def _cut_runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The bytes under each open run; of hot ones the windows instead, at place -1."""
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -328,6 +337,7 @@ def _sort_bucket(rows: pd.DataFrame, hot: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"d": ids[row], "th": hashes[row], "pos": pos.astype(np.int32), "size": size.astype(np.int32), "open": open_, "bucket": bucket.astype(np.int32)})
 
 
+@freeing
 def _apply(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -360,10 +370,11 @@ def without_repeats(docs: DataFrame, carry: list[Column | str] | None = None, as
     Every byte of a text's UTF-8 that lies in a string of WINDOW bytes which also occurs in a document
     with a smaller doc_id is removed; kept is the rest, as bytes, or, with
     `as_text`, as text without characters that lost a byte. Repeats within a document stay, as
-    do those of rows with the same doc_id. A null text is empty; a null doc_id counts as the largest.
+    do those of rows with the same doc_id. A null text is empty; a null doc_id counts as the largest possible.
     carried is a struct of the columns named in `carry`; other columns are ignored; no rows give none.
     """
-    texts = text_batches(docs).select(F.struct(*carry).alias("carried") if carry else F.struct(F.lit(0).alias("none")).alias("carried"), _keyed(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), (F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))).alias("rest"))
+    texts = text_batches(docs).select(own.alias("carried"), _keyed(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     hot = hot_anchors(texts)
@@ -375,5 +386,5 @@ def without_repeats(docs: DataFrame, carry: list[Column | str] | None = None, as
     kind = T.StructType.fromDDL(f"d long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").add(texts.schema["carried"])
     kind = T.StructType([kind["d"], kind["carried"], kind["n_removed"], kind["n_spans"], kind["kept"]])
     out = texts.join(_by_row(gone), ["d", "th"], "left").mapInArrow(partial(_apply, as_text=as_text), kind)
-    doc_id = F.when(F.col("d") != _LARGEST, F.col("d")).alias("doc_id")
-    return out.select(doc_id, (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept", "carried")
+    n_bytes = (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes")
+    return out.select(F.col("carried.doc_id").alias("doc_id"), n_bytes, "n_removed", "n_spans", "kept", F.col("carried.rest").alias("carried"))
