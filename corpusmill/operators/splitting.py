@@ -1,24 +1,32 @@
 """Cutting one oversized section at paragraphs and sentences, with mathematics kept whole.
 
-A helper for the Arrow stage of the section tree. Places that must not be cut are marked in one
-array over the characters of the section, so that every later test is an index into it.
+A helper for the Arrow stage of the section tree. All places where a text might be cut are found at
+once and become a table with a column for each thing that speaks for or against a cut; rules over
+these columns pick the cuts, and windows are packed by prefix sums of the units' tokens.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
-# Patterns of mathematics, paragraph and sentence borders, and commands that go on a sentence.
+import numpy as np
+
+# Patterns of mathematics, of paragraph and sentence borders, and of tokens.
 _INLINE = re.compile(r"(?<!\$)\$(?!\$)(?:\\.|[^$\n\\])+?\$(?!\$)|\\\((?:\\.|[^\\)\n])+?\\\)")
 _OPENING = re.compile(r"\$\$|\\\[|\\begin\{([^}]*)\}|\\begin\{")
 _BREAK = re.compile(r"(?:\r?\n)\s*(?:\r?\n)+")
 _SENTENCE = re.compile(r"[.!?]+[\"')\]]*(?:\s+|$)", re.MULTILINE)
-_SHORT = re.compile(r"\b[ei]\.[ge]\.$", re.IGNORECASE)
-_GOES_ON = re.compile(r"[(\[{$]|\\[\[(\\]|\\(?:cite|citet|citep|citealp|citeauthor|citeyear|parencite|textcite|footcite|ref|eqref|autoref|cref|Cref)")
+_ABBREVIATION = re.compile(r"\b(?=[ei]\.[ge]\.)", re.IGNORECASE)
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_CLOSERS = "\"')]}"
+# Signs that end a sentence, that may close after it, and after which a line goes on.
+_ENDS, _CLOSERS, _OPEN = ".!?", "\"')]}", ":;,([{"
+# What a sentence goes on with, besides small letters and digits.
+_GO_ON = (
+    "(", "[", "{", "$", "\\[", "\\(", "\\\\",
+    "\\cite", "\\citet", "\\citep", "\\citealp", "\\citeauthor", "\\citeyear", "\\parencite", "\\textcite", "\\footcite",
+    "\\ref", "\\eqref", "\\autoref", "\\cref", "\\Cref",
+)
 
 
 @dataclass
@@ -45,110 +53,127 @@ def block_math(text: str) -> list[tuple[int, int]]:
 
 def marks(text: str) -> bytearray:
     """For every character: 0, 1 in an inline formula, 2 in a display formula."""
-    out = bytearray(len(text))
-    for m in _INLINE.finditer(text):
-        out[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-    for a, b in block_math(text):
-        out[a:b] = b"\2" * (b - a)
-    return out
+    out = np.zeros(len(text), np.uint8)
+    for number, spans in ((1, [m.span() for m in _INLINE.finditer(text)]), (2, block_math(text))):
+        turn = np.zeros(len(text) + 1, np.int64)
+        for column, by in ((0, 1), (1, -1)):
+            np.add.at(turn, [span[column] for span in spans], by)
+        out[np.cumsum(turn)[:-1] > 0] = number
+    return bytearray(out.tobytes())
 
 
-class Splitter:
-    """Borders inside one text."""
+def _spans(pattern: re.Pattern, text: str, *within: int) -> tuple[np.ndarray, np.ndarray]:
+    found = np.array([m.span() for m in pattern.finditer(text, *within)], np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
-    def __init__(self, text: str):
-        self.text, self.mark = text, marks(text)
-        spans = [m.span() for m in _TOKEN.finditer(text)]
-        self.first, self.last = [a for a, _ in spans], [b for _, b in spans]
 
-    def tokens(self, start: int, end: int) -> int:
-        """Tokens that overlap [start, end)."""
-        return max(0, bisect_left(self.first, end) - bisect_right(self.last, start))
+def _last_where(mask: np.ndarray) -> np.ndarray:
+    """For every place the last one up to it where `mask` holds, or -1."""
+    return np.maximum.accumulate(np.where(mask, np.arange(len(mask)), -1))
 
-    def _inside(self, start: int, end: int) -> bool:
-        return bool(self.mark[start] or self.mark[end - 1])
 
-    def _goes_on(self, i: int) -> bool:
-        c = self.text[i]
-        return c.islower() or c.isdigit() or bool(_GOES_ON.match(self.text, i))
+#: A paragraph goes on over a blank line where one of these groups of signs holds; `not x` is the absence of x.
+_SAME_PARAGRAPH = [
+    ["formula"],
+    ["display before"],
+    ["display after", "not finished"],
+    ["display after", "goes on"],
+    ["words before", "not heading after", "abbreviation"],
+    ["words before", "not heading after", "open"],
+    ["words before", "not heading after", "hyphen", "small letter"],
+    ["words before", "not heading after", "not finished", "goes on"],
+]
+#: A sentence goes on where one of these holds.
+_SAME_SENTENCE = [["formula"], ["abbreviation"], ["goes on"]]
 
-    def _end(self, i: int) -> int:
-        """The last character up to i that is neither white space nor a closing sign after it."""
-        return len(self.text[: i + 1].rstrip().rstrip(_CLOSERS)) - 1
 
-    def _is_short(self, i: int) -> bool:
-        return bool(_SHORT.search(self.text[max(0, i - 8) : i + 1]))
+class Splitter:
+    """Borders inside one text."""
 
-    def _finished(self, i: int) -> bool:
-        k = self._end(i)
-        return k >= 0 and self.text[k] in ".!?" and not self._is_short(k)
+    def __init__(self, text: str):
+        self.text, self.mark = text, np.frombuffer(marks(text), np.uint8)
+        self.first, self.last = _spans(_TOKEN, text)
+        chars = np.array(list(text), "U1") if text else np.zeros(0, "U1")
+        self.chars, self.filled = chars, np.char.strip(chars) != ""
+        self.short = np.zeros(len(text), bool)
+        self.short[_spans(_ABBREVIATION, text)[0] + 3] = True  # at the second of its points
+        # The last sign up to a place that isn't blank, and then the last up to there that doesn't just close.
+        self.solid, self.core = _last_where(self.filled), _last_where(~np.isin(chars, list(_CLOSERS)))
+        self.following = np.append(len(text) - 1 - _last_where(self.filled[::-1])[::-1], len(text))  # the next that isn't blank
 
-    def _one_paragraph(self, before: int, after: int) -> bool:
-        """Whether the text goes on from one side of a blank line to the other."""
-        if self.mark[before] == 2 or self.mark[after] == 2 and (not self._finished(before) or self._goes_on(after)):
-            return True
-        k, c = self._end(before), self.text[after]
-        if c == "#" or k < 0:
-            return False
-        if self._is_short(k) or self.text[k] in ":;,([{" or self.text[k] == "-" and c.islower():
-            return True
-        return not self._finished(before) and (self._goes_on(after) or c.islower())
+    def tokens(self, start: int, end: int) -> int:
+        """Tokens that overlap [start, end)."""
+        return max(0, int(np.searchsorted(self.first, end) - np.searchsorted(self.last, start, side="right")))
+
+    def _signs(self, start: np.ndarray, end: np.ndarray, ended: np.ndarray) -> dict[str, np.ndarray]:
+        """What is known of borders [start, end), each with text after it; `ended` is the sign that the text before it ends with, or -1."""
+        after = self.following[end]
+        here, last = self.chars[after], np.where(ended >= 0, self.chars[ended], "")
+        small = np.char.islower(here)
+        short = (ended >= 0) & self.short[ended]
+        return {
+            "formula": (self.mark[start] > 0) | (self.mark[end - 1] > 0),
+            "display after": self.mark[after] == 2,
+            "words before": ended >= 0,
+            "heading after": here == "#",
+            "abbreviation": short,
+            "open": np.isin(last, list(_OPEN)),
+            "hyphen": last == "-",
+            "finished": np.isin(last, list(_ENDS)) & ~short,
+            "small letter": small,
+            "goes on": small | np.char.isdigit(here) | np.array([self.text.startswith(_GO_ON, i) for i in after.tolist()], bool),
+        }
+
+    @staticmethod
+    def _any(rules: list[list[str]], signs: dict[str, np.ndarray]) -> np.ndarray:
+        value = lambda name: ~signs[name[4:]] if name.startswith("not ") else signs[name]
+        return np.any([np.all([value(name) for name in rule], axis=0) for rule in rules], axis=0)
 
     def paragraphs(self) -> list[Window]:
-        out, at, n = [], 0, len(self.text)
-        for m in _BREAK.finditer(self.text):
-            if m.start() <= at or self._inside(*m.span()):
-                continue
-            before, after = len(self.text[: m.start()].rstrip()) - 1, m.end()
-            while after < n and self.text[after].isspace():
-                after += 1
-            if before >= 0 and after < n and self._one_paragraph(before, after):
-                continue
-            out.append(Window(at, m.start()))
-            at = m.end()
-        return [*out, Window(at, n)] if at < n else out
+        start, end = _spans(_BREAK, self.text)
+        inside = start > 0
+        start, end = start[inside], end[inside]
+        before = self.solid[start - 1] if len(start) else start
+        goes_on = (self.mark[start] > 0) | (self.mark[end - 1] > 0)
+        # Borders with text on both sides; those at the text's edges only keep formulas whole.
+        full = np.flatnonzero((before >= 0) & (self.following[end] < len(self.text)))
+        signs = self._signs(start[full], end[full], self.core[before[full]])
+        signs["display before"] = self.mark[before[full]] == 2
+        goes_on[full] |= self._any(_SAME_PARAGRAPH, signs)
+        cut = ~goes_on
+        starts, ends = np.append(0, end[cut]), np.append(start[cut], len(self.text))
+        return [Window(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if a < b]
 
     def sentences(self, p: Window) -> list[Window]:
-        cuts = [p.start]
-        for m in _SENTENCE.finditer(self.text, p.start, p.end):
-            after = m.end()
-            if after >= p.end or self._inside(*m.span()) or self._is_short(m.start()):
-                continue
-            while after < p.end and self.text[after].isspace():
-                after += 1
-            if after < p.end and not self._goes_on(after):
-                cuts.append(m.end())
-        return [Window(a, b) for a, b in zip(cuts, [*cuts[1:], p.end], strict=True)]
+        start, end = _spans(_SENTENCE, self.text, p.start, p.end)
+        inside = end < p.end
+        inside[inside] = self.following[end[inside]] < p.end
+        start, end = start[inside], end[inside]
+        cut = end[~self._any(_SAME_SENTENCE, self._signs(start, end, start))].tolist()
+        return [Window(a, b) for a, b in zip([p.start, *cut], [*cut, p.end], strict=True)]
 
     def units(self, max_tokens: int) -> list[Window]:
         """Paragraphs, and the sentences of those that are too long; blank ones go."""
-        out = []
-        for p in self.paragraphs():
-            p.tokens = self.tokens(p.start, p.end)
-            inner = self.sentences(p) if p.tokens > max_tokens else [p]
-            for u in inner:
-                u.tokens = self.tokens(u.start, u.end)
-                if self.text[u.start : u.end].strip():
-                    out.append(u)
-        return out or [Window(0, len(self.text), self.tokens(0, len(self.text)))]
+        whole = Window(0, len(self.text))
+        found = [u for p in self.paragraphs() for u in (self.sentences(p) if self.tokens(p.start, p.end) > max_tokens else [p])]
+        kept = [u for u in found if self.filled[u.start : u.end].any()] or [whole]
+        return [Window(u.start, u.end, self.tokens(u.start, u.end)) for u in kept]
 
 
 def pack(units: list[Window], max_tokens: int, overlap: int = 0) -> list[Window]:
-    """Windows of consecutive units up to max_tokens; with an overlap, a window starts where at most that many tokens of the one before are left."""
+    """Windows of consecutive units up to max_tokens; with an overlap, a window starts where at most that many tokens of the one before are left.
+
+    A unit above the limit is a window of its own.
+    """
+    sums = np.cumsum([0, *(u.tokens for u in units)])
     out, i = [], 0
     while i < len(units):
-        j, total = i, 0
-        while j < len(units) and total + units[j].tokens <= max_tokens:
-            total += units[j].tokens
-            j += 1
-        out.append(Window(units[i].start, units[max(i, j - 1)].end, total or units[i].tokens))
-        if j == i or overlap <= 0:
-            i = max(j, i + 1)
-            continue
-        passed, goal = 0, max(1, total - overlap)
-        while i < j and passed < goal:
-            passed += units[i].tokens
-            i += 1
+        full = int(np.searchsorted(sums, sums[i] + max_tokens, side="right")) - 1
+        j = max(full, i + 1)
+        held = int(sums[j] - sums[i])
+        out.append(Window(units[i].start, units[j - 1].end, held))
+        passed = int(np.searchsorted(sums, sums[i] + max(1, held - overlap)))
+        i = min(passed, j) if overlap > 0 and full > i else j
     return out
 
 
