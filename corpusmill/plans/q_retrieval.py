@@ -38,10 +38,10 @@ vd AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_distance(CAST(qvec
 vt AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS vector_rank FROM vd),
 vtk AS (SELECT * FROM vt WHERE vector_rank <= 50)"""
 _BOTH = "(SELECT e.vec_id, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.text <> '')"
-_FUSED = duck("v_qtext", "v_qvec") + _TEXT.replace("FROM documents WHERE", "FROM documents JOIN embeddings ON vec_id = doc_id WHERE") + _TEXT_TOP + _VECTOR_TOP.format(id="query_id // 20", source=_BOTH) + """,
+_FUSED = duck("v_qtext", "v_qvec") + _TEXT + _TEXT_TOP + _VECTOR_TOP.format(id="query_id // 20", source=_BOTH) + """,
 ff AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, text_rank, vector_rank,
   round(coalesce(0.3::DOUBLE / (64 + text_rank), 0) + coalesce(0.7::DOUBLE / (64 + vector_rank), 0), 12) AS rrf_score
-  FROM (SELECT * FROM ttk WHERE query_id IN (SELECT query_id FROM qv)) a FULL JOIN (SELECT * FROM vtk WHERE query_id IN (SELECT query_id FROM q)) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
+  FROM ttk a FULL JOIN (SELECT * FROM vtk WHERE query_id IN (SELECT query_id FROM q)) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
 fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS INTEGER) AS fused_rank FROM ff),
 fused AS (SELECT * FROM fr WHERE fused_rank <= 100)"""
 _DOCS = "(SELECT doc_id, text, concat('T', chr(10), source) AS title, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE concat('J', lang) END AS journal_ref, concat('https://www.doi.org/10.1/', CAST(doc_id AS VARCHAR)) AS doi_url FROM documents)"
