@@ -2,7 +2,7 @@
 
 Groups of equal texts are placed whole, the largest first, each where the dot product of its vector
 (bytes, tokens, rows, as shares of a shard) with the shard's residual capacity is highest. Only a
-group that no shard can hold, as it is larger than a shard's share, is split, into as many parts as
+group that no shard can hold, as it is larger than a shard's share, is split, into about as many parts as
 it needs. Groups are dealt by a hash into lots of bounded size, each packed by one task; the bins of
 the lots are items of the next round, until one lot is left.
 """
@@ -20,6 +20,8 @@ from corpusmill.plans.staging import staged
 SHARDS = 24
 #: Items in a lot; rows in a run of slots.
 LOT_ITEMS, SLOT_ROWS = 4000, 2000
+#: What bytes, tokens and rows weigh in the dot product: bytes, whose sizes the law is about, come first.
+WEIGHTS = np.array([64.0, 1.0, 1.0])
 _SIZES = ["bytes", "tokens", "rows"]
 
 
@@ -30,7 +32,7 @@ def _pack_lot(items: pd.DataFrame, shards: int) -> pd.DataFrame:
     order = np.argsort(-share.max(axis=1), kind="stable")
     left, chosen = np.ones((shards, 3)), np.zeros(len(items), np.int32)
     for i in order.tolist():
-        k = int(np.argmax(left @ share[i]))
+        k = int(np.argmax(left @ (share[i] * WEIGHTS)))
         left[k] -= share[i]
         chosen[i] = k
     return items[["a", "b", "c", "lot", *_SIZES]].assign(bin=chosen)
@@ -69,7 +71,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = staged(rows.withColumns({"b": F.col("size") * (1 << 32) + F.col("text_crc32"), "deal": F.monotonically_increasing_id()}))
     total = rows.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).first()
     groups = rows.groupBy("a", "b").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    parts = F.ceil(F.greatest(*(F.col(s) * float(shards) / max(1, total[s] or 1) for s in _SIZES)))
+    share = F.ceil(F.greatest(*(F.col(s) * float(shards) / max(1, total[s] or 1) for s in _SIZES)))
+    parts = F.when(share > 1, share + 1).otherwise(1)  # one more than needed, as rows are dealt by a hash, not evenly
     # At most 3 * shards groups are larger than a shard's share of bytes, tokens or rows.
     hot = groups.withColumn("parts", parts).where("parts > 1 and rows > 1").select("a", "b", "parts")
     cut = rows.join(F.broadcast(hot), ["a", "b"], "left").withColumn("c", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.expr("pmod(xxhash64(deal), parts)")))

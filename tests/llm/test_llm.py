@@ -377,3 +377,167 @@ def test_pipeline_run_writes_each_stage(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda s, docs, d: read.append(docs.inputFiles()) or docs) for name, _ in corpus_pipeline.STAGES])
     corpus_pipeline.run(spark, SF)
     assert all("staged-" in f for files in read[1:] for f in files) and all(read)
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: 98, 98: 97})
+    return s
+
+
+def odd_texts():
+    x = thue_morse(2048)
+    y = x.translate({97: 98, 98: 97})
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    return [f"{x} {y} {y}\n{x}", "x <|endoftext|> y<|endoftext|>", " <|endoftext|>  ", "".join(p + "a" for p in points), "".join(f" {p}1 " for p in points), "it's we'll 'tt I'm's"]
+
+
+def ids_of(coder, texts):
+    out = []
+    for _, _, ids, ends in coder.batches(texts):
+        out += [x.tolist() for x in np.split(ids, ends[:-1])]
+    return out
+
+
+def test_ids_of_odd_texts(reference_encoding):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = odd_texts()
+    assert ids_of(packing.encoder(path), texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids_of(bpe.encoder(MULTI), texts) == [reference_encoding.encode_ordinary(t) for t in texts]
+
+
+def test_a_full_table_of_words_is_forgotten(reference_encoding):
+    rng = random.Random(4)
+    small = pretokens.Encoder(bpe.encoder(MULTI).encode, most=50)
+    texts = [prose(rng, 200, 5000) for _ in range(40)]
+    for t in texts:
+        assert ids_of(small, [t]) == [reference_encoding.encode_ordinary(t)]
+    assert small.words < 500
+
+
+def test_regular_words_have_hashes_of_their_own():
+    x = thue_morse(4096)
+    y = x.translate({97: 98, 98: 97})
+    a, b = shingle_sets([x.encode(), y.encode()])
+    assert a[0] != b[0]
+
+
+def test_rows_without_id_are_dealt_to_many_lots(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LOT_TOKENS", 4096)
+    docs = frame(spark, [(None, "the same words again")] * 6000)
+    sequences = {r.sequence_id >> 20: 0 for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select("sequence_id").distinct().collect()}
+    assert len(sequences) > 4
+
+
+def test_groups_of_equal_texts_stay_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = sharding.shard(docs).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    assert out.groupby("text")["shard"].nunique().max() == 1
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and sizes.max() <= 1.03 * sizes.min()
+
+
+def test_a_group_above_a_shard_is_split(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 40)) for i in range(3000)] + [(None, "hot text " * 20)] * 3000
+    out = sharding.shard(frame(spark, rows)).toPandas()
+    counts = out.groupby("shard")["size"].sum()
+    assert len(counts) == 24 and counts.max() <= 1.05 * counts.min()
+
+
+def test_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5))
+    model = gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    assert model.pairs
+    place = lambda borders, value: sum(value >= b for b in borders)
+    for row, score in zip(x[:40], model.score(x[:40])):
+        total = model.bias + sum(t[place(b, v)] for t, b, v in zip(model.tables, model.borders, row))
+        total += sum(t[place(model.pair_borders[a], row[a]), place(model.pair_borders[b], row[b])] for (a, b), t in zip(model.pairs, model.pair_tables))
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+    assert gam.fit(x[:3], np.array([0.0, 1.0, 1.0])).tables[0].size and not gam.fit(x[:3], np.ones(3)).pairs
+
+
+def test_no_label_has_a_part_in_its_own_probabilities(spark):
+    import dataclasses
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.training_rows(docs, labels, "toxic")
+    before = toxicity.honest(rows, 2)
+    for k in (0, int(np.argmax(rows.toxic)), len(rows.toxic) - 1):
+        turned = rows.toxic.copy()
+        turned[k] = 1 - turned[k]
+        assert np.array_equal(toxicity.honest(dataclasses.replace(rows, toxic=turned), 2)[k], before[k])
+
+
+def test_labels_that_conflict_have_one_meaning(spark, corpus):
+    docs = frame(spark, corpus)
+    rows = [(i, i % 2, i % 3 % 2) for i, _ in corpus]
+    rows += [(i, 1 - q, 1 - t) for i, q, t in rows[:20]]
+    schema = "doc_id long, quality int, toxic int"
+    out = [{r.doc_id: (r.score) for r in gam.quality(docs, spark.createDataFrame(x, schema)).collect()} for x in (rows, rows[::-1])]
+    assert out[0] == out[1]
+    out = [{r.doc_id: r.p_toxic for r in toxicity.toxicity(docs, spark.createDataFrame(x, schema)).collect()} for x in (rows, rows[::-1])]
+    assert out[0] == out[1]
+
+
+def test_outliers_of_small_and_large_groups(spark):
+    """Verdicts against the exact estimate: with one clear cluster the least determinant is that of the clean rows."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 120, 9000), "en", f"s{i % 3}") for i in range(240)]
+    rows += [(1000 + i, prose(rng, 120, 9000), "en", f"lone{i}") for i in range(3)]
+    junk = [(2000 + i, " ".join(f"{'###%%%' * 2}w{i}x{k}" for k in range(70)), "en", s) for i, s in enumerate(["s0", "s1", "lone0", "own"])]
+    docs = spark.createDataFrame([(*r, None) for r in rows + junk], "doc_id long, text string, lang string, source string, g string")
+    out = {r.doc_id: r for r in rules.judged(docs).collect()}
+    assert all(out[i].kept for i, *_ in rows) and not any(out[i].kept for i, *_ in junk)
+    x = np.array([[out[i].word_chars / out[i].n_words, np.log1p(10 * out[i].n_symbols / out[i].n_words)] for i, *_ in rows[:240]])
+    spread = np.cov(x.T) + np.diag([rules.FEATURES["x0"], rules.FEATURES["x1"]]) ** 2
+    far = lambda r: np.array([r.word_chars / r.n_words, np.log1p(10 * r.n_symbols / r.n_words)]) - x.mean(axis=0)
+    for i, *_ in junk:
+        assert far(out[i]) @ np.linalg.solve(spread, far(out[i])) > rules.CUTOFF
+    for i, *_ in rows:
+        assert far(out[i]) @ np.linalg.solve(spread, far(out[i])) < rules.CUTOFF
+
+
+def test_the_largest_id(spark):
+    long = "0123456789" * 6
+    rows = [((1 << 63) - 1, long), (3, long)]
+    assert sorted((r.doc_id, r.n_removed) for r in suffixes.without_repeats(frame(spark, rows)).collect()) == [(3, 0), ((1 << 63) - 1, 60)]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    big = prose(rng, 150_000, 3000)
+    rows = [(1, big), (2, big + " one more"), (3, "short " * 60), (4, "x" * 700_000)]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert out == {i: (n, c) for i, (n, c, _) in brute_components(rows).items()}
+    sizes = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.without_repeats(frame(spark, rows)).collect()}
+    assert sizes[2] == (len(big) + 9, len(big)) and sizes[1] == (len(big), 0)
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert gam.quality(frame(spark, rows), labels).count() == toxicity.toxicity(frame(spark, rows), labels).count() == 4
+    assert sharding.shard(frame(spark, rows)).count() == 4
+
+
+STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_key long, content string, empty string, _row int, _null int"
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_odd_tables(spark, corpus, number):
+    import corpus_pipeline
+
+    _, stage = corpus_pipeline.STAGES[number]
+    rows = [(i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else "s", None, i, "c", "e", i, None) for i, t in corpus]
+    rows += [rows[3], rows[3], (None, "no id " * 60, "en", "s", None, 1, "c", "e", 1, None), (None, None, None, None, None, 1, "c", "e", 1, None)]
+    docs = spark.createDataFrame(rows, STAGE_SCHEMA)
+    order = lambda df: sorted(map(repr, df.collect()))
+    first, second = stage(spark, docs, SF), stage(spark, docs.orderBy(F.desc("row_key")).coalesce(1), SF)
+    if number < 4:
+        assert first.columns == docs.columns and order(first) == order(second)
+        assert {r.doc_id for r in first.collect()} <= {r[0] for r in rows}
+    else:
+        assert first.count() == second.count() and first.select("doc_id").distinct().count() == len({r[0] for r in rows})
+    assert stage(spark, docs.limit(0), SF).count() == 0
