@@ -1,8 +1,8 @@
 """Byte-level BPE: encoding whole texts by a public rank file, and decoding ids.
 
-Merges of one word are ordered by a rank queue: a bitmap over the ranks in three levels of 64-bit
-words, so that the next rank is three find-first-set steps away, and for each rank a bucket of
-places in a linked list of parts. Entries whose pair has changed meanwhile are skipped. The cost of
+Merges of one word are ordered by a rank queue: a bitmap over the ranks in two levels of words, so
+that the next rank is two find-first-set steps away, and for each rank a bucket of places in a
+linked list of parts. Entries whose pair has changed meanwhile are skipped. The cost of
 a word of n bytes is about n log n, so a very long one does no harm.
 """
 
@@ -34,75 +34,74 @@ def vocabulary(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Places by rank. A set bit of `low` stands for a rank with a bucket, one of `middle` or `top` for a word below that is not 0."""
+    """Places by rank. A set bit of a word of `low` stands for a rank with a bucket; `merge` keeps the level above, a bit for each word that is not 0."""
 
     def __init__(self, ranks: int):
-        if ranks > 1 << 18:
-            raise ValueError("three levels of 64 bits hold 262144 ranks")
-        self.low, self.middle, self.top = [0] * (1 << 12), [0] * (1 << 6), 0
+        self.shift = (max(ranks - 1, 1).bit_length() + 1) // 2  # both levels are about as wide
+        self.low = [0] * (((ranks - 1) >> self.shift) + 1)
+        self.bits = [1 << k for k in range(1 << self.shift)]
         self.buckets: dict[int, list[int]] = {}
 
 
-_BITS = [1 << k for k in range(64)]
-
-
 def merge(word: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     """The ids of one word. `queue` is empty before and after.
 
-    Of equal ranks the leftmost place comes first, so a bucket of several places is a heap. Pushing
-    and popping stand here and not in methods, as calls would take most of the time.
+    A part is known by its start; `end` tells where it ends, which is where the next one starts, and
+    `pair` the rank of it and the next. Of equal ranks the leftmost place comes first, so a bucket of
+    several places is a heap. Pushing and popping stand here and not in methods, as calls would take
+    most of the time.
     """
     if (whole := ranks.get(word)) is not None:
         return [whole]
-    low, middle, top, buckets = queue.low, queue.middle, 0, queue.buckets
-    rank_of, n = ranks.get, len(word)
-    parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
-    right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-    new = [(rank_of(word[i : i + 2]), i) for i in range(n - 1)]
+    low, buckets, shift, bits, top = queue.low, queue.buckets, queue.shift, queue.bits, 0
+    rank_of, n, mask = ranks.get, len(word), len(queue.bits) - 1
+    end, left = list(range(1, n + 1)), list(range(-1, n - 1))
+    pair = [rank_of(word[i : i + 2]) for i in range(n - 1)]
+    pair.append(None)
+    new = range(n - 1)
     while True:
-        for rank, i in new:
-            if rank is None:
+        for i in new:
+            if (rank := pair[i]) is None:
                 continue
-            if (bucket := buckets.get(rank)) is None:
-                buckets[rank] = [i]
-                word_at = rank >> 6
-                low[word_at] |= _BITS[rank & 63]
-                middle[word_at >> 6] |= _BITS[word_at & 63]
-                top |= _BITS[word_at >> 6]
+            if rank in buckets:
+                heapq.heappush(buckets[rank], i)
             else:
-                heapq.heappush(bucket, i)
+                buckets[rank] = [i]
+                low[rank >> shift] |= bits[rank & mask]
+                top |= bits[rank >> shift]
         if not top:
-            return [ranks[p] for p in parts if p is not None]
-        a = (top & -top).bit_length() - 1
-        upper = middle[a]
-        b = (a << 6) + (upper & -upper).bit_length() - 1
-        lower = low[b]
-        rank = (b << 6) + (lower & -lower).bit_length() - 1
+            break
+        at = (top & -top).bit_length() - 1
+        lower = low[at]
+        rank = (at << shift) + (lower & -lower).bit_length() - 1
         bucket = buckets[rank]
         if len(bucket) > 1:
             i = heapq.heappop(bucket)
         else:
             i = bucket[0]
             del buckets[rank]
-            low[b] = lower = lower & (lower - 1)
+            low[at] = lower = lower & (lower - 1)
             if not lower:
-                middle[a] = upper = upper & (upper - 1)
-                if not upper:
-                    top &= top - 1
-        new = []
-        j = right[i]
-        if parts[i] is None or j >= n:
-            continue
-        pair = parts[i] + parts[j]
-        if rank_of(pair) != rank:
+                top &= top - 1
+        new = ()
+        if pair[i] != rank:  # stale: one of the two parts has grown or gone
             continue
-        parts[i], parts[j] = pair, None
-        right[i] = k = right[j]
+        j = end[i]
+        end[i] = k = end[j]
+        pair[i] = pair[j] = None
         if k < n:
             left[k] = i
-            new.append((rank_of(pair + parts[k]), i))
+            pair[i] = rank_of(word[i : end[k]])
         if (h := left[i]) >= 0:
-            new.append((rank_of(parts[h] + pair), h))
+            pair[h] = rank_of(word[h:k])
+            new = (i, h)
+        else:
+            new = (i,)
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return ids
 
 
 @cache
