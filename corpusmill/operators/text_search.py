@@ -65,9 +65,9 @@ def _density(places: Column, n: Column) -> Column:
 def ranked(queries: DataFrame, posted: DataFrame) -> DataFrame:
     """(query_id, chunk_id, rank) of all chunks that match a query of queries (query_id, query).
 
-    Postings meet the queries' terms on the term; a chunk matches if it has all terms of an
-    alternative, its phrases in neighbouring places, and none of the excluded ones. rank is the best
-    alternative's cover density.
+    Postings are cut to the queries' terms; a chunk matches if it has all terms of an alternative,
+    its phrases in neighbouring places, and none of the excluded ones. Which chunks have the terms is
+    found first, and only they are joined with their places. rank is the best alternative's cover density.
     """
     wanted = normal_queries(queries).select("query_id", F.posexplode(parsed(F.col("query"))).alias("alt", "a"))
     term = lambda kind, t, phrase, i, size: F.struct(F.lit(kind).alias("kind"), t.alias("term"), phrase.alias("phrase"), i.alias("i"), size.alias("size"))
@@ -77,14 +77,19 @@ def ranked(queries: DataFrame, posted: DataFrame) -> DataFrame:
         F.transform("a.must_not", lambda t: term(_NOT, t, no, zero, zero)),
         F.flatten(F.transform("a.phrases", lambda p, j: F.transform(p, lambda t, i: term(_PHRASE, t, j, i, F.size(p))))),
     )
-    rows = wanted.select("query_id", "alt", F.size("a.must").alias("n"), F.size("a.phrases").alias("phrases"), F.inline(needed))
-    rows = staged(rows)  # of known size: where the terms are few, Spark sends them to the postings
-    # All kinds of terms meet the postings at once, so texts are taken apart once.
-    met = rows.join(posted, "term").groupBy("query_id", "alt", "chunk_id").agg(F.first("n").alias("n"), F.first("phrases").alias("phrases"), F.collect_list(F.struct("kind", "pos", "phrase", "i", "size")).alias("m"))
+    rows = staged(wanted.select("query_id", "alt", F.size("a.must").alias("n"), F.size("a.phrases").alias("phrases"), F.inline(needed)))
+    # Only places of the queries' words go on, once for all queries; the terms are of known size, so few of them are sent to the postings.
+    posted = staged(posted.join(rows.select("term").distinct(), "term", "left_semi"))
+    which = ["query_id", "alt", "chunk_id"]
+    words = posted.select("term", "chunk_id").distinct().join(rows.where(F.col("kind") != _PHRASE), "term")
+    # A word is there once in `words`, so counting them is enough, and places are gathered for whole matches alone.
+    has = words.groupBy(*which).agg(F.count_if(F.col("kind") == _MUST).alias("found"), F.count_if(F.col("kind") == _NOT).alias("banned"), F.first("n").alias("n"))
+    matched = has.where((F.col("found") == F.col("n")) & (F.col("banned") == 0)).select(*which)
+    met = matched.join(rows.where(F.col("kind") != _NOT), ["query_id", "alt"]).join(posted, ["chunk_id", "term"])
+    met = met.groupBy(*which).agg(F.first("n").alias("n"), F.first("phrases").alias("phrases"), F.collect_list(F.struct("kind", "pos", "phrase", "i", "size")).alias("m"))
     of = lambda kind: F.filter("m", lambda x: x["kind"] == kind)
     places = F.array_sort(F.transform(of(_MUST), lambda x: F.struct(x["pos"].alias("pos"), x["i"].alias("k"))))
-    met = met.select("query_id", "chunk_id", "n", "phrases", "m", places.alias("places")).where(F.size(F.array_distinct(F.transform("places", lambda x: x["k"]))) == F.col("n"))
-    met = met.where(~F.exists("m", lambda x: x["kind"] == _NOT))
+    met = met.select("query_id", "chunk_id", "n", "phrases", "m", places.alias("places"))
     # A phrase is there where all its words, each moved back by its place in it, stand at one place.
     moved = F.array_distinct(F.transform(of(_PHRASE), lambda x: F.struct(x["phrase"].alias("phrase"), (x["pos"] - x["i"]).alias("at"), x["i"].alias("i"), x["size"].alias("size"))))
     met = met.withColumn("moved", F.when(F.col("phrases") > 0, moved))
