@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
 from corpusmill.operators import analytics, clean
 from corpusmill.plans.registry import query
-from corpusmill.plans.staging import shared_folder
+from corpusmill.plans.staging import scratch, until_end
 from corpusmill.plans.views import duck, table, view
 from corpusmill.sources import jsonl, tables
 
@@ -43,20 +41,20 @@ def s02_markdown_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT CAST(doc_id AS VARCHAR) AS source_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5, lang FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''")
 def s03_jsonl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents written as JSON lines and read back with checks."""
-    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch(spark, "jsonl")
     docs = table(spark, sf_dir, "documents")
     jsonl.write(docs.select(F.col("doc_id").cast("string").alias("source_id"), "text", F.struct("lang").alias("metadata")), path)
-    found, _ = jsonl.read_documents(spark, path)
+    found, _ = jsonl.read_documents(spark, until_end(spark, path))
     return found.select("source_id", F.md5("text").alias("text_md5"), F.get_json_object("metadata", "$.lang").alias("lang"))
 
 
 @query("SELECT text, concat('[\"', item_id, '\"]') AS relevance FROM benchmark")
 def s04_jsonl_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages written as queries with a relevance beside the metadata, and read back."""
-    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch(spark, "jsonl")
     items = table(spark, sf_dir, "benchmark")
     jsonl.write(items.select("text", F.array(F.col("item_id").cast("string")).alias("relevance"), F.lit("none").alias("metadata")), path)
-    return jsonl.read_queries(spark, path)[0].select("text", "relevance")
+    return jsonl.read_queries(spark, until_end(spark, path))[0].select("text", "relevance")
 
 
 @query(duck("v_chunks") + " SELECT CAST(chunk_id AS VARCHAR) AS source_id, text, 'sample' AS dataset_name FROM v_chunks WHERE text <> '' ORDER BY md5(concat(CAST(chunk_id AS VARCHAR), '7')), chunk_id LIMIT 100")
@@ -72,6 +70,15 @@ def s07_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", "o_orderkey")
 
 
+@query("SELECT doc_id, lang, source FROM documents")
+def s13_load_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset loaded twice under one name: the second load finds it stored and changes nothing."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), scratch(spark, "datasets")
+    tables.load_once(spark, path, docs, "documents")
+    until_end(spark, path)
+    return tables.load_once(spark, path, docs.withColumn("lang", F.lit("other")), "documents")
+
+
 _UPSERT_DUCK = """
 WITH o AS (SELECT o_custkey AS k, o_orderpriority AS p, o_orderkey AS version, o_totalprice AS metric, o_orderdate AS created_at FROM orders),
 m AS (SELECT k, p, max(version) AS version, arg_max(metric, version) AS metric, min(created_at) AS created_at FROM o GROUP BY k, p)

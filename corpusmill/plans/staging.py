@@ -24,6 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def until_end(spark: SparkSession, path: str) -> str:
+    """`path`, which is there and goes when the application ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back.
 
@@ -31,11 +43,9 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     deleted when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = scratch(spark, "staged")
     df.write.partitionBy(*partition_by).parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(until_end(spark, path))
 
 
 #: Rows and bytes of whole texts that a Python worker gets at a time.

@@ -167,6 +167,21 @@ def test_jsonl(spark, tmp_path):
     assert "é" in "".join(p.read_text() for p in (tmp_path / "out").glob("*.json"))
 
 
+def test_jsonl_line_numbers_over_blocks(spark, tmp_path):
+    text = "".join("nope\r\n" if i % 97 == 0 else "\n" if i % 5 == 0 else json.dumps({"text": f"t{i}"}) + "\n" for i in range(1, 3000))
+    (tmp_path / "a.jsonl").write_text(text)
+    (tmp_path / "b.jsonl").write_text("\n[1]")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        found, rejects = jsonl.read_documents(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 4
+        assert sorted((r.file[-7:], r.line, r.value) for r in rejects.collect()) == [("a.jsonl", i, "nope") for i in range(97, 3000, 97)] + [("b.jsonl", 2, "[1]")]
+        assert found.count() == sum(1 for i in range(1, 3000) if i % 97 and i % 5)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_load_once_and_partitions(spark, tmp_path):
     first, second = docs(spark, "a"), docs(spark, "b", "c")
     assert tables.load_once(spark, str(tmp_path), first, "d").count() == 1 and tables.load_once(spark, str(tmp_path), second, "d").count() == 1
@@ -225,6 +240,12 @@ def test_metrics_edges(spark):
     assert out[2][1:] == (0.0,) * 5 and out[1].mrr == 0.5 and out[1].recall_50 == 0.5 and 0 < out[1].ndcg < 1
     with pytest.raises(ValueError, match="no documents"):
         evaluation.clamped_cutoff(5, 0)
+    with pytest.raises(ValueError, match="quantization"):
+        evaluation.clamped_cutoff(5, 9, "int8")
+    specs = {"a": True, "b": False, "c": True}
+    assert evaluation.clamped_cutoff(5, 3) == 3 and evaluation.selected_models(specs) == ["a", "c"] and evaluation.selected_models(specs, ["c", "b"]) == ["c"]
+    with pytest.raises(ValueError, match="unknown models: x"):
+        evaluation.selected_models(specs, ["a", "x"])
 
 
 def test_failed_batches_reject_their_rows_only(spark):
