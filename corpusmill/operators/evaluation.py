@@ -69,8 +69,17 @@ def latency(rows: DataFrame, value: str, by: list[str], exact: bool = True) -> D
     return rows.groupBy(*by).agg(*(F.round(of(p / 100), 6).alias(f"p{p}") for p in (50, 95, 99)))
 
 
-def clamped_cutoff(k: int, documents: int) -> int:
-    """How many results a run can ask for."""
+def clamped_cutoff(k: int, documents: int, quantization: str = "fp32") -> int:
+    """How many results a run can ask for; a run needs documents, and vectors are kept in single precision only."""
     if documents < 1:
         raise ValueError("there are no documents")
+    if quantization != "fp32":
+        raise ValueError(f"unsupported quantization {quantization!r}")
     return min(k, documents)
+
+
+def selected_models(specs: dict[str, bool], keys: list[str] | None = None) -> list[str]:
+    """The enabled models of a run, in the order of `specs`, or those of them that `keys` names; an unknown key is an error."""
+    if unknown := sorted(set(keys or ()) - set(specs)):
+        raise ValueError(f"unknown models: {', '.join(unknown)}")
+    return [key for key, enabled in specs.items() if enabled and (keys is None or key in keys)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,10 +212,15 @@ m AS (SELECT q.query_id, round(coalesce(h50::DOUBLE / relevant, 0), 6) AS recall
   round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(1.0::DOUBLE / first_, 0), 6) AS mrr FROM v_qvec q LEFT JOIN f USING (query_id) LEFT JOIN i USING (query_id))"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    found = vs.vector_top_k(view(spark, sf_dir, "v_qvec"), c, 200).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("vector_rank").alias("rank"), "distance")
-    return ev.pair_rows(found, view(spark, sf_dir, "v_qrels"))
+def _pairs(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (64,)) -> DataFrame:
+    """Ranked and judged results of models, which keep the first so many components of each vector."""
+    c, q, qrels = table(spark, sf_dir, "embeddings"), view(spark, sf_dir, "v_qvec"), view(spark, sf_dir, "v_qrels")
+    k = ev.clamped_cutoff(200, c.count())
+    runs = []
+    for size in sizes:
+        asked, vectors = q.select("query_id", F.slice("qvec", 1, size).alias("qvec")), c.select(F.col("vec_id").alias("chunk_id"), F.slice("embedding", 1, size).alias("embedding"))
+        runs.append(vs.vector_top_k(asked, vectors, k).select(F.lit(f"first {size}").alias("model_key"), "query_id", F.col("chunk_id").alias("doc_id"), F.col("vector_rank").alias("rank"), "distance"))
+    return ev.pair_rows(reduce(DataFrame.unionByName, runs), qrels)
 
 
 @query("""
@@ -250,15 +257,22 @@ def v04_query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_METRICS + " SELECT query_id, doc_id, rank, distance, grade, round(1 - distance, 9) AS score FROM p")
 def v07_pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).withColumn("score", F.round("score", 9))
+    return _pairs(spark, sf_dir).withColumn("score", F.round("score", 9)).drop("model_key")
+
+
+def _summary(size: int) -> str:
+    cut = _METRICS.replace("CAST(qvec AS DOUBLE[])", f"CAST(qvec AS DOUBLE[])[1:{size}]").replace("CAST(embedding AS DOUBLE[])", f"CAST(embedding AS DOUBLE[])[1:{size}]")
+    means = ", ".join(f"round(avg({x}), 6) AS mean_{x}" for x in ("recall_50", "recall_100", "recall_200", "ndcg", "mrr"))
+    return f"SELECT * FROM ({cut} SELECT 'first {size}' AS model_key, count(*) AS queries, {means} FROM m)"
 
 
-@query(_METRICS + " SELECT 'all' AS model_key, count(*) AS queries, round(avg(recall_50), 6) AS mean_recall_50, round(avg(recall_100), 6) AS mean_recall_100, round(avg(recall_200), 6) AS mean_recall_200, round(avg(ndcg), 6) AS mean_ndcg, round(avg(mrr), 6) AS mean_mrr FROM m")
+@query(" UNION ALL ".join(map(_summary, (32, 64))))
 def v08_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of a run; the model's key is a grouping column, so many models are one job."""
-    key = F.lit("all").alias("model_key")
-    metrics = ev.query_metrics(view(spark, sf_dir, "v_qvec").select("query_id", key), _pairs(spark, sf_dir).select("*", key), view(spark, sf_dir, "v_qrels"), by=("model_key",))
-    return ev.run_summary(metrics, ["model_key"])
+    """Means of a run over all enabled models; the model's key is a grouping column, so many models are one job."""
+    chosen = ev.selected_models({"first 16": False, "first 32": True, "first 64": True})
+    queries = view(spark, sf_dir, "v_qvec").select("query_id", F.explode(F.array(*map(F.lit, chosen))).alias("model_key"))
+    pairs = _pairs(spark, sf_dir, tuple(int(key.split()[1]) for key in chosen))
+    return ev.run_summary(ev.query_metrics(queries, pairs, view(spark, sf_dir, "v_qrels"), by=("model_key",)), ["model_key"])
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
