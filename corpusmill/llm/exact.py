@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -107,7 +108,7 @@ class _Gathering:
 
 
 @freeing
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], most_held: int, most_rows: int) -> Iterator[pa.RecordBatch]:
     """A task's rows, of which those with equal texts share a number; a table that is full is closed."""
     base, own = TaskContext.get().partitionId() << 33, _Gathering()
     for batch in batches:
@@ -117,10 +118,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for row, (doc_id, text) in enumerate(zip(ids, texts, strict=True), 1):
             own.add(doc_id, text)
-            if own.held >= HELD or len(own.ids) >= ROWS or row == len(ids):
+            full = own.held >= most_held or len(own.ids) >= most_rows
+            if full or row == len(ids):
                 own.carried += [c.slice(done, row - done) for c in batch.columns[2:]]
                 done = row
-            if own.held >= HELD or len(own.ids) >= ROWS:
+            if full:
                 yield from own.batches(base, names)
                 base, own = base + len(own.shas), _Gathering()
     if own.ids:
@@ -191,7 +193,7 @@ def copies(docs: DataFrame, *carry: str) -> DataFrame:
     spark = docs.sparkSession
     base = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     kind = f"{_GATHERED}, carried {base.schema['carried'].dataType.simpleString()}" if carry else _GATHERED
-    rows = staged(base.mapInArrow(_gather, kind))
+    rows = staged(base.mapInArrow(partial(_gather, most_held=HELD, most_rows=ROWS), kind))
     contents = rows.where("best").select("rep", "doc_id", "n", "size", "hash", "sha", "content")
     held = contents.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-2 * held // BUCKET))

@@ -50,12 +50,12 @@ class Manifest(NamedTuple):
     root: str | None
 
 
-def _grow(block: pa.Table) -> pa.Table:
+def _grow(block: pa.Table, height: int) -> pa.Table:
     """All nodes above a block's, as high as the block or its tree goes."""
     block = block.sort_by("place")
     tree, level, place, n = (block.column(c)[0].as_py() for c in ("tree", "level", "place", "n"))
     hashes, out = block.column("hash").to_pylist(), []
-    for up in range(1, HEIGHT + 1):
+    for up in range(1, height + 1):
         if n == 1:
             break
         hashes = [joined(*hashes[k : k + 2]) for k in range(0, len(hashes), 2)]
@@ -71,12 +71,13 @@ def _grow(block: pa.Table) -> pa.Table:
 def nodes_of(leaves: DataFrame) -> DataFrame:
     """(tree, level, place, n, hash) of all nodes over leaves (tree, place, n, hash), themselves included."""
     base = leaves.select("tree", F.lit(0).alias("level"), "place", "n", "hash")
+    height = HEIGHT
     most, out = leaves.agg(F.max("n")).first()[0] or 0, base
     while most > 1:
-        grown = staged(base.groupBy("tree", F.expr(f"shiftright(place, {HEIGHT})").alias("block")).applyInArrow(_grow, _NODES))
+        grown = staged(base.groupBy("tree", F.expr(f"shiftright(place, {height})").alias("block")).applyInArrow(lambda block: _grow(block, height), _NODES))
         out = out.unionByName(grown)
-        base = grown.where(f"level % {HEIGHT} = 0 and n > 1")
-        most = -(-most >> HEIGHT)
+        base = grown.where(f"level % {height} = 0 and n > 1")
+        most = -(-most >> height)
     return out
 
 

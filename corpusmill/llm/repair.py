@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -106,10 +107,10 @@ def _legal(a: int, b: int) -> bool:
     return (a & 3, b & 3) in ((SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER))
 
 
-def _stretch(codes: list[int], number: int) -> tuple:
+def _stretch(codes: list[int], number: int, size: int) -> tuple:
     """illegal neighbours, first and last row, and the best way for each role before and after, of one stretch."""
     codes = tuple(codes)
-    if number == 0 and len(codes) < STRETCH:  # the only one of its conversation
+    if number == 0 and len(codes) < size:  # the only one of its conversation
         ways = [(NONE, ASSISTANT, *search(codes))]
     else:
         tried = ((a, b, search(codes, a, (b,))) for a in ([NONE] if number == 0 else range(4)) for b in range(4))
@@ -141,10 +142,10 @@ def _rows_of(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(listed, ["conv_id", "stretch", "illegal", "head", "tail", "ways"])
 
 
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, numbers, codes = (batch.column(c).to_pylist() for c in ("conv_id", "stretch", "codes"))
-        yield _rows_of([(i, k, *_stretch(c, k)) for i, k, c in zip(ids, numbers, codes, strict=True)])
+        yield _rows_of([(i, k, *_stretch(c, k, size)) for i, k, c in zip(ids, numbers, codes, strict=True)])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def repair(turns: DataFrame) -> Repair:
 
     codes = F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x.code).alias("codes")
     stretches = found.groupBy("conv_id", F.expr(f"place div {STRETCH}").alias("stretch")).agg(codes)
-    ways = staged(stretches.mapInArrow(_searched, _STRETCHES))
+    ways = staged(stretches.mapInArrow(partial(_searched, size=STRETCH), _STRETCHES))
     most = ways.agg(F.max("stretch")).first()[0] or 0
     done = []
     while most:
