@@ -10,10 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.vectors import cosine_distance
+from corpusmill.plans.staging import staged
 
-#: Vectors in a block; digits that distances are kept to, so that ties don't hang on the order of addition.
-BLOCK, DIGITS = 2048, 9
+#: Vectors in a block; queries that are held against a block at once; digits that distances are kept to, so that ties don't hang on the order of addition.
+BLOCK, QUERIES, DIGITS = 2048, 256, 9
+_PACKED, _NEAR = "ids binary, data binary", "query_id long, chunk_id long, distance double"
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one size as rows of a matrix; a missing number is not a number."""
+    if not len(column):
+        return np.zeros((0, 0))
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -21,22 +29,65 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
-            vectors = np.array(part.column("v").to_pylist(), np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["ids", "data"])
+            columns = [part.column("id").to_numpy().tobytes(), _matrix(part.column("v")).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["ids", "data"])
+
+
+def _first(away: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and distance of each row's k least distances, equal ones by id; what is not a number is left out."""
+    away = np.where(np.isfinite(away), away, np.inf)
+    if 0 < k < away.shape[1]:
+        row, at = np.nonzero(away <= np.partition(away, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, at = np.nonzero(np.isfinite(away))
+    found, distance = np.broadcast_to(ids, away.shape)[row, at], away[row, at]
+    order = np.lexsort((found, distance, row))
+    row, found, distance = row[order], found[order], distance[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = (nth < k) & np.isfinite(distance)
+    return row[kept], found[kept], distance[kept]
+
+
+def _distances(dots: np.ndarray, q: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.round(1 - dots / np.linalg.norm(q, axis=1)[:, None] / lengths, DIGITS) + 0.0
+
+
+def _met(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids and vectors of a block of queries, some at a time, and of the block that they meet."""
+    ids, queries = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+    v, q = np.frombuffer(row["data"]).reshape(len(ids), -1), np.frombuffer(row["q_data"]).reshape(len(queries), -1)
+    for at in range(0, len(queries), QUERIES):
+        yield queries[at : at + QUERIES], q[at : at + QUERIES], ids, v
+
+
+def _near(query: np.ndarray, found: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(found), pa.array(distance)], [x.split()[0] for x in _NEAR.split(", ")])
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """For each pair of blocks the k nearest of the one to each of the other."""
     for batch in batches:
         for row in batch.to_pylist():
-            ids, queries = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-            v, q = np.frombuffer(row["data"]).reshape(len(ids), -1), np.frombuffer(row["q_data"]).reshape(len(queries), -1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                away = np.round(1 - (q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)[None, :], DIGITS) + 0.0
-            order = np.lexsort((np.broadcast_to(ids, away.shape), away), axis=1)[:, :k]
-            out = np.take_along_axis(away, order, axis=1)
-            fine = np.isfinite(out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, fine.sum(axis=1))), pa.array(ids[order][fine]), pa.array(out[fine])], ["query_id", "chunk_id", "distance"])
+            for queries, q, ids, v in _met(row):
+                at, found, distance = _first(_distances(q @ v.T, q, np.linalg.norm(v, axis=1)), ids, k)
+                yield _near(queries[at], found, distance)
+
+
+def _packed(rows: DataFrame, id_: str, vector: str) -> DataFrame:
+    plain = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
+    return plain.mapInArrow(_blocks, _PACKED)
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return near.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
+
+
+def _against(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every block beside every block of queries. These are written first, so that Spark knows their size and broadcasts them only if they are few."""
+    asked = staged(_packed(queries, "query_id", "qvec").select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
+    return blocks.crossJoin(asked)
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -46,39 +97,88 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     are packed into blocks and every block of the one meets every block of the other, so a task
     holds two blocks and gives k rows a query. Vectors without length have no distance.
     """
-    packed = "ids binary, data binary"
-    q = queries.where("qvec is not null").select(F.col("query_id").cast("long").alias("id"), F.col("qvec").alias("v")).mapInArrow(_blocks, packed)
-    c = vectors.where("embedding is not null").select(F.col("chunk_id").cast("long").alias("id"), F.col("embedding").alias("v")).mapInArrow(_blocks, packed)
-    pairs = c.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
-    near = pairs.mapInArrow(partial(_nearest, k=max(k, 0)), "query_id long, chunk_id long, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return near.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
+    return _ranked(_against(_packed(vectors, "chunk_id", "embedding"), queries).mapInArrow(partial(_nearest, k=max(k, 0)), _NEAR), k)
+
+
+#: Rotations of which a code holds all signs; the share of each block that is scored exactly; seed of the rotations.
+ROTATIONS, SHARE, SEED = 8, 0.15, 5
+
+
+def rotations(size: int, count: int = ROTATIONS, seed: int = SEED) -> np.ndarray:
+    """Random rotations side by side. Signs after a rotation miss less than signs of as many independent directions."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([np.linalg.qr(rng.normal(size=(size, size)))[0] for _ in range(count)], axis=1)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], planes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For every vector a number for each table of planes: on which side of each of them it lies."""
-    tables, bits, _ = planes.shape
+def sign_codes(vectors: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """On which side of each direction a vector lies, packed into 64-bit words."""
+    bits = np.packbits(vectors @ turned >= 0, axis=1)
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+
+
+def _coded(batches: Iterator[pa.RecordBatch], count: int, seed: int) -> Iterator[pa.RecordBatch]:
+    turned = None
     for batch in batches:
-        v = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-        sides = np.einsum("nd,tbd->ntb", v, planes) >= 0
-        keys = (sides << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
-        flat = pa.array(keys.reshape(-1).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables, dtype=np.int32)), flat)], ["id", "buckets"])
+        v, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
+        with np.errstate(invalid="ignore"):
+            sound = np.linalg.norm(v, axis=1) > 0
+        v, ids = v[sound], ids[sound]
+        if len(v) and turned is None:
+            turned = rotations(v.shape[1], count, seed)
+        for at in range(0, len(v), BLOCK):
+            columns = [x[at : at + BLOCK].tobytes() for x in (ids, v)] + [sign_codes(v[at : at + BLOCK], turned).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["ids", "data", "codes"])
 
 
-def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, size: int, tables: int = 24, bits: int = 4, seed: int = 5) -> DataFrame:
-    """As `vector_top_k`, of those vectors only that share a bucket of random planes with the query.
+def vector_index(vectors: DataFrame, count: int = ROTATIONS, seed: int = SEED) -> DataFrame:
+    """Blocks of `vectors` (chunk_id, embedding) with packed sign codes, for `approximate_top_k`; written once.
 
-    More bits give smaller buckets, more tables find more; for large tables raise both.
+    Null vectors and vectors without length are left out. Vectors have one dimension.
     """
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, size))
+    plain = vectors.where("embedding is not null").select(F.col("chunk_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    return staged(plain.mapInArrow(partial(_coded, count=count, seed=seed), f"{_PACKED}, codes binary"))
 
-    def keyed(rows: DataFrame, id_: str, vector: str) -> DataFrame:
-        plain = rows.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
-        return plain.mapInArrow(partial(_buckets, planes=planes), "id long, buckets array<int>").select(F.col("id").alias(id_), F.explode("buckets").alias("bucket"))
 
-    met = keyed(queries, "query_id", "qvec").join(keyed(vectors, "chunk_id", "embedding"), "bucket").select("query_id", "chunk_id").distinct()
-    scored = met.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(queries.select("query_id", "qvec"), "query_id")
-    scored = scored.select("query_id", "chunk_id", F.round(cosine_distance(F.col("qvec"), F.col("embedding")), DIGITS).alias("distance")).where("distance is not null")
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return scored.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
+def scored_of(n: int, k: int, share: float) -> int:
+    """How many of a block's n vectors are scored exactly for a query."""
+    return min(n, max(k, int(np.ceil(share * n))))
+
+
+def _likely(batches: Iterator[pa.RecordBatch], k: int, share: float, count: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks the k nearest among those whose codes differ least."""
+    turned = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            for queries, q, ids, v in _met(row):
+                if turned is None:
+                    turned = rotations(v.shape[1], count, seed)
+                codes, asked = np.frombuffer(row["codes"], np.uint64).reshape(len(ids), -1), sign_codes(q, turned)
+                differ = np.zeros((len(q), len(ids)), np.uint16)
+                for own, other in zip(asked.T, np.ascontiguousarray(codes.T), strict=True):
+                    differ += np.bitwise_count(own[:, None] ^ other[None, :])
+                take = scored_of(len(ids), k, share)
+                at = np.argpartition(differ, take - 1, axis=1)[:, :take]
+                dots = np.matmul(v[at], q[:, :, None])[:, :, 0]
+                row_no, found, distance = _first_of(_distances(dots, q, np.linalg.norm(v, axis=1)[at]), ids[at], k)
+                yield _near(queries[row_no], found, distance)
+
+
+def _first_of(away: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `_first`, where each row has ids of its own."""
+    order = np.lexsort((ids, away), axis=1)[:, :k]
+    distance = np.take_along_axis(away, order, axis=1)
+    row, at = np.nonzero(np.isfinite(distance))
+    return row, np.take_along_axis(ids, order, axis=1)[row, at], distance[row, at]
+
+
+def approximate_top_k(queries: DataFrame, index: DataFrame, k: int, share: float = SHARE, count: int = ROTATIONS, seed: int = SEED) -> DataFrame:
+    """As `vector_top_k`, over a `vector_index`; only the `share` of each block whose sign codes are nearest is scored.
+
+    A code has `count` bits for each dimension and is compared by bit counts. No clusters are needed:
+    the number of bits that differ estimates the angle itself, the better the more rotations there
+    are. `count` and `seed` are those of the index; share 1 gives the exact result.
+    """
+    if k <= 0:
+        return vector_top_k(queries, queries.select(F.col("query_id").alias("chunk_id"), F.col("qvec").alias("embedding")), 0)
+    likely = partial(_likely, k=k, share=share, count=count, seed=seed)
+    return _ranked(_against(index, queries).mapInArrow(likely, _NEAR), k)
