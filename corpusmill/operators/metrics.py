@@ -28,14 +28,28 @@ def trend(series: DataFrame, value: str, step: str) -> DataFrame:
     return series.groupBy("name", F.window(F.col("ts").cast("timestamp"), step).alias("w")).agg(F.max_by(value, F.struct("ts", "event_id")).alias("value")).select("name", F.col("w.start").cast("timestamp_ntz").alias("start"), "value")
 
 
-def rate(series: DataFrame, counter: str, seconds: int = 60) -> DataFrame:
-    """(name, event_id, rate) a second over the `seconds` before each sample; a falling counter began anew. No extrapolation to the window's ends."""
-    order = Window.partitionBy("name").orderBy("ts", "event_id")
-    before = F.lag(counter).over(order)
-    up = F.when(before.isNull(), 0.0).when(F.col(counter) < before, F.col(counter)).otherwise(F.col(counter) - before)
-    rows = series.withColumns({"up": up, "us": F.unix_micros(F.col("ts").cast("timestamp"))})
-    reach = Window.partitionBy("name").orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
-    return rows.select("name", "event_id", F.round(F.sum("up").over(reach) / seconds, 6).alias("rate"))
+def rate(series: DataFrame, counter: str, seconds: int = 60, windows: int = 8) -> DataFrame:
+    """(name, event_id, rate) a second over the `seconds` before each sample; a falling counter began anew. No extrapolation to the window's ends.
+
+    A series is cut into slices of `windows` windows' length, so that one with very many samples is
+    many tasks' work. What a slice needs from before comes as a halo: the last sample before it for
+    the first increase, and the increases of one window before its start. Only one value for each
+    slice is put in order over a whole series.
+    """
+    span = seconds * 1_000_000
+    width = span * windows
+    rows = series.select("name", "event_id", "ts", F.col(counter).alias("value"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = rows.withColumn("slice", F.expr(f"us div {width}L - if(us < 0 and us % {width}L <> 0, 1, 0)"))
+    lasts = rows.groupBy("name", "slice").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last"))
+    earlier = lasts.select(F.col("name").alias("name_"), F.col("slice").alias("slice_"), F.lag("last").over(Window.partitionBy("name").orderBy("slice")).alias("earlier"))
+    met = rows.join(earlier, F.col("name").eqNullSafe(F.col("name_")) & F.col("slice").eqNullSafe(F.col("slice_")), "left")
+    inside = Window.partitionBy("name", "slice").orderBy("ts", "event_id")
+    before = F.when(F.row_number().over(inside) == 1, F.col("earlier")).otherwise(F.lag("value").over(inside))
+    up = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
+    late = F.col("us") >= (F.col("slice") + 1) * width - span
+    dealt = met.withColumn("up", up).withColumn("dealt", F.explode(F.when(late, F.array(F.col("slice"), F.col("slice") + 1)).otherwise(F.array("slice"))))
+    reach = Window.partitionBy("name", "dealt").orderBy("us").rangeBetween(-span, 0)
+    return dealt.withColumn("rate", F.round(F.sum("up").over(reach) / seconds, 6)).where(F.col("dealt").eqNullSafe(F.col("slice"))).select("name", "event_id", "rate")
 
 
 def names(series: DataFrame) -> DataFrame:
