@@ -1,7 +1,6 @@
 """Exact deduplication, Merkle proofs and conversation repair against brute force, on small odd tables."""
 
 import hashlib
-import itertools
 import random
 import re
 import zlib
@@ -11,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.llm import exact, merkle, order, queries, repair
+from corpusmill.llm import exact, merkle, queries, repair
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep long, best boolean, bucket int, carried string, level int, hash string"
 
@@ -192,17 +191,6 @@ def test_missing_nodes_are_the_least_that_prove(case):
     assert wanted == {(k, p) for k, p in needed if not under(k, p)}
 
 
-def test_places_across_ranges(spark):
-    rng = random.Random(2)
-    rows = [(rng.choice([None, 1, 1, 1, 1, 2, 3]), rng.randint(0, 50), k) for k in range(500)]
-    out = order.placed(spark.createDataFrame(rows, "g int, v int, k int").repartition(7), "g", ["v", "k"], "place").collect()
-    expected = {}
-    for g, group in itertools.groupby(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])), key=lambda r: r[0]):
-        expected |= {r[2]: p for p, r in enumerate(group)}
-    assert {r.k: r.place for r in out} == expected and len(out) == 500
-    assert order.placed(spark.createDataFrame([], "g int, v int"), "g", ["v"], "place").count() == 0
-
-
 # Conversation repair
 
 TURNS = "conv_id long, turn long, role string, text string, place int, code int, audit string, cost int"
