@@ -15,9 +15,13 @@ DOI_PREFIX, ARCHIVE_DOI = "https://www.doi.org/", "10.48550/arXiv."
 TOKEN = r"(?U)\w+|[^\w\s]"
 
 
+#: What counts as white space: the characters of that property in Unicode.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(x: Column) -> Column:
-    """Without white space of any kind at both ends; SQL's trim knows blanks only."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; SQL's trim without a set knows blanks only."""
+    return F.trim(x, F.lit(SPACE))
 
 
 def collapse(x: Column) -> Column:

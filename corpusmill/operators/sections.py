@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions import text as t
+from corpusmill.plans.staging import text_batches
 
 MAX_TOKENS, MIN_CHARS = 256, 20
 # Characters that no text has mark where headings begin, where their marks end and where they end.
@@ -15,27 +22,21 @@ _A, _B, _C = "﷐", "﷑", "﷒"
 _HEADING = r"(?dmU)^(#{1,6})\s+(.+)$"
 
 
-def _sections(text: Column) -> Column:
-    """All headings of a text with level, title and the trimmed text up to the next one."""
-    bare = F.translate(text, _A + _B + _C, "")
-    parts = F.split(F.regexp_replace(bare, _HEADING, f"{_A}$1{_B}$2{_C}"), _A)
-
-    def section(part: Column) -> Column:
-        level = F.length(F.substring_index(part, _B, 1))
-        title = F.substring_index(F.substring_index(part, _B, -1), _C, 1)
-        return F.struct(level.alias("level"), t.strip(title).alias("title"), t.strip(F.substring_index(part, _C, -1)).alias("body"))
-
-    return F.transform(F.slice(parts, 2, F.size(parts)), section)
-
-
 def headings(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, level, title, body, last) of every heading of docs (doc_id, text), in document order from 0.
 
     Text before the first heading belongs to no section. last marks a document's last heading.
     """
-    found = docs.select("doc_id", _sections(F.col("text")).alias("s"))
-    rows = found.select("doc_id", F.size("s").alias("n"), F.posexplode("s").alias("pos", "s"))
-    return rows.select("doc_id", "pos", "s.level", "s.title", "s.body", (F.col("pos") == F.col("n") - 1).alias("last"))
+    marked = F.contains("text", F.lit(_A)) | F.contains("text", F.lit(_B)) | F.contains("text", F.lit(_C))
+    bare = F.when(marked, F.translate("text", _A + _B + _C, "")).otherwise(F.col("text"))
+    parts = F.split(F.regexp_replace(bare, _HEADING, f"{_A}$1{_B}$2{_C}"), _A)
+    # Parts become rows before they are looked into, so that the rest is compiled code on plain columns.
+    found = docs.select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part")).where("k > 0")
+    title = F.substring_index(F.substring_index("part", _B, -1), _C, 1)
+    return found.select(
+        "doc_id", (F.col("k") - 1).alias("pos"), F.length(F.substring_index("part", _B, 1)).alias("level"), t.strip(title).alias("title"),
+        t.strip(F.substring_index("part", _C, -1)).alias("body"), (F.col("k") == F.col("n") - 1).alias("last"),
+    )
 
 
 def without_headings(docs: DataFrame) -> DataFrame:
@@ -43,39 +44,74 @@ def without_headings(docs: DataFrame) -> DataFrame:
     return docs.where(F.coalesce(F.regexp_count("text", F.lit(_HEADING)), F.lit(0)) == 0)
 
 
+def _walk(batches: Iterator[pa.RecordBatch], keep: bool, nest: bool, least: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Headings sorted by document and place, each taken once: a level that is being dropped, a stack of open sections and a short text are all that is remembered."""
+    doc, limit, open_, held = object(), None, [], ""
+    for batch in batches:
+        of = lambda c: batch.column(c).to_pylist()  # noqa: E731, B023
+        ids, n = of("doc_id"), batch.num_rows
+        levels = of("level") if keep or nest else None
+        drop = of("drop") if keep else None
+        places, titles = (of("pos"), of("title")) if nest else (None, None)
+        last, body = (of("last"), batch.column("body")) if least is not None else (None, None)
+        sizes = pc.fill_null(pc.utf8_length(body), 0).to_pylist() if least is not None else None
+        kept, parents, paths, moved = [], [], [], {}
+        for i in range(n):
+            if ids[i] != doc:
+                doc, limit, open_, held = ids[i], None, [], ""
+            if keep:
+                limit = levels[i] if drop[i] else None if limit is not None and levels[i] <= limit else limit
+                if limit is not None:
+                    continue
+            if nest:
+                while open_ and open_[-1][0] >= levels[i]:
+                    open_.pop()
+                parents.append(open_[-1][1] if open_ else None)
+                paths.append(f"{open_[-1][2]}/{titles[i]}" if open_ else titles[i])
+                open_.append((levels[i], places[i], paths[-1]))
+            if least is not None and (held or sizes[i] < least):
+                whole = "\n".join(x for x in (held, body[i].as_py()) if x)
+                held = whole if not last[i] and 0 < len(whole) < least else ""
+                moved[len(kept)] = "" if held else whole
+            kept.append(i)
+        columns = batch.columns if len(kept) == n else [c.take(pa.array(kept, pa.int64())) for c in batch.columns]
+        if nest:
+            columns += [pa.array(parents, pa.int32()), pa.array(paths, pa.string())]
+        if least is not None:
+            own = columns[batch.schema.get_field_index("body")]
+            mask = np.zeros(len(own), bool)
+            mask[list(moved)] = True
+            columns.append(pc.replace_with_mask(own, pa.array(mask), pa.array([moved[k] for k in sorted(moved)], own.type)))
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _walked(rows: DataFrame, keep: bool = False, nest: bool = False, least: int | None = None) -> DataFrame:
+    """`rows` after one pass over each document's headings in order."""
+    if keep:
+        rows = rows.withColumn("drop", F.coalesce(t.is_boilerplate(t.normal_title(F.col("title"))), F.lit(False)))
+    more = [T.StructField("parent_pos", T.IntegerType()), T.StructField("path", T.StringType())] if nest else []
+    more += [T.StructField("text", T.StringType())] if least is not None else []
+    kind = T.StructType([*rows.schema, *more])
+    lined = text_batches(rows).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    out = lined.mapInArrow(partial(_walk, keep=keep, nest=nest, least=least, names=kind.names), kind)
+    return out.drop("drop") if keep else out
+
+
 def kept_sections(rows: DataFrame) -> DataFrame:
     """Headings without boilerplate sections and what lies below them.
 
     A boilerplate heading drops what follows until a heading of its level or a higher one. One
     inside a dropped part counts as the last, so a later heading beside it is kept again.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    marked = rows.withColumn("drop", t.is_boilerplate(t.normal_title(F.col("title"))))
-    marked = marked.withColumn("run", F.sum(F.col("drop").cast("int")).over(order))
-    within = Window.partitionBy("doc_id", "run").orderBy("pos")
-    dropped_at = F.max(F.when(F.col("drop"), F.col("level"))).over(within)
-    since = F.min(F.when(~F.col("drop"), F.col("level"))).over(within)
-    kept = ~F.col("drop") & (dropped_at.isNull() | (since <= dropped_at))
-    return marked.withColumn("kept", kept).where("kept").drop("drop", "run", "kept")
+    return _walked(rows, keep=True)
 
 
 def with_hierarchy(rows: DataFrame) -> DataFrame:
     """Adds parent_pos (null at the top) and path: titles from the top, with slashes.
 
-    A section's ancestors are the last sections of lower levels that no section between has closed.
+    A section's parent is the last section of a lower level before it.
     """
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    at = {k: F.max(F.when(F.col("level") == k, F.col("pos"))).over(before) for k in range(1, 6)}
-    name = {k: F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(before) for k in range(1, 6)}
-    rows = rows.withColumns({f"at{k}": at[k] for k in at} | {f"name{k}": name[k] for k in name})
-    open_ = {}
-    for k in range(1, 6):
-        higher = [F.coalesce(F.col(f"at{j}"), F.lit(-1)) for j in range(1, k)]
-        closed_by = F.greatest(*higher) if len(higher) > 1 else higher[0] if higher else F.lit(-1)
-        open_[k] = (F.col("level") > k) & (F.col(f"at{k}") > closed_by)
-    parent = F.greatest(*(F.when(open_[k], F.col(f"at{k}")) for k in open_))
-    path = F.concat_ws("/", *(F.when(open_[k], F.col(f"name{k}")) for k in open_), "title")
-    return rows.withColumns({"parent_pos": parent, "path": path}).drop(*(f"{x}{k}" for x in ("at", "name") for k in range(1, 6)))
+    return _walked(rows, nest=True)
 
 
 def with_carried(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
@@ -84,17 +120,12 @@ def with_carried(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     A text shorter than `least` characters moves to the next kept section, unless it stands at the
     document's last heading. What is carried past the last kept section is lost.
     """
-    joined = lambda s, x: F.concat_ws("\n", F.nullif(s["carry"], F.lit("")), F.nullif(x["body"], F.lit("")))
+    return _walked(rows, least=least)
 
-    def step(s: Column, x: Column) -> Column:
-        whole = joined(s, x)
-        on = ~x["last"] & (F.length(whole) > 0) & (F.length(whole) < least)
-        return F.struct(F.when(on, whole).otherwise("").alias("carry"), F.concat(s["out"], F.array(F.struct(x["pos"].alias("pos"), F.when(on, "").otherwise(whole).alias("text")))).alias("out"))
 
-    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "body", "last"))).alias("s"))
-    start = F.struct(F.lit("").alias("carry"), F.array().cast("array<struct<pos:int,text:string>>").alias("out"))
-    texts = listed.select("doc_id", F.inline(F.aggregate("s", start, step, lambda s: s["out"])))
-    return rows.join(texts, ["doc_id", "pos"])
+def kept_tree(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """`kept_sections`, `with_hierarchy` and `with_carried` in one pass."""
+    return _walked(rows, keep=True, nest=True, least=least)
 
 
 def _parts(frames: object, split: Callable[[str], list[str]]) -> object:
@@ -110,7 +141,7 @@ def nodes(docs: DataFrame, split: Callable[[str], list[str]], max_tokens: int =
     text ('' where a node only holds others) and metadata. `split` cuts an oversized text; it may be any
     callable on one string and runs in Arrow batches, only on sections above `max_tokens` tokens.
     """
-    rows = with_carried(with_hierarchy(kept_sections(headings(docs))), min_chars)
+    rows = kept_tree(headings(docs), min_chars)
     rows = rows.withColumn("oversized", t.token_count(F.col("text")) > max_tokens)
     section_id = lambda pos: F.when(pos.isNotNull(), t.node_id(F.col("doc_id"), pos, F.lit(0)))
     shape = ["doc_id", "pos", "part", "parent_id", "prev_id", "next_id", "title", "path", "text"]
@@ -133,20 +164,45 @@ def nodes(docs: DataFrame, split: Callable[[str], list[str]], max_tokens: int =
     return out.select(t.node_id(F.col("doc_id"), F.col("pos"), F.col("part")).alias("node_id"), *shape, stamp.alias("metadata"))
 
 
+def _pack(batches: Iterator[pa.RecordBatch], max_tokens: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Windows of units sorted by document and number: prefix sums of tokens tell where each ends; only the open window is remembered."""
+    doc, number, open_ = object(), 0, None
+
+    def given(windows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*windows, strict=True) if windows else [[]] * 5
+        kinds = (kind, pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "window", "first", "last", "tokens"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, (units, tokens) = batch.column(0), (batch.column(c).to_numpy() for c in (1, 2))
+        codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        bounds, done = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(ids)], []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if (own := ids[lo].as_py()) != doc:
+                done += [(doc, number, *open_)] if open_ else []
+                doc, number, open_ = own, 0, None
+            sums, at = np.append(0, np.cumsum(tokens[lo:hi])), 0
+            while at < hi - lo:
+                held = open_[2] if open_ else 0
+                end = int(np.searchsorted(sums, sums[at] + max_tokens - held, side="right")) - 1
+                if open_ and end <= at:
+                    done.append((doc, number, *open_))
+                    number, open_ = number + 1, None
+                    continue
+                end = max(end, at + 1)
+                open_ = (open_[0] if open_ else int(units[lo + at]), int(units[lo + end - 1]), held + int(sums[end] - sums[at]))
+                at = end
+        yield given(done)
+    yield given([(doc, number, *open_)] if open_ else [])
+
+
 def packed(units: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, window, first, last, tokens) of units (doc_id, unit, tokens): consecutive units in windows of at most max_tokens.
 
     A unit above the limit has a window of its own. There is no overlap.
     """
-    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit", "tokens"))).alias("u"))
-    kind = "array<struct<first:int,last:int,tokens:bigint>>"
-
-    def step(s: Column, x: Column) -> Column:
-        fits = (F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["tokens"] + x["tokens"] <= max_tokens)
-        end = F.try_element_at(s, F.lit(-1))
-        grown = F.struct(end["first"].alias("first"), x["unit"].alias("last"), (end["tokens"] + x["tokens"]).alias("tokens"))
-        own = F.struct(x["unit"].alias("first"), x["unit"].alias("last"), x["tokens"].alias("tokens"))
-        return F.when(fits, F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(s, F.array(own))).cast(kind)
-
-    windows = listed.select("doc_id", F.posexplode(F.aggregate("u", F.array().cast(kind), step)).alias("window", "w"))
-    return windows.select("doc_id", "window", "w.*")
+    lined = units.select("doc_id", F.col("unit").cast("int"), F.col("tokens").cast("long")).repartition("doc_id").sortWithinPartitions("doc_id", "unit")
+    id_ = units.schema["doc_id"].dataType
+    return lined.mapInArrow(partial(_pack, max_tokens=max_tokens, kind=to_arrow_type(id_)), f"doc_id {id_.simpleString()}, window int, first int, last int, tokens bigint")
