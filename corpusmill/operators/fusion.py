@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
-from corpusmill.operators.text_search import postings, text_top_k
+from corpusmill.operators.text_search import COVER, postings, text_top_k
 from corpusmill.operators.vector_search import vector_top_k
 
 
@@ -40,14 +40,16 @@ def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, p: Params = Params(),
     """
     asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "") if "query" in queries.columns else queries
     inside = chunks.where(F.col("document_id").isNotNull())
-    words = text_top_k(asked.select("query_id", "query"), posted if posted is not None else postings(inside), p.text_k)
+    # Stored postings may be of more chunks; those of chunks without a document are left out among the matches, which are few.
+    words = text_top_k(asked.select("query_id", "query"), posted if posted is not None else postings(inside), p.text_k, inside.select("chunk_id") if posted is not None else None)
     near = vector_top_k(asked.select("query_id", "qvec"), inside.where("text <> ''").select("chunk_id", "embedding"), p.vector_k)
     return fused(words, near, p)
 
 
 def with_documents(found: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Text, snippet, document columns and citation, joined when only the results are left."""
-    texts = chunks.select("chunk_id", "document_id", "text")
+    """Text, snippet, document columns and citation, joined when only the results are left; and the path, where chunks have `metadata` as JSON."""
+    path = [F.get_json_object("metadata", "$.path").alias("path")] if "metadata" in chunks.columns else []
+    texts = chunks.select("chunk_id", "document_id", "text", *path)
     rows = found.join(texts, "chunk_id").join(documents, "document_id")
     return rows.withColumns({"snippet": t.snippet(F.col("text")), "citation": t.citation(F.col("title"), F.col("journal_ref"), F.col("doi_url"))})
 
@@ -87,6 +89,87 @@ def reranked(candidates: DataFrame, scores: DataFrame, top_k: int, enabled: bool
     return rows.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= top_k)
 
 
+#: Arguments of the table function after query and embedding: name, type, and the parameter that gives the default.
+_ARGUMENTS = [
+    ("text_k", "INT", "text_k"), ("vec_k", "INT", "vector_k"), ("fused_k", "INT", "fused_k"), ("rrf_k", "INT", "rrf_k"),
+    ("text_w", "DOUBLE", "text_weight"), ("vec_w", "DOUBLE", "vector_weight"),
+]
+_TERMS = r"regexp_extract_all(lower({0}), '(?U)[\\w]+', 0)"
+#: A query's alternatives, as `text_search.parsed` has them.
+_PARSED = rf"""
+filter(transform(split(lower({{0}}), '\\s+or\\s+(?=(?:[^"]*"[^"]*")*[^"]*$)'), x -> named_struct(
+  'must', array_distinct(concat(
+    flatten(transform(filter(split(regexp_replace(x, '-?"[^"]*"', ' '), '\\s+'), w -> w <> '' AND NOT startswith(w, '-')), w -> {_TERMS.format("w")})),
+    flatten(transform(regexp_extract_all(x, '(?<!-)"([^"]*)"', 1), w -> {_TERMS.format("w")})))),
+  'phrases', filter(transform(regexp_extract_all(x, '(?<!-)"([^"]*)"', 1), w -> {_TERMS.format("w")}), w -> size(w) > 0),
+  'must_not', array_distinct(flatten(transform(concat(
+    filter(split(regexp_replace(x, '-?"[^"]*"', ' '), '\\s+'), w -> startswith(w, '-')), regexp_extract_all(x, '-"([^"]*)"', 1)), w -> {_TERMS.format("w")}))))),
+  a -> size(a.must) > 0)"""
+_DOT = "aggregate(zip_with({0}, {1}, (a, b) -> CAST(a AS DOUBLE) * CAST(b AS DOUBLE)), 0D, (s, x) -> s + x)"
+_RETRIEVE = """
+WITH alts AS (SELECT alt, a.must AS must, a.phrases AS phrases, a.must_not AS must_not FROM (SELECT posexplode({parsed}) AS (alt, a))),
+words AS (
+  SELECT alt, size(must) AS n, kind, term FROM alts
+  LATERAL VIEW inline(concat(transform(must, t -> named_struct('kind', 0, 'term', t)), transform(must_not, t -> named_struct('kind', 1, 'term', t)))) w),
+has AS (
+  SELECT alt, chunk_id, n FROM words JOIN (SELECT DISTINCT term, chunk_id FROM {name}_postings) USING (term)
+  GROUP BY alt, chunk_id, n HAVING count_if(kind = 0) = n AND count_if(kind = 1) = 0),
+terms AS (SELECT alt, phrases, k, term FROM alts LATERAL VIEW posexplode(must) t AS k, term),
+places AS (
+  SELECT alt, chunk_id, n, first(phrases) AS phrases, array_sort(collect_list(struct(pos, k, term))) AS places
+  FROM has JOIN terms USING (alt) JOIN {name}_postings USING (chunk_id, term) GROUP BY alt, chunk_id, n),
+whole AS (
+  SELECT * FROM places WHERE forall(phrases, p -> exists(places, s -> s.term = p[0] AND forall(
+    transform(p, (t, i) -> struct(t AS t, i AS i)), e -> exists(places, z -> z.term = e.t AND z.pos = s.pos + e.i))))),
+ranked AS (
+  SELECT chunk_id, round(max(aggregate(places, named_struct('last', array_repeat(-1, n), 'low', -1, 'score', 0D),
+    (s, x) -> named_struct('last', transform(s.last, (p, k) -> if(k = x.k, x.pos, p)),
+      'low', greatest(s.low, array_min(transform(s.last, (p, k) -> if(k = x.k, x.pos, p)))),
+      'score', s.score + if(array_min(transform(s.last, (p, k) -> if(k = x.k, x.pos, p))) > s.low,
+        least(1D, {cover}D / (x.pos - array_min(transform(s.last, (p, k) -> if(k = x.k, x.pos, p))) + 1)), 0D)),
+    s -> s.score)), 6) AS rank FROM whole GROUP BY chunk_id),
+inside AS (SELECT chunk_id, text, embedding FROM {name}_chunks WHERE document_id IS NOT NULL),
+by_text AS (SELECT chunk_id, row_number() OVER (ORDER BY rank DESC, chunk_id) AS r FROM ranked JOIN (SELECT chunk_id FROM inside) USING (chunk_id)),
+away AS (
+  SELECT chunk_id, round(1 - try_divide({dot}, sqrt({own}) * sqrt({other})), 9) AS distance
+  FROM inside WHERE text <> '' AND embedding IS NOT NULL AND {name}.embedding IS NOT NULL AND trim({query}) <> ''),
+by_vector AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS r FROM away WHERE distance IS NOT NULL),
+-- Both lists, of bounded length, as arrays: a union or outer join of what depends on arguments isn't allowed here.
+lists AS (
+  SELECT explode(concat(t.l, v.l)) AS c
+  FROM (SELECT collect_list(struct(chunk_id, r AS text_rank, CAST(NULL AS INT) AS vector_rank)) AS l FROM by_text WHERE r <= {name}.text_k) t
+  CROSS JOIN (SELECT collect_list(struct(chunk_id, CAST(NULL AS INT) AS text_rank, r AS vector_rank)) AS l FROM by_vector WHERE r <= {name}.vec_k) v),
+one AS (SELECT c.chunk_id, max(c.text_rank) AS text_rank, max(c.vector_rank) AS vector_rank FROM lists GROUP BY c.chunk_id),
+scores AS (
+  SELECT *, round(coalesce({name}.text_w / (greatest({name}.rrf_k, 0) + text_rank), 0D) + coalesce({name}.vec_w / (greatest({name}.rrf_k, 0) + vector_rank), 0D), 12) AS rrf_score
+  FROM one),
+fused AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, chunk_id) AS fused_rank FROM scores)
+SELECT chunk_id, text_rank, vector_rank, rrf_score, fused_rank FROM fused WHERE fused_rank <= greatest({name}.fused_k, 0)"""
+
+
+def register_hybrid_retrieve(spark: SparkSession, name: str, chunks: DataFrame, posted: DataFrame) -> None:
+    """Makes hybrid retrieval a table function of SQL that computes, with the same results as `hybrid_retrieve`.
+
+    `SELECT * FROM name('red fox', array(0.1F, …))` for one query, or for a table of them
+    `SELECT q.query_id, f.* FROM queries q, LATERAL name(q.query, q.qvec, text_k => 20, vec_w => 0.5D) f`;
+    arguments that are left out have the defaults of `Params`. It reads the views name_chunks
+    (chunk_id, document_id, text, embedding) and name_postings (term, chunk_id, pos), which are made here.
+    """
+    chunks.select("chunk_id", "document_id", "text", "embedding").createOrReplaceTempView(f"{name}_chunks")
+    posted.select("term", "chunk_id", "pos").createOrReplaceTempView(f"{name}_postings")
+    query = f"coalesce({name}.query, '')"
+    embedding = f"{name}.embedding"
+    body = _RETRIEVE.format(
+        name=name, query=query, cover=COVER, parsed=_PARSED.format(f"trim(regexp_replace({query}, '(?U)\\\\s+', ' '))"),
+        dot=_DOT.format("embedding", embedding), own=_DOT.format("embedding", "embedding"), other=_DOT.format(embedding, embedding),
+    )
+    p = Params()
+    more = ", ".join(f"{a} {kind} DEFAULT {getattr(p, of)}{'D' if kind == 'DOUBLE' else ''}" for a, kind, of in _ARGUMENTS)
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING, embedding ARRAY<FLOAT>, {more})
+        RETURNS TABLE (chunk_id BIGINT, text_rank INT, vector_rank INT, rrf_score DOUBLE, fused_rank INT) RETURN {body}""")
+
+
 def register_table_function(spark: SparkSession, name: str, found: DataFrame) -> None:
     """Makes candidates callable from SQL: `SELECT * FROM name(query_id, k)`, a table function over a view.
 

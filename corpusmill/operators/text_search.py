@@ -62,8 +62,8 @@ def _density(places: Column, n: Column) -> Column:
     return F.aggregate(places, start, step, lambda s: s["score"])
 
 
-def ranked(queries: DataFrame, posted: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, rank) of all chunks that match a query of queries (query_id, query).
+def ranked(queries: DataFrame, posted: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, rank) of all chunks, or of those in `inside` (chunk_id), that match a query of queries (query_id, query).
 
     Postings are cut to the queries' terms; a chunk matches if it has all terms of an alternative,
     its phrases in neighbouring places, and none of the excluded ones. Which chunks have the terms is
@@ -85,6 +85,7 @@ def ranked(queries: DataFrame, posted: DataFrame) -> DataFrame:
     # A word is there once in `words`, so counting them is enough, and places are gathered for whole matches alone.
     has = words.groupBy(*which).agg(F.count_if(F.col("kind") == _MUST).alias("found"), F.count_if(F.col("kind") == _NOT).alias("banned"), F.first("n").alias("n"))
     matched = has.where((F.col("found") == F.col("n")) & (F.col("banned") == 0)).select(*which)
+    matched = matched if inside is None else matched.join(inside, "chunk_id", "left_semi")
     met = matched.join(rows.where(F.col("kind") != _NOT), ["query_id", "alt"]).join(posted, ["chunk_id", "term"])
     met = met.groupBy(*which).agg(F.first("n").alias("n"), F.first("phrases").alias("phrases"), F.collect_list(F.struct("kind", "pos", "phrase", "i", "size")).alias("m"))
     of = lambda kind: F.filter("m", lambda x: x["kind"] == kind)
@@ -99,7 +100,7 @@ def ranked(queries: DataFrame, posted: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "chunk_id").agg(F.round(F.max("rank"), 6).alias("rank"))
 
 
-def text_top_k(queries: DataFrame, posted: DataFrame, k: int) -> DataFrame:
+def text_top_k(queries: DataFrame, posted: DataFrame, k: int, inside: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, text_rank) of each query's k best; none for k <= 0."""
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "chunk_id")
-    return ranked(queries, posted).withColumn("text_rank", F.row_number().over(order)).where(F.col("text_rank") <= k)
+    return ranked(queries, posted, inside).withColumn("text_rank", F.row_number().over(order)).where(F.col("text_rank") <= k)

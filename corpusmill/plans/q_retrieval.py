@@ -46,7 +46,7 @@ ff AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id,
   FROM ttk a FULL JOIN (SELECT * FROM vtk WHERE query_id IN (SELECT query_id FROM q)) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
 fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS INTEGER) AS fused_rank FROM ff),
 fused AS (SELECT * FROM fr WHERE fused_rank <= 100)"""
-_DOCS = "(SELECT doc_id, text, concat('T', chr(10), source) AS title, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE concat('J', lang) END AS journal_ref, concat('https://www.doi.org/10.1/', CAST(doc_id AS VARCHAR)) AS doi_url FROM documents)"
+_DOCS = "(SELECT doc_id, text, concat_ws('/', lang, source) AS path, concat('T', chr(10), source) AS title, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE concat('J', lang) END AS journal_ref, concat('https://www.doi.org/10.1/', CAST(doc_id AS VARCHAR)) AS doi_url FROM documents)"
 _CITATION = "concat('[', concat_ws('. ', nullif(replace(title, chr(10), ' '), ''), nullif(replace(journal_ref, chr(10), ' '), '')), '](', doi_url, ')')"
 _SNIPPET = r"substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160)"
 
@@ -57,7 +57,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text", F.to_json(F.struct(F.concat_ws("/", "lang", "source").alias("path"))).alias("metadata"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +130,19 @@ def r08_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir)
 
 
-@query(_FUSED + f" SELECT query_id, chunk_id, rrf_score, fused_rank, {_CITATION} AS citation, {_SNIPPET} AS snippet FROM fused JOIN {_DOCS} d ON d.doc_id = chunk_id")
+@query(_FUSED + f" SELECT query_id, chunk_id, rrf_score, fused_rank, {_CITATION} AS citation, {_SNIPPET} AS snippet, path FROM fused JOIN {_DOCS} d ON d.doc_id = chunk_id")
 def r09_hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid candidates with document columns, citation and snippet."""
+    """Hybrid candidates with document columns, path, citation and snippet."""
     found = fu.with_documents(_found(spark, sf_dir), _texts(spark, sf_dir), _documents(spark, sf_dir))
-    return found.select("query_id", "chunk_id", "rrf_score", "fused_rank", "citation", "snippet")
+    return found.select("query_id", "chunk_id", "rrf_score", "fused_rank", "citation", "snippet", "path")
+
+
+@query(_FUSED.replace("<= 50", "<= 20").replace("0.3::", "0.6::").replace("0.7::", "0.25::").replace("(64 +", "(10 +").replace("<= 100", "<= 25") + " SELECT query_id, chunk_id, text_rank, vector_rank, rrf_score, fused_rank FROM fused")
+def r09_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same retrieval called from SQL for every query, with parameters of its own."""
+    fu.register_hybrid_retrieve(spark, "hybrid_retrieve", _chunks(spark, sf_dir), _posted(spark, sf_dir))
+    call = "hybrid_retrieve(q.query, q.qvec, text_k => 20, vec_k => 20, fused_k => 25, rrf_k => 10, text_w => 0.6D, vec_w => 0.25D)"
+    return spark.sql(f"SELECT q.query_id, f.* FROM {{asked}} q, LATERAL {call} f", asked=_queries(spark, sf_dir))
 
 
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,13 +321,48 @@ def e04_mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
 
 
+#: The default encoder in SQL: each distinct word's CRC-32, bit by bit, gives a place and a sign.
+_ENCODED = r"""
+WITH d AS (SELECT doc_id AS id, text FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings)),
+w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS w FROM d),
+h AS (
+  SELECT w, xor(list_reduce(list_transform(range(0, length(hex(encode(w))), 2), lambda i: CAST(CONCAT('0x', substr(hex(encode(w)), CAST(i + 1 AS INTEGER), 2)) AS BIGINT)),
+    lambda a, x: list_reduce(range(8), lambda b, y: xor(b >> 1, CAST(3988292384 AS BIGINT) * (b & 1)), xor(a, x)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS h
+  FROM (SELECT DISTINCT w FROM w)),
+x AS (SELECT id, h % 64 AS i, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM w JOIN h USING (w) GROUP BY id, h % 64),
+n AS (SELECT id, sqrt(sum(x * x)) AS n FROM x GROUP BY id)"""
+
+
+def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a vector, as (id, text)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_anti")
+
+
 @query()
 def e06_missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeds the documents that have no vector yet, checks and normalises."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    have = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
-    good, _ = e.embedded(docs.join(have, "id", "left_anti"), e.hashed_features(64), 64)
-    return good
+    return e.embedded(_missing(spark, sf_dir), e.hashed_features(64), 64)[0]
+
+
+@query(_ENCODED + " SELECT d.id, CAST(x.i AS INTEGER) AS place, round(CAST(CAST(x.x / n.n AS FLOAT) AS DOUBLE), 6) AS part FROM d JOIN x USING (id) JOIN n USING (id) WHERE x.x <> 0")
+def e06_embedded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of `e06_missing_embeddings` by their parts that aren't zero."""
+    parts = e06_missing_embeddings(spark, sf_dir).select("id", F.posexplode("embedding").alias("place", "part"))
+    return parts.where("part <> 0").select("id", "place", F.round(F.col("part").cast("double"), 6).alias("part"))
+
+
+def _fails_at_sevens(texts: list[str]) -> object:
+    """An encoder that can't take texts whose length seven divides."""
+    if any(len(x) % 7 == 0 for x in texts):
+        raise ValueError("unreadable")
+    return e.hashed_features(8)(texts)
+
+
+@query("SELECT doc_id AS id, 'ValueError: unreadable' AS error FROM documents WHERE text <> '' AND length(text) % 7 = 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def s12_rejected_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an encoder fails at is recorded by the pass that embeds the rest."""
+    return e.embedded(_missing(spark, sf_dir), _fails_at_sevens, 8, batch=1)[1]
 
 
 @query("""
