@@ -62,12 +62,12 @@ def _density(places: Column, n: Column) -> Column:
     return F.aggregate(places, start, step, lambda s: s["score"])
 
 
-def ranked(queries: DataFrame, posted: DataFrame, inside: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, rank) of all chunks, or of those in `inside` (chunk_id), that match a query of queries (query_id, query).
+def _matches(queries: DataFrame, posted: DataFrame, inside: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the queries need, the places of their words, and (query_id, alt, chunk_id, bound) of chunks that have all words of an alternative.
 
-    Postings are cut to the queries' terms; a chunk matches if it has all terms of an alternative,
-    its phrases in neighbouring places, and none of the excluded ones. Which chunks have the terms is
-    found first, and only they are joined with their places. rank is the best alternative's cover density.
+    No two minimal covers end at one place, and of those that hold one place of a word each begins
+    with another word. So there are no more of them than places left when each word has had one, nor
+    than words times the places of the rarest; `bound` is what they can be worth.
     """
     wanted = normal_queries(queries).select("query_id", F.posexplode(parsed(F.col("query"))).alias("alt", "a"))
     term = lambda kind, t, phrase, i, size: F.struct(F.lit(kind).alias("kind"), t.alias("term"), phrase.alias("phrase"), i.alias("i"), size.alias("size"))
@@ -81,12 +81,20 @@ def ranked(queries: DataFrame, posted: DataFrame, inside: DataFrame | None = Non
     # Only places of the queries' words go on, once for all queries; the terms are of known size, so few of them are sent to the postings.
     posted = staged(posted.join(rows.select("term").distinct(), "term", "left_semi"))
     which = ["query_id", "alt", "chunk_id"]
-    words = posted.select("term", "chunk_id").distinct().join(rows.where(F.col("kind") != _PHRASE), "term")
-    # A word is there once in `words`, so counting them is enough, and places are gathered for whole matches alone.
-    has = words.groupBy(*which).agg(F.count_if(F.col("kind") == _MUST).alias("found"), F.count_if(F.col("kind") == _NOT).alias("banned"), F.first("n").alias("n"))
-    matched = has.where((F.col("found") == F.col("n")) & (F.col("banned") == 0)).select(*which)
-    matched = matched if inside is None else matched.join(inside, "chunk_id", "left_semi")
-    met = matched.join(rows.where(F.col("kind") != _NOT), ["query_id", "alt"]).join(posted, ["chunk_id", "term"])
+    words = posted.groupBy("term", "chunk_id").agg(F.count("*").alias("places")).join(rows.where(F.col("kind") != _PHRASE), "term")
+    # A word is there once in `words`, so counting them is enough.
+    own = F.when(F.col("kind") == _MUST, F.col("places"))
+    has = words.groupBy(*which).agg(F.count(own).alias("found"), F.count_if(F.col("kind") == _NOT).alias("banned"), F.first("n").alias("n"), F.sum(own).alias("all"), F.min(own).alias("rarest"))
+    covers = F.least(F.col("all") - F.col("n") + 1, F.col("n") * F.col("rarest"))
+    bound = F.when(F.col("n") <= COVER, covers).otherwise(covers * F.lit(COVER) / F.col("n")).cast("double")
+    matched = has.where((F.col("found") == F.col("n")) & (F.col("banned") == 0)).select(*which, bound.alias("bound"))
+    return rows, posted, matched if inside is None else matched.join(inside, "chunk_id", "left_semi")
+
+
+def _ranks(rows: DataFrame, posted: DataFrame, matched: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, rank) of those matches (query_id, alt, chunk_id) that have their phrases too."""
+    which = ["query_id", "alt", "chunk_id"]
+    met = matched.select(*which).join(rows.where(F.col("kind") != _NOT), ["query_id", "alt"]).join(posted, ["chunk_id", "term"])
     met = met.groupBy(*which).agg(F.first("n").alias("n"), F.first("phrases").alias("phrases"), F.collect_list(F.struct("kind", "pos", "phrase", "i", "size")).alias("m"))
     of = lambda kind: F.filter("m", lambda x: x["kind"] == kind)
     places = F.array_sort(F.transform(of(_MUST), lambda x: F.struct(x["pos"].alias("pos"), x["i"].alias("k"))))
@@ -100,7 +108,32 @@ def ranked(queries: DataFrame, posted: DataFrame, inside: DataFrame | None = Non
     return scored.groupBy("query_id", "chunk_id").agg(F.round(F.max("rank"), 6).alias("rank"))
 
 
+def ranked(queries: DataFrame, posted: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, rank) of all chunks, or of those in `inside` (chunk_id), that match a query of queries (query_id, query).
+
+    Postings are cut to the queries' terms; a chunk matches if it has all terms of an alternative,
+    its phrases in neighbouring places, and none of the excluded ones. Which chunks have the terms is
+    found first, and only they are joined with their places. rank is the best alternative's cover density.
+    """
+    return _ranks(*_matches(queries, posted, inside))
+
+
 def text_top_k(queries: DataFrame, posted: DataFrame, k: int, inside: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, rank, text_rank) of each query's k best; none for k <= 0."""
+    """(query_id, chunk_id, rank, text_rank) of each query's k best; none for k <= 0.
+
+    Places are gathered only where a chunk can be among the k best: first for the 2k with the highest
+    bounds, and then for those others whose bound reaches the k-th rank found.
+    """
+    rows, posted, matched = _matches(queries, posted, inside)
+    matched = staged(matched)
+    each = matched.groupBy("query_id", "chunk_id").agg(F.max("bound").alias("bound"))
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "chunk_id")
+    likely = staged(each.withColumn("nth", F.row_number().over(by_bound)).where(F.col("nth") <= 2 * k).select("query_id", "chunk_id"))
+    best = staged(_ranks(rows, posted, matched.join(likely, ["query_id", "chunk_id"], "left_semi")))
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "chunk_id")
-    return ranked(queries, posted, inside).withColumn("text_rank", F.row_number().over(order)).where(F.col("text_rank") <= k)
+    reached = best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("query_id", F.col("rank").alias("least"))
+    others = matched.join(likely, ["query_id", "chunk_id"], "left_anti").join(reached, "query_id", "left")
+    # Ranks are rounded, so a bound may be short by half a unit of the last digit.
+    others = others.where(F.col("least").isNull() | (F.col("bound") + 1e-6 >= F.col("least"))).select("query_id", "chunk_id").distinct()
+    more = _ranks(rows, posted, matched.join(others, ["query_id", "chunk_id"], "left_semi"))
+    return best.unionByName(more).withColumn("text_rank", F.row_number().over(order)).where(F.col("text_rank") <= k)

@@ -93,3 +93,24 @@ def test_similarities_within_groups(spark, monkeypatch):
     assert all(out[a, b] == out[b, a] for a, b in out)
     with pytest.raises(ValueError, match="more than 3"):
         embedding.group_similarity(data, "label", "id", "v", most=3)
+
+
+@pytest.mark.parametrize("k", [0, 1, 3, 40])
+def test_bounded_top_k_equals_all_ranks(spark, k):
+    """The k best by bounds are those of all ranks; no rank is above its bound."""
+    rng = random.Random(k)
+    texts = [(i, " ".join(rng.choice("a b c d e x x x y".split()) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    asked = [(i, q) for i, q in enumerate(["a", "a b", "a b c d e", '"a b" x', "a b or c -x", "y x a", '"x x" "a b"', "none"])]
+    posted = text_search.postings(spark.createDataFrame(texts, "chunk_id long, text string"))
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    every = text_search.ranked(queries, posted).collect()
+    expected = []
+    for q, _ in asked:
+        rows = sorted((-r.rank, r.chunk_id) for r in every if r.query_id == q)[:k]
+        expected += [(q, c, -r, n) for n, (r, c) in enumerate(rows, 1)]
+    assert sorted((r.query_id, r.chunk_id, r.rank, r.text_rank) for r in text_search.text_top_k(queries, posted, k).collect()) == sorted(expected)
+    if k == 3:
+        bounds = {}
+        for r in text_search._matches(queries, posted, None)[2].collect():
+            bounds[r.query_id, r.chunk_id] = max(r.bound, bounds.get((r.query_id, r.chunk_id), 0))
+        assert all(r.rank <= bounds[r.query_id, r.chunk_id] + 1e-6 for r in every) and any(r.rank == bounds[r.query_id, r.chunk_id] for r in every)
