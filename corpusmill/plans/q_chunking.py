@@ -48,13 +48,14 @@ u AS (SELECT a.doc_id, a.pos, a.title, a.level, max(b.pos) AS parent_pos FROM k
 t AS (SELECT doc_id, pos, parent_pos, title AS path FROM u WHERE parent_pos IS NULL UNION ALL SELECT u.doc_id, u.pos, u.parent_pos, concat(t.path, '/', u.title) FROM t JOIN u ON u.doc_id = t.doc_id AND u.parent_pos = t.pos)
 SELECT doc_id, pos, parent_pos, path FROM t""")
 def k05_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = s.with_hierarchy(s.kept_sections(s.headings(view(spark, sf_dir, "v_md"))))
+    # Texts below headings have no part in this, so they stay behind.
+    rows = s.with_hierarchy(s.kept_sections(s.headings(view(spark, sf_dir, "v_md")).drop("body", "last")))
     return rows.select("doc_id", "pos", "parent_pos", "path")
 
 
 @query(_CARRY + " SELECT doc_id, pos, md5(text) AS text_md5 FROM f")
 def k06_carried_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = s.with_carried(s.kept_sections(s.headings(view(spark, sf_dir, "v_md"))))
+    rows = s.kept_tree(s.headings(view(spark, sf_dir, "v_md")))
     return rows.select("doc_id", "pos", F.md5("text").alias("text_md5"))
 
 
