@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions import text as t
-from corpusmill.plans.staging import text_batches
+from corpusmill.functions.tokenizers import Tokenizer, Words
+from corpusmill.operators.parts import measured, parts
+from corpusmill.plans.staging import staged, text_batches
 
 MAX_TOKENS, MIN_CHARS = 256, 20
 # Characters that no text has mark where headings begin, where their marks end and where they end.
@@ -128,37 +130,49 @@ def kept_tree(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     return _walked(rows, keep=True, nest=True, least=least)
 
 
-def _parts(frames: object, split: Callable[[str], list[str]]) -> object:
+def _called(frames: object, split: Callable[[str], list[str]]) -> object:
     for pdf in frames:
-        out = pdf.assign(parts=[[p for p in split(x) if p] for x in pdf["text"]])
+        out = pdf.assign(parts=[list(split(x)) for x in pdf["text"]])
         yield out[["doc_id", "pos", "path", "parts"]]
 
 
-def nodes(docs: DataFrame, split: Callable[[str], list[str]], max_tokens: int = MAX_TOKENS, min_chars: int = MIN_CHARS, metadata: dict[str, str] | None = None) -> DataFrame:
+def nodes(
+    docs: DataFrame, split: Callable[[str], list[str]] | None = None, max_tokens: int = MAX_TOKENS, min_chars: int = MIN_CHARS,
+    metadata: dict[str, str] | None = None, tokenizer: Tokenizer | None = None, overlap: int = 0,
+) -> DataFrame:
     """The chunk tree of docs (doc_id, text): a node for each kept section, and parts of oversized ones.
 
     Columns: node_id, doc_id, pos, part (0 for a section), parent_id, prev_id, next_id, title, path,
-    text ('' where a node only holds others) and metadata. `split` cuts an oversized text; it may be any
-    callable on one string and runs in Arrow batches, only on sections above `max_tokens` tokens.
+    text ('' where a node only holds others) and metadata, which names tokenizer, strategy, max_tokens
+    and overlap. Tokens are those of `tokenizer`, for the limit, for packing and for the overlap. A
+    text above `max_tokens` is cut at paragraphs and sentences; `split` may be another way to cut it,
+    any callable on one string, which runs in Arrow batches on these texts only.
     """
-    rows = kept_tree(headings(docs), min_chars)
-    rows = rows.withColumn("oversized", t.token_count(F.col("text")) > max_tokens)
+    tokenizer = tokenizer or Words()
+    rows = kept_tree(headings(docs), min_chars).select("doc_id", "pos", "title", "path", "parent_pos", "text")
+    rows = staged(measured(rows, tokenizer, max_tokens)).withColumn("oversized", F.col("borders").isNotNull())
     section_id = lambda pos: F.when(pos.isNotNull(), t.node_id(F.col("doc_id"), pos, F.lit(0)))
     shape = ["doc_id", "pos", "part", "parent_id", "prev_id", "next_id", "title", "path", "text"]
     none = F.lit(None).cast("string")
     tops = rows.withColumns({"part": F.lit(0), "parent_id": section_id(F.col("parent_pos")), "prev_id": none, "next_id": none, "text": F.when(F.col("oversized"), "").otherwise(F.col("text"))}).select(*shape)
-    big = rows.where("oversized").select("doc_id", "pos", "path", "text")
-    kind = big.schema["doc_id"].dataType.simpleString()
-    cut = big.mapInPandas(lambda frames: _parts(frames, split), f"doc_id {kind}, pos int, path string, parts array<string>")
-    parts = cut.select("doc_id", "pos", "path", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "text")).withColumn("part", F.col("k") + 1)
+    big = rows.where("oversized")
+    if split is None:
+        cut = parts(big, ["doc_id", "pos"], max_tokens, overlap, min_chars, ["path"])
+    else:
+        kind = big.schema["doc_id"].dataType.simpleString()
+        cut = text_batches(big.select("doc_id", "pos", "path", "text")).mapInPandas(lambda frames: _called(frames, split), f"doc_id {kind}, pos int, path string, parts array<string>")
+    cut = cut.withColumn("parts", F.filter("parts", lambda x: x != ""))
+    cut = cut.select("doc_id", "pos", "path", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "text")).withColumn("part", F.col("k") + 1)
     part_id = lambda k: t.node_id(F.col("doc_id"), F.col("pos"), k)
     title = F.concat(F.lit("part "), F.col("part").cast("string"))
-    parts = parts.withColumns({
+    pieces = cut.withColumns({
         "parent_id": part_id(F.lit(0)), "title": title, "path": F.concat_ws("/", "path", title),
         "prev_id": F.when(F.col("part") > 1, part_id(F.col("part") - 1)), "next_id": F.when(F.col("part") < F.col("n"), part_id(F.col("part") + 1)),
     }).select(*shape)
-    out = tops.unionByName(parts)
-    own = F.create_map(F.lit("title"), F.col("title"), F.lit("path"), F.col("path"), F.lit("max_tokens"), F.lit(str(max_tokens)), F.lit("strategy"), F.lit(getattr(split, "__name__", "split")))
+    out = tops.unionByName(pieces)
+    strategy = "paragraphs and sentences" if split is None else getattr(split, "__name__", "split")
+    stamps = {"max_tokens": str(max_tokens), "overlap": str(overlap), "tokenizer": tokenizer.name, "strategy": strategy}
+    own = F.create_map(F.lit("title"), F.col("title"), F.lit("path"), F.col("path"), *(F.lit(x) for kv in stamps.items() for x in kv))
     given = F.create_map(*(F.lit(x) for kv in metadata.items() for x in kv)) if metadata else None
     stamp = F.map_concat(F.map_filter(given, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own) if given is not None else own
     return out.select(t.node_id(F.col("doc_id"), F.col("pos"), F.col("part")).alias("node_id"), *shape, stamp.alias("metadata"))

@@ -1,24 +1,27 @@
-"""Cutting one oversized section at paragraphs and sentences, with mathematics kept whole.
+"""Where a text might be cut at paragraphs and sentences, with mathematics kept whole.
 
-A helper for the Arrow stage of the section tree. All places where a text might be cut are found at
-once and become a table with a column for each thing that speaks for or against a cut; rules over
-these columns pick the cuts, and windows are packed by prefix sums of the units' tokens.
+All such places are found at once and become a table with a column for each thing that speaks for or
+against a cut. The rules are data: `parts.py` applies them to the rows of all texts as Spark columns,
+and `split` to one text's arrays.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from dataclasses import dataclass
 
 import numpy as np
 
-# Patterns of mathematics, of paragraph and sentence borders, and of tokens.
+from corpusmill.functions.tokenizers import Tokenizer, Words, overlapping
+
+# Patterns of mathematics, of paragraph and sentence borders, and of abbreviations.
 _INLINE = re.compile(r"(?<!\$)\$(?!\$)(?:\\.|[^$\n\\])+?\$(?!\$)|\\\((?:\\.|[^\\)\n])+?\\\)")
 _OPENING = re.compile(r"\$\$|\\\[|\\begin\{([^}]*)\}|\\begin\{")
 _BREAK = re.compile(r"(?:\r?\n)\s*(?:\r?\n)+")
 _SENTENCE = re.compile(r"[.!?]+[\"')\]]*(?:\s+|$)", re.MULTILINE)
-_ABBREVIATION = re.compile(r"\b(?=[ei]\.[ge]\.)", re.IGNORECASE)
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+_ABBREVIATION = r"(?:\b(?:e|i)\.g\.|\b(?:e|i)\.e\.)"
 # Signs that end a sentence, that may close after it, and after which a line goes on.
 _ENDS, _CLOSERS, _OPEN = ".!?", "\"')]}", ":;,([{"
 # What a sentence goes on with, besides small letters and digits.
@@ -27,6 +30,10 @@ _GO_ON = (
     "\\cite", "\\citet", "\\citep", "\\citealp", "\\citeauthor", "\\citeyear", "\\parencite", "\\textcite", "\\footcite",
     "\\ref", "\\eqref", "\\autoref", "\\cref", "\\Cref",
 )
+#: Abbreviations wherever they begin, also inside one another.
+_SHORT = re.compile(f"(?=({_ABBREVIATION}))", re.IGNORECASE)
+#: White space by code point; there is none above these.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)])
 
 
 @dataclass
@@ -51,10 +58,16 @@ def block_math(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def inline_math(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _INLINE.finditer(text)]
+
+
 def marks(text: str) -> bytearray:
     """For every character: 0, 1 in an inline formula, 2 in a display formula."""
     out = np.zeros(len(text), np.uint8)
-    for number, spans in ((1, [m.span() for m in _INLINE.finditer(text)]), (2, block_math(text))):
+    if "$" not in text and "\\" not in text:
+        return bytearray(out.tobytes())
+    for number, spans in ((1, inline_math(text)), (2, block_math(text))):
         turn = np.zeros(len(text) + 1, np.int64)
         for column, by in ((0, 1), (1, -1)):
             np.add.at(turn, [span[column] for span in spans], by)
@@ -67,13 +80,18 @@ def _spans(pattern: re.Pattern, text: str, *within: int) -> tuple[np.ndarray, np
     return found[:, 0], found[:, 1]
 
 
+def _among(codes: np.ndarray, signs: str) -> np.ndarray:
+    """Where a code point is one of a few signs."""
+    return functools.reduce(operator.or_, (codes == ord(c) for c in signs))
+
+
 def _last_where(mask: np.ndarray) -> np.ndarray:
     """For every place the last one up to it where `mask` holds, or -1."""
     return np.maximum.accumulate(np.where(mask, np.arange(len(mask)), -1))
 
 
 #: A paragraph goes on over a blank line where one of these groups of signs holds; `not x` is the absence of x.
-_SAME_PARAGRAPH = [
+SAME_PARAGRAPH = [
     ["formula"],
     ["display before"],
     ["display after", "not finished"],
@@ -84,63 +102,98 @@ _SAME_PARAGRAPH = [
     ["words before", "not heading after", "not finished", "goes on"],
 ]
 #: A sentence goes on where one of these holds.
-_SAME_SENTENCE = [["formula"], ["abbreviation"], ["goes on"]]
+SAME_SENTENCE = [["formula"], ["abbreviation"], ["goes on"]]
+SIGNS = ["formula", "display before", "display after", "words before", "heading after", "abbreviation", "open", "hyphen", "finished", "small letter", "goes on"]
+PARAGRAPH, SENTENCE, END = range(3)
+
+
+def holds(rules: list[list[str]], signs: dict) -> object:
+    """Whether one of the rules holds, each of which needs all its signs; signs are arrays, or Spark columns."""
+    value = lambda name: ~signs[name[4:]] if name.startswith("not ") else signs[name]
+    return functools.reduce(operator.or_, (functools.reduce(operator.and_, map(value, rule)) for rule in rules))
 
 
 class Splitter:
-    """Borders inside one text."""
+    """Borders inside one text, and its tokens."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, tokenizer: Tokenizer | None = None):
         self.text, self.mark = text, np.frombuffer(marks(text), np.uint8)
-        self.first, self.last = _spans(_TOKEN, text)
-        chars = np.array(list(text), "U1") if text else np.zeros(0, "U1")
-        self.chars, self.filled = chars, np.char.strip(chars) != ""
+        self.first, self.last = (tokenizer or Words()).spans(text)
+        self.codes = codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.filled = ~(_BLANK[np.minimum(codes, len(_BLANK) - 1)] & (codes < len(_BLANK)))
         self.short = np.zeros(len(text), bool)
-        self.short[_spans(_ABBREVIATION, text)[0] + 3] = True  # at the second of its points
+        self.short[[m.end(1) - 1 for m in _SHORT.finditer(text)]] = True
         # The last sign up to a place that isn't blank, and then the last up to there that doesn't just close.
-        self.solid, self.core = _last_where(self.filled), _last_where(~np.isin(chars, list(_CLOSERS)))
+        self.solid, self.core = _last_where(self.filled), _last_where(~_among(codes, _CLOSERS))
         self.following = np.append(len(text) - 1 - _last_where(self.filled[::-1])[::-1], len(text))  # the next that isn't blank
 
     def tokens(self, start: int, end: int) -> int:
         """Tokens that overlap [start, end)."""
-        return max(0, int(np.searchsorted(self.first, end) - np.searchsorted(self.last, start, side="right")))
+        return overlapping(self.first, self.last, start, end)
 
     def _signs(self, start: np.ndarray, end: np.ndarray, ended: np.ndarray) -> dict[str, np.ndarray]:
         """What is known of borders [start, end), each with text after it; `ended` is the sign that the text before it ends with, or -1."""
         after = self.following[end]
-        here, last = self.chars[after], np.where(ended >= 0, self.chars[ended], "")
-        small = np.char.islower(here)
+        here = [self.text[i] for i in after.tolist()]
+        last = np.where(ended >= 0, self.codes[ended], 0) if len(self.codes) else ended
+        small = np.array([c.islower() for c in here], bool)
         short = (ended >= 0) & self.short[ended]
         return {
             "formula": (self.mark[start] > 0) | (self.mark[end - 1] > 0),
             "display after": self.mark[after] == 2,
             "words before": ended >= 0,
-            "heading after": here == "#",
+            "heading after": np.array([c == "#" for c in here], bool),
             "abbreviation": short,
-            "open": np.isin(last, list(_OPEN)),
-            "hyphen": last == "-",
-            "finished": np.isin(last, list(_ENDS)) & ~short,
+            "open": _among(last, _OPEN),
+            "hyphen": _among(last, "-"),
+            "finished": _among(last, _ENDS) & ~short,
             "small letter": small,
-            "goes on": small | np.char.isdigit(here) | np.array([self.text.startswith(_GO_ON, i) for i in after.tolist()], bool),
+            "goes on": small | np.array([c.isdigit() for c in here], bool) | np.array([self.text.startswith(_GO_ON, i) for i in after.tolist()], bool),
         }
 
-    @staticmethod
-    def _any(rules: list[list[str]], signs: dict[str, np.ndarray]) -> np.ndarray:
-        value = lambda name: ~signs[name[4:]] if name.startswith("not ") else signs[name]
-        return np.any([np.all([value(name) for name in rule], axis=0) for rule in rules], axis=0)
-
-    def paragraphs(self) -> list[Window]:
+    def _paragraph_signs(self) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """All blank lines but one at the start, and their signs; at the text's edges only formulas count."""
         start, end = _spans(_BREAK, self.text)
         inside = start > 0
         start, end = start[inside], end[inside]
         before = self.solid[start - 1] if len(start) else start
-        goes_on = (self.mark[start] > 0) | (self.mark[end - 1] > 0)
-        # Borders with text on both sides; those at the text's edges only keep formulas whole.
         full = np.flatnonzero((before >= 0) & (self.following[end] < len(self.text)))
-        signs = self._signs(start[full], end[full], self.core[before[full]])
-        signs["display before"] = self.mark[before[full]] == 2
-        goes_on[full] |= self._any(_SAME_PARAGRAPH, signs)
-        cut = ~goes_on
+        known = self._signs(start[full], end[full], self.core[before[full]])
+        known["display before"] = self.mark[before[full]] == 2
+        signs = {}
+        for name, values in known.items():
+            signs[name] = np.zeros(len(start), bool)
+            signs[name][full] = values
+        signs["formula"] = (self.mark[start] > 0) | (self.mark[end - 1] > 0)
+        return start, end, signs
+
+    def borders(self) -> dict[str, np.ndarray]:
+        """All borders of both kinds in order, and the text's end as the last, with counts that make units' sizes differences.
+
+        stop and begin: where a unit ends and the next begins; stop_tokens and begin_tokens: tokens that
+        begin before the one, and that end up to the other; solid: the last place before stop that isn't blank.
+        """
+        n = len(self.text)
+        p_start, p_end, paragraph = self._paragraph_signs()
+        start, end = _spans(_SENTENCE, self.text)
+        followed = self.following[end] < n
+        start, end = start[followed], end[followed]
+        sentence = self._signs(start, end, start) | {"display before": np.zeros(len(start), bool)}
+        join = lambda *parts: np.concatenate([np.asarray(x) for x in parts])
+        at = {
+            "kind": join(np.full(len(p_start), PARAGRAPH), np.full(len(start), SENTENCE), [END]), "place": join(p_start, start, [n]),
+            "stop": join(p_start, end, [n]), "begin": join(p_end, end, [n]), "after": join(self.following[p_end], self.following[end], [n]),
+        }
+        at |= {name: join(paragraph[name], sentence[name], [False]).astype(bool) for name in SIGNS}
+        order = np.lexsort((at["kind"], at["place"]))
+        at = {name: values[order] for name, values in at.items()}
+        at["stop_tokens"], at["begin_tokens"] = np.searchsorted(self.first, at["stop"]), np.searchsorted(self.last, at["begin"], side="right")
+        at["solid"] = np.append(-1, self.solid)[at["stop"]]
+        return at
+
+    def paragraphs(self) -> list[Window]:
+        start, end, signs = self._paragraph_signs()
+        cut = ~holds(SAME_PARAGRAPH, signs)
         starts, ends = np.append(0, end[cut]), np.append(start[cut], len(self.text))
         return [Window(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if a < b]
 
@@ -149,7 +202,7 @@ class Splitter:
         inside = end < p.end
         inside[inside] = self.following[end[inside]] < p.end
         start, end = start[inside], end[inside]
-        cut = end[~self._any(_SAME_SENTENCE, self._signs(start, end, start))].tolist()
+        cut = end[~holds(SAME_SENTENCE, self._signs(start, end, start))].tolist()
         return [Window(a, b) for a, b in zip([p.start, *cut], [*cut, p.end], strict=True)]
 
     def units(self, max_tokens: int) -> list[Window]:
@@ -178,27 +231,24 @@ def pack(units: list[Window], max_tokens: int, overlap: int = 0) -> list[Window]
 
 
 def merge_small(windows: list[Window], least: int) -> list[Window]:
-    """Windows shorter than `least` characters join the next one, the last of all the one before."""
-    out, begin = [], None
-    for k, w in enumerate(windows):
-        start = w.start if begin is None else begin
-        begin = None
-        if w.end - start >= least or len(windows) == 1:
-            out.append(Window(start, w.end))
-        elif k + 1 < len(windows):
-            begin = start
-        elif out:
-            out[-1] = Window(out[-1].start, w.end)
-        else:
+    """Windows are added up until they have `least` characters; what is left over joins the last, if there is one."""
+    out, start = [], None
+    for w in windows:
+        start = w.start if start is None else start
+        if w.end - start >= least:
             out.append(Window(start, w.end))
+            start = None
+    if start is not None:
+        start = out.pop().start if out else start
+        out.append(Window(start, windows[-1].end))
     return out
 
 
-def split(text: str, max_tokens: int = 256, overlap: int = 0, least: int = 20) -> list[str]:
-    """The windows of one oversized section as texts."""
+def split(text: str, max_tokens: int = 256, overlap: int = 0, least: int = 20, tokenizer: Tokenizer | None = None) -> list[str]:
+    """The windows of one oversized section as texts: the form for a single text."""
     if not text:
         return [text]
-    windows = [w for w in pack(Splitter(text).units(max_tokens), max_tokens, overlap) if w.end > w.start]
+    windows = [w for w in pack(Splitter(text, tokenizer).units(max_tokens), max_tokens, overlap) if w.end > w.start]
     if least > 0 and len(windows) > 1:
         windows = merge_small(windows, least)
     return [text[w.start : w.end] for w in windows]

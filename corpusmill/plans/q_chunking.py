@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
+from corpusmill.functions.tokenizers import with_token_spans
 from corpusmill.operators import sections as s
-from corpusmill.operators.splitting import split
+from corpusmill.operators.parts import math_spans
 from corpusmill.plans.registry import query
+from corpusmill.plans.staging import text_batches
 from corpusmill.plans.views import duck, table, view
 
 _WORDS = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
@@ -71,6 +73,33 @@ def k09_inline_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\$[^$\n\\]+\$")).alias("formulas"))
 
 
+@query(r"""
+WITH p AS (SELECT doc_id, length(text) AS n, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]|\s+') AS p FROM documents),
+t AS (SELECT doc_id, n, x, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM (SELECT doc_id, n, unnest(p) AS x, unnest(range(len(p))) AS i FROM p))
+SELECT d.doc_id, count(t.x) AS tokens FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id AND NOT regexp_matches(t.x, '^\s') AND t.first < t.n // 2 AND t.first + length(t.x) > t.n // 4
+WHERE d.text <> '' GROUP BY d.doc_id""")
+def k07_span_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that overlap the second quarter of each text, those that are cut by its ends included."""
+    spans = with_token_spans(text_batches(table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")), "text")
+    n = F.length("text")
+    inside = F.filter("spans", lambda x: (x["first"] < F.floor(n / 2)) & (x["last"] > F.floor(n / 4)))
+    return spans.select("doc_id", F.size(inside).cast("long").alias("tokens"))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, translate(text, '$\', '') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, (length(replace(t, ' ', ' $a$ ')) - length(t)) // 4 AS inline, CAST(2 AS BIGINT) AS display, CAST(15 AS BIGINT) AS display_signs FROM p""")
+def k09_math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas of texts whose blanks each hold one, with two display formulas at the end and one that isn't closed."""
+    bare = F.translate("text", "$\\", "")
+    text = F.concat(F.replace(bare, F.lit(" "), F.lit(" $a$ ")), F.lit("\n$$x\n\ny$$\n\\[ z \\] \n $$ open"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.alias("text"))
+    found = math_spans(text_batches(rows), "text").withColumn("s", F.explode("spans"))
+    count = lambda kind: F.count_if(F.col("s.kind") == kind)
+    return found.groupBy("doc_id").agg(count("inline").alias("inline"), count("display").alias("display"), F.sum(F.when(F.col("s.kind") == "display", F.col("s.last") - F.col("s.first"))).cast("long").alias("display_signs"))
+
+
 @query("""
 WITH s AS (SELECT user_id, epoch_us(ts) AS a, epoch_us(ts) + 3600000000 AS b FROM events),
 m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
@@ -112,7 +141,19 @@ def k15_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k17_chunk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes with parts of oversized sections, links and metadata."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Text\n\n"), F.col("text")).alias("text"))
-    return s.nodes(docs, split, metadata={"origin": "documents"})
+    return s.nodes(docs, metadata={"origin": "documents"})
+
+
+@query(_CARRY.replace("FROM v_md", "FROM v_long_md").replace(duck("v_md"), duck("v_long_md")) + f""",
+x AS (SELECT doc_id, len(regexp_extract_all(text, '{_WORDS}')) > 256 AS big, length(regexp_replace(text, '\\s', '', 'g')) AS signs FROM f)
+SELECT doc_id, count(*) AS sections, count(*) FILTER (big) AS oversized, CAST(sum(signs) AS BIGINT) AS signs, true AS linked FROM x GROUP BY doc_id""")
+def k17_tree_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a tree of many sections must add up to: every text is in it once, and parts form one chain below each oversized section."""
+    nodes = s.nodes(view(spark, sf_dir, "v_long_md"))
+    chains = nodes.where("part > 0").groupBy("parent_id").agg(F.count_if(F.col("prev_id").isNull()).alias("heads"), F.count_if(F.col("next_id").isNull()).alias("tails"), F.count("*").alias("n"), F.max("part").alias("last"))
+    joined = nodes.join(chains.select(F.col("parent_id").alias("node_id"), ((F.col("heads") == 1) & (F.col("tails") == 1) & (F.col("n") == F.col("last"))).alias("whole")), "node_id", "left")
+    signs = F.length(F.regexp_replace("text", r"\s", "")).cast("long")
+    return joined.groupBy("doc_id").agg(F.count_if(F.col("part") == 0).alias("sections"), F.count("whole").alias("oversized"), F.sum(signs).alias("signs"), F.coalesce(F.bool_and("whole"), F.lit(True)).alias("linked"))
 
 
 @query(r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?m)^#{1,6}\s+.+$')")

@@ -42,6 +42,9 @@ _MD_DUCK = """
 SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: concat(repeat('#', CAST(1 + (i - 1) % 3 AS INT)), ' ',
     CASE WHEN (i - 1) % 7 = 6 THEN 'References' ELSE concat('Section ', CAST(i - 1 AS STRING)) END, chr(10), chr(10), l)), concat(chr(10), chr(10))) AS text
 FROM documents"""
+#: The whole text as one long section, and then its lines as sections of their own.
+_LONG_SPARK = _MD_SPARK.replace("SELECT doc_id, array_join(", r"SELECT doc_id, concat('# Whole\n\n', text, '\n\n', array_join(").replace(" AS text\n", ") AS text\n")
+_LONG_DUCK = _MD_DUCK.replace("SELECT doc_id, array_to_string(", "SELECT doc_id, concat('# Whole', chr(10), chr(10), text, chr(10), chr(10), array_to_string(").replace(" AS text\n", ") AS text\n")
 _QTEXT_SPARK = """
 SELECT item_id AS query_id, concat('  ', lower(concat_ws(' ', try_element_at(split(text, ' '), 1), try_element_at(split(text, ' '), -1))), ' \n') AS query FROM benchmark"""
 _QTEXT_DUCK = """
@@ -68,6 +71,7 @@ _VIEWS = {
     "v_raw_meta": (_RAW_META, _RAW_META, ["documents"]),
     "v_raw_md": (_RAW_MD, _RAW_MD, ["documents"]),
     "v_md": (_MD_SPARK, _MD_DUCK, ["documents"]),
+    "v_long_md": (_LONG_SPARK, _LONG_DUCK, ["documents"]),
     "v_qtext": (_QTEXT_SPARK, _QTEXT_DUCK, ["benchmark"]),
     "v_qvec": (_QVEC, _QVEC, ["embeddings"]),
     "v_qrels": (_QRELS, _QRELS, ["embeddings"]),
