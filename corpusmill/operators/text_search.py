@@ -63,7 +63,7 @@ def _density(places: Column, n: Column) -> Column:
 
 
 def _matches(queries: DataFrame, posted: DataFrame, inside: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What the queries need, the places of their words, and (query_id, alt, chunk_id, bound) of chunks that have all words of an alternative.
+    """What the queries need, their words with places by chunk, and (query_id, alt, chunk_id, bound) of chunks that have all words of an alternative.
 
     No two minimal covers end at one place, and of those that hold one place of a word each begins
     with another word. So there are no more of them than places left when each word has had one, nor
@@ -78,24 +78,34 @@ def _matches(queries: DataFrame, posted: DataFrame, inside: DataFrame | None) ->
         F.flatten(F.transform("a.phrases", lambda p, j: F.transform(p, lambda t, i: term(_PHRASE, t, j, i, F.size(p))))),
     )
     rows = staged(wanted.select("query_id", "alt", F.size("a.must").alias("n"), F.size("a.phrases").alias("phrases"), F.inline(needed)))
-    # Only places of the queries' words go on, once for all queries; the terms are of known size, so few of them are sent to the postings.
-    posted = staged(posted.join(rows.select("term").distinct(), "term", "left_semi"))
+    # Only the queries' words go on, once for all queries, with their places together; the terms are of known size, so few of them are sent to the postings.
+    held = posted.join(rows.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.collect_list("pos").alias("places"))
+    held = staged(held.withColumn("n_places", F.size("places")))
     which = ["query_id", "alt", "chunk_id"]
-    words = posted.groupBy("term", "chunk_id").agg(F.count("*").alias("places")).join(rows.where(F.col("kind") != _PHRASE), "term")
-    # A word is there once in `words`, so counting them is enough.
-    own = F.when(F.col("kind") == _MUST, F.col("places"))
-    has = words.groupBy(*which).agg(F.count(own).alias("found"), F.count_if(F.col("kind") == _NOT).alias("banned"), F.first("n").alias("n"), F.sum(own).alias("all"), F.min(own).alias("rarest"))
-    covers = F.least(F.col("all") - F.col("n") + 1, F.col("n") * F.col("rarest"))
+    # Chunks with the rarest word of an alternative are looked up first, and only they for the other words.
+    spread = held.groupBy("term").agg(F.count("*").alias("chunks"))
+    musts = rows.where(F.col("kind") == _MUST).join(spread, "term", "left")
+    rarest = staged(musts.groupBy("query_id", "alt").agg(F.min_by("term", F.struct(F.coalesce("chunks", F.lit(0)), "term")).alias("term"), F.first("n").alias("n")))
+    likely = rarest.join(held.select("chunk_id", "term"), "term").drop("term")
+    likely = likely if inside is None else likely.join(inside, "chunk_id", "left_semi")
+    asked = likely.join(rows.where(F.col("kind") != _PHRASE).select("query_id", "alt", "kind", "term"), ["query_id", "alt"])
+    # A word is there once in `held`, so counting them is enough.
+    own = F.when(F.col("kind") == _MUST, F.col("n_places"))
+    has = asked.join(held.select("chunk_id", "term", "n_places"), ["chunk_id", "term"]).groupBy(*which).agg(
+        F.count(own).alias("found"), F.count_if(F.col("kind") == _NOT).alias("banned"), F.first("n").alias("n"), F.sum(own).alias("all"), F.min(own).alias("fewest"))
+    covers = F.least(F.col("all") - F.col("n") + 1, F.col("n") * F.col("fewest"))
     bound = F.when(F.col("n") <= COVER, covers).otherwise(covers * F.lit(COVER) / F.col("n")).cast("double")
     matched = has.where((F.col("found") == F.col("n")) & (F.col("banned") == 0)).select(*which, bound.alias("bound"))
-    return rows, posted, matched if inside is None else matched.join(inside, "chunk_id", "left_semi")
+    return rows, held, matched
 
 
-def _ranks(rows: DataFrame, posted: DataFrame, matched: DataFrame) -> DataFrame:
+def _ranks(rows: DataFrame, held: DataFrame, matched: DataFrame) -> DataFrame:
     """(query_id, chunk_id, rank) of those matches (query_id, alt, chunk_id) that have their phrases too."""
     which = ["query_id", "alt", "chunk_id"]
-    met = matched.select(*which).join(rows.where(F.col("kind") != _NOT), ["query_id", "alt"]).join(posted, ["chunk_id", "term"])
-    met = met.groupBy(*which).agg(F.first("n").alias("n"), F.first("phrases").alias("phrases"), F.collect_list(F.struct("kind", "pos", "phrase", "i", "size")).alias("m"))
+    met = matched.select(*which).join(rows.where(F.col("kind") != _NOT), ["query_id", "alt"]).join(held, ["chunk_id", "term"])
+    met = met.groupBy(*which).agg(F.first("n").alias("n"), F.first("phrases").alias("phrases"), F.collect_list(F.struct("kind", "places", "phrase", "i", "size")).alias("m"))
+    each = lambda x: F.transform(x["places"], lambda p: F.struct(x["kind"].alias("kind"), p.alias("pos"), x["phrase"].alias("phrase"), x["i"].alias("i"), x["size"].alias("size")))
+    met = met.withColumn("m", F.flatten(F.transform("m", each)))
     of = lambda kind: F.filter("m", lambda x: x["kind"] == kind)
     places = F.array_sort(F.transform(of(_MUST), lambda x: F.struct(x["pos"].alias("pos"), x["i"].alias("k"))))
     met = met.select("query_id", "chunk_id", "n", "phrases", "m", places.alias("places"))
@@ -124,16 +134,17 @@ def text_top_k(queries: DataFrame, posted: DataFrame, k: int, inside: DataFrame
     Places are gathered only where a chunk can be among the k best: first for the 2k with the highest
     bounds, and then for those others whose bound reaches the k-th rank found.
     """
-    rows, posted, matched = _matches(queries, posted, inside)
+    rows, held, matched = _matches(queries, posted, inside)
     matched = staged(matched)
     each = matched.groupBy("query_id", "chunk_id").agg(F.max("bound").alias("bound"))
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "chunk_id")
     likely = staged(each.withColumn("nth", F.row_number().over(by_bound)).where(F.col("nth") <= 2 * k).select("query_id", "chunk_id"))
-    best = staged(_ranks(rows, posted, matched.join(likely, ["query_id", "chunk_id"], "left_semi")))
+    # What goes to the places is written first, so that Spark knows how little it is.
+    best = staged(_ranks(rows, held, staged(matched.join(likely, ["query_id", "chunk_id"], "left_semi"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "chunk_id")
     reached = best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("query_id", F.col("rank").alias("least"))
     others = matched.join(likely, ["query_id", "chunk_id"], "left_anti").join(reached, "query_id", "left")
     # Ranks are rounded, so a bound may be short by half a unit of the last digit.
     others = others.where(F.col("least").isNull() | (F.col("bound") + 1e-6 >= F.col("least"))).select("query_id", "chunk_id").distinct()
-    more = _ranks(rows, posted, matched.join(others, ["query_id", "chunk_id"], "left_semi"))
+    more = _ranks(rows, held, staged(matched.join(others, ["query_id", "chunk_id"], "left_semi")))
     return best.unionByName(more).withColumn("text_rank", F.row_number().over(order)).where(F.col("text_rank") <= k)
