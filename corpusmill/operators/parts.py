@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions.tokenizers import Tokenizer
 from corpusmill.operators import splitting as sp
+from corpusmill.plans.staging import text_batches
 
 _NUMBERS = ["kind", "place", "stop", "begin", "after", "stop_tokens", "begin_tokens", "solid"]
 _SIGNS = [name.replace(" ", "_") for name in sp.SIGNS]
@@ -74,7 +75,9 @@ def cuts(found: DataFrame, keys: list[str], max_tokens: int) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("place", "kind")
     own = lambda *names: F.when(F.col("ends"), F.struct(*names))
     last = F.last(own("begin", "begin_tokens"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.first(own("stop", "stop_tokens"), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # What follows is what came before from the other end, where a frame grows instead of being read anew for each row.
+    back = Window.partitionBy(*keys).orderBy(F.desc("place"), F.desc("kind"))
+    following = F.last(own("stop", "stop_tokens"), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({"last": last, "next": following})
     size = F.col("next.stop_tokens") - F.coalesce("last.begin_tokens", F.lit(0))
     inside = F.col("apart") & (size > max_tokens) & (F.col("stop") < F.col("next.stop")) & (F.col("after") < F.col("next.stop")) & (F.col("place") >= F.coalesce("last.begin", F.lit(0)))
@@ -116,6 +119,14 @@ def _windows(batches: Iterator[pa.RecordBatch], keys: int, kinds: list[pa.DataTy
     yield given(closed())
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The windows of each text; a slice costs its own length here, and the length of all before it on UTF-8."""
+    for batch in batches:
+        *rest, texts, windows = batch.columns
+        cut = [[text[w["start"] : w["end"]] for w in own] for text, own in zip(texts.to_pylist(), windows.to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(cut, pa.list_(pa.string()))], names)
+
+
 def parts(found: DataFrame, keys: list[str], max_tokens: int, overlap: int = 0, least: int = 20, carry: list[str] = []) -> DataFrame:  # noqa: B006
     """(keys, carry, parts) of `measured` texts (keys, text, borders) above max_tokens: the texts of their windows, in order.
 
@@ -129,5 +140,6 @@ def parts(found: DataFrame, keys: list[str], max_tokens: int, overlap: int = 0,
     work = partial(_windows, keys=len(keys), kinds=[to_arrow_type(t) for t in kinds], max_tokens=max_tokens, overlap=overlap, least=least)
     windows = lined.mapInArrow(work, kind)
     same = [F.col(k).eqNullSafe(F.col(f"key{n}")) for n, k in enumerate(keys)]
-    met = found.where("borders is not null").select(*keys, *carry, "text").join(windows, same)
-    return met.select(*keys, *carry, F.transform("windows", lambda w: F.substring("text", w["start"] + 1, w["end"] - w["start"])).alias("parts"))
+    met = found.where("borders is not null").select(*keys, *carry, "text").join(windows, same).select(*keys, *carry, "text", "windows")
+    texts = T.StructType([*(met.schema[c] for c in (*keys, *carry)), T.StructField("parts", T.ArrayType(T.StringType()))])
+    return text_batches(met).mapInArrow(partial(_sliced, names=texts.names), texts)
