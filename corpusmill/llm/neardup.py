@@ -235,8 +235,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Documents are linked when their sets of five-word shingles have a similarity of `percent` or
     more; component_id is the smallest doc_id that links reach. Null and word-free texts have no
     shingles and no links. Rows that repeat a doc_id count as one document. A row without a doc_id
-    has links like others, but no component_id of its own: that and kept are null where no link
-    leads to a row with an id. Other columns are ignored; an empty table gives an empty result.
+    is in the component of the rows with an equal set, if one of them has an id; it has no other
+    links, and its component_id and kept are null otherwise. Other columns are ignored; an empty table gives an empty result.
     """
     base = staged(text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNED))
     nodes = base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))

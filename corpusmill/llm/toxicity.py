@@ -190,7 +190,7 @@ def _termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> Rows:
     """The features and labels of at most TRAINING_ROWS labelled documents, chosen by a hash of doc_id.
 
-    Of several labels of an id the largest counts. Texts stay on the executors: only features that the
+    Of several labels of an id the largest counts; rows that share an id are one document. Texts stay on the executors: only features that the
     rows outside some fold speak for come to the driver, FOLDS * KEPT of them at most.
     """
     named = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
@@ -198,16 +198,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> Rows:
     ids = named.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(TRAINING_ROWS)
     texts = text_batches(docs).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(FOLDS)).cast("int"))
     found = staged(texts.mapInArrow(_termed, "doc_id long, y int, fold int, keys array<long>, early array<boolean>, late array<boolean>"))
-    one = found.select("doc_id", "y", "fold", F.explode(F.arrays_zip("keys", "early", "late")).alias("f")).select("doc_id", "y", "fold", "f.*")
+    # Rows that repeat an id are one document with the features of all their texts, put together here whatever their order and number.
+    one = found.select("doc_id", "y", "fold", F.inline(F.arrays_zip("keys", "early", "late")))
+    one = staged(one.groupBy("doc_id", "y", "fold", "keys").agg(F.bool_or("early").alias("early"), F.bool_or("late").alias("late")))
     per = one.groupBy("keys").agg(F.count("*").alias("n"), F.sum("y").alias("bad"), *(F.sum((F.col("fold") == k).cast("int")).alias(f"n{k}") for k in range(FOLDS)), *(F.sum((F.col("fold") == k).cast("int") * F.col("y")).alias(f"b{k}") for k in range(FOLDS)))
     # A feature may count for a chain without one or two folds: what any two folds less still leave.
     pairs = [(j, k) for j in range(FOLDS) for k in range(j, FOLDS)]
     rest = [(F.col("n") - F.col(f"n{j}") - (F.col(f"n{k}") if k > j else 0), F.col("bad") - F.col(f"b{j}") - (F.col(f"b{k}") if k > j else 0)) for j, k in pairs]
     speaks = reduce(lambda a, b: a | b, [(n >= SUPPORT) & (bad >= LEAST_SHARE * n) for n, bad in [(F.col("n"), F.col("bad")), *rest]])
     best = per.where(speaks).orderBy(F.desc("bad"), "keys").limit(FOLDS * KEPT).select("keys")
-    some = one.join(F.broadcast(best), "keys").toPandas()
-    rows = found.select("doc_id", "y", "fold").orderBy("doc_id").toPandas().drop_duplicates("doc_id")
-    some = some.drop_duplicates(["doc_id", "keys"])  # rows that repeat an id count as one document
+    some = one.join(F.broadcast(best), "keys").toPandas().sort_values(["doc_id", "keys"])
+    rows = found.select("doc_id", "y", "fold").distinct().toPandas().sort_values("doc_id")
     names, feature = np.unique(some["keys"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
     owner = np.searchsorted(rows["doc_id"].to_numpy(np.int64), some["doc_id"].to_numpy(np.int64))
     return Rows(names, rows["y"].to_numpy(np.float64), rows["fold"].to_numpy(np.int64), feature, owner, some["early"].to_numpy(bool), some["late"].to_numpy(bool))

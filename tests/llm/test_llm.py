@@ -541,3 +541,23 @@ def test_stages_on_odd_tables(spark, corpus, number):
     else:
         assert first.count() == second.count() and first.select("doc_id").distinct().count() == len({r[0] for r in rows})
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_training_rows_do_not_hang_on_order(spark):
+    """Rows that share an id are one document, whichever comes first and however often."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30, 60) + (" foul vile" if i % 3 == 0 else "")) for i in range(90)] + [(5, "vile words here")] * 40 + [(5, "foul at the end vile")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    found = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        found.append(toxicity.training_rows(frame(spark, rows).repartition(2 + seed), labels, "toxic"))
+    assert all(np.array_equal(getattr(found[0], f), getattr(found[1], f)) for f in ("names", "toxic", "fold", "feature", "owner", "early", "late"))
+    assert len(found[0].toxic) == 90
+
+
+def test_near_duplicates_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, text), (None, text), (None, text + " more")]
+    out = sorted((tuple(r) for r in near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert out == sorted([(5, 96, 5, True), (None, 96, 5, None), (None, 97, None, None)], key=str)
