@@ -29,6 +29,13 @@ def appended(messages: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(base, "thread_id", "left").withColumn("sequence_num", (F.coalesce("base", F.lit(0)) + k).cast("long")).drop("base", "n")
 
 
+def touched(threads: DataFrame, new: DataFrame) -> DataFrame:
+    """threads (thread_id, updated_at, …) after messages (thread_id, created_at) were appended: updated_at moves to the newest, and never back."""
+    newest = new.groupBy("thread_id").agg(F.max("created_at").alias("newest"))
+    rows = threads.join(newest, "thread_id", "left").withColumn("updated_at", F.greatest("updated_at", "newest"))
+    return rows.select(*threads.columns)
+
+
 def title(prompt: Column, size: int = 40) -> Column:
     """A thread's title from its first prompt."""
     line = F.substring(F.replace(F.trim(prompt), F.lit("\n"), F.lit(" ")), 1, size)

@@ -22,6 +22,25 @@ def judgements_from_maps(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", F.explode("relevance").alias("doc_id", "grade")).select("query_id", "doc_id", F.col("grade").cast("int"))
 
 
+def judgements(rows: DataFrame) -> DataFrame:
+    """(query_id, doc_id, grade) of rows (query_id, relevance, metadata), both JSON texts.
+
+    A row's own relevance wins over the one in its metadata; none in either, or a JSON null, judges
+    nothing. A list grades by place, as `judgements_from_lists`, a map by its numbers; anything else is an error.
+    """
+    given = lambda x: F.nullif(F.nullif(F.trim(x), F.lit("null")), F.lit(""))
+    text = F.coalesce(given(F.col("relevance")), given(F.get_json_object("metadata", "$.relevance")))
+    known = rows.select("query_id", text.alias("text")).where("text is not null")
+    wrong = F.raise_error(F.concat(F.lit("relevance of query "), F.col("query_id").cast("string"), F.lit(" is neither a list nor a map")))
+    is_list, is_map = F.startswith("text", F.lit("[")), F.startswith("text", F.lit("{"))
+    # Each form is read inside its own branch, so that no order of filters meets the error of the other.
+    read = lambda mine, kind: F.when(F.coalesce(mine, F.lit(False)), F.coalesce(F.from_json("text", kind), wrong.cast(kind)))
+    other = F.when(F.col("text").isNotNull() & ~is_list & ~is_map, wrong)
+    forms = known.select("query_id", read(is_list, "array<string>").alias("listed"), read(is_map, "map<string,int>").alias("mapped"), other.alias("other")).where("other is null")
+    lists = judgements_from_lists(forms.where("listed is not null").select("query_id", F.col("listed").alias("relevance")))
+    return lists.unionByName(judgements_from_maps(forms.where("mapped is not null").select("query_id", F.col("mapped").alias("relevance"))))
+
+
 def known_only(qrels: DataFrame, documents: DataFrame) -> DataFrame:
     """Judgements of documents that are there, by their own ids; others don't count anywhere."""
     names = documents.select(F.coalesce("source_id", F.col("doc_id").cast("string")).alias("name"), F.col("doc_id").alias("own"))

@@ -34,6 +34,14 @@ def t03_appended_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.appended(rows.where("role <> 'assistant'"), new).select("thread_id", "sequence_num", F.md5("content").alias("content_md5"))
 
 
+@query(_M + " SELECT thread_id, max(created_at) AS updated_at FROM v_messages GROUP BY thread_id HAVING count(*) FILTER (role <> 'assistant') > 0")
+def t03_touched_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each thread was last active, after the assistant's messages have been appended."""
+    rows = view(spark, sf_dir, "v_messages")
+    threads = rows.where("role <> 'assistant'").groupBy("thread_id").agg(F.max("created_at").alias("updated_at"))
+    return c.touched(threads, rows.where("role = 'assistant'"))
+
+
 @query(_M + " SELECT thread_id, CASE WHEN trim(coalesce(content, '')) = '' THEN 'New chat' ELSE substr(replace(trim(content), chr(10), ' '), 1, 40) END AS title FROM v_messages WHERE sequence_num = 0")
 def t04_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_messages").where("sequence_num = 0").select("thread_id", c.title(F.col("content")).alias("title"))

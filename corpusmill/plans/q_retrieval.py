@@ -256,6 +256,21 @@ def v01_judgements_from_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.judgements_from_lists(lists)
 
 
+@query("""
+WITH l AS (SELECT doc_id % 97 AS query_id, array_agg(source ORDER BY doc_id) AS r FROM documents GROUP BY 1),
+x AS (SELECT query_id, len(r) AS n, unnest(r) AS doc_id, unnest(range(len(r))) AS pos FROM l)
+SELECT query_id, doc_id, CAST(CASE WHEN query_id % 3 = 2 THEN count(*) ELSE max(n - pos) END AS INTEGER) AS grade FROM x GROUP BY query_id, doc_id""")
+def v01_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance as a list, as a list in the metadata alone, and as a map beside another in the metadata."""
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("query_id"), "doc_id", "source")
+    lists = rows.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "source"))), lambda x: x["source"])).alias("listed"))
+    counts = rows.groupBy("query_id", "source").count().groupBy("query_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("source", "count")))).alias("counted"))
+    both, kind = lists.join(counts, "query_id"), F.col("query_id") % 3
+    in_metadata = lambda x: F.concat(F.lit('{"dataset": "d", "relevance": '), x, F.lit("}"))
+    own = F.when(kind == 0, F.col("listed")).when(kind == 2, F.col("counted"))
+    return ev.judgements(both.select("query_id", own.alias("relevance"), F.when(kind == 1, in_metadata("listed")).when(kind == 2, in_metadata("listed")).alias("metadata")))
+
+
 @query(duck("v_qrels") + " SELECT q.query_id, q.doc_id, q.grade FROM v_qrels q JOIN labels l ON l.doc_id = q.doc_id")
 def v02_known_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "labels").select("doc_id", F.lit(None).cast("string").alias("source_id"))

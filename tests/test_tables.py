@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import evaluation, intervals
+from corpusmill.operators import conversations, evaluation, intervals
 from corpusmill.sources import tables
 
 
@@ -89,3 +89,19 @@ def test_names_that_operators_use_inside(spark):
     assert [tuple(r) for r in tables.upsert(rows.where("nth = 1"), rows.where("nth = 2"), ["k"], "nth", "newest").collect()] == [(1, 2, "x")]
     data = spark.createDataFrame([("a", 0, 5), ("a", 5, 7)], "island string, s long, e long")
     assert [tuple(r) for r in intervals.merged(data, ["island"], "s", "e").collect()] == [("a", 0, 7, 2)]
+
+
+def test_judgements_of_all_forms(spark):
+    rows = [(1, '["a", "", "b", null, "a"]', None), (2, None, '{"relevance": {"x": 3, "y": 0}}'), (3, '{"p": 2}', '{"relevance": ["q"]}'), (4, None, '{"other": 1}'), (5, "null", None), (6, "[]", '{"relevance": ["q"]}')]
+    kind = "query_id long, relevance string, metadata string"
+    out = sorted(tuple(r) for r in evaluation.judgements(spark.createDataFrame(rows, kind)).collect())
+    assert out == [(1, "a", 3), (1, "b", 2), (2, "x", 3), (2, "y", 0), (3, "p", 2)]
+    for wrong in ('"text"', "7", "[1", '{"a"'):
+        with pytest.raises(Exception, match="neither a list nor a map"):
+            evaluation.judgements(spark.createDataFrame([(9, wrong, None)], kind)).collect()
+
+
+def test_touched_threads(spark):
+    threads = spark.createDataFrame([(1, 10, "t"), (2, 20, "u"), (3, None, "v")], "thread_id int, updated_at int, name string")
+    new = spark.createDataFrame([(1, 12), (1, 11), (2, 5), (3, 7), (9, 9)], "thread_id int, created_at int")
+    assert sorted(map(tuple, conversations.touched(threads, new).collect())) == [(1, 12, "t"), (2, 20, "u"), (3, 7, "v")]
