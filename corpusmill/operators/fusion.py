@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as t
 from corpusmill.operators.text_search import COVER, postings, text_top_k
 from corpusmill.operators.vector_search import vector_top_k
+from corpusmill.plans.staging import staged
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,8 @@ def with_documents(found: DataFrame, chunks: DataFrame, documents: DataFrame) ->
     """Text, snippet, document columns and citation, joined when only the results are left; and the path, where chunks have `metadata` as JSON."""
     path = [F.get_json_object("metadata", "$.path").alias("path")] if "metadata" in chunks.columns else []
     texts = chunks.select("chunk_id", "document_id", "text", *path)
-    rows = found.join(texts, "chunk_id").join(documents, "document_id")
+    # Written first, so that Spark knows how few results there are and sends them to the texts, not the texts to them.
+    rows = staged(found).join(texts, "chunk_id").join(documents, "document_id")
     return rows.withColumns({"snippet": t.snippet(F.col("text")), "citation": t.citation(F.col("title"), F.col("journal_ref"), F.col("doi_url"))})
 
 

@@ -15,6 +15,7 @@ from corpusmill.operators import lookup
 from corpusmill.operators import text_search as ts
 from corpusmill.operators import vector_search as vs
 from corpusmill.plans.registry import query
+from corpusmill.plans.staging import staged
 from corpusmill.plans.views import duck, table, view
 
 _WORD = r"[\p{L}\p{M}\p{N}_]+"
@@ -195,7 +196,8 @@ s AS (SELECT query_id, chunk_id, fused_rank, round(len(list_intersect(a, b))::DO
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, queries = _texts(spark, sf_dir), _queries(spark, sf_dir)
-    return _found(spark, sf_dir).join(texts.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    # The few results are written before they meet the texts, and again with them, as scores and order both use them.
+    return staged(staged(_found(spark, sf_dir)).join(texts.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id"))
 
 
 @query(_FUSED + _RERANK + " SELECT query_id, chunk_id, relevance_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, fused_rank) AS INTEGER) AS relevance_rank FROM s")
