@@ -354,7 +354,7 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_pipeline_keeps_the_least_content_hash_of_an_id(spark):
