@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,20 @@ _FORMULAS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.S
 
 
 def _formulas(batches: Iterator[pa.RecordBatch], text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
+    """Spans go from text to text into arrays of numbers: as objects, a batch's would take a hundred times its size."""
+    kinds = pa.array(["inline", "display"])
     for batch in batches:
-        found = [None if x is None else [{"kind": k, "first": a, "last": b} for k, spans in (("inline", sp.inline_math(x)), ("display", sp.block_math(x))) for a, b in spans] for x in batch.column(text).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names)
+        spans, sizes, null = [], [], []
+        for x in batch.column(text).to_pylist():
+            own = [np.fromiter(chain.from_iterable(found), np.int32).reshape(-1, 2) for found in (() if x is None else (sp.inline_math(x), sp.block_math(x)))]
+            spans += own
+            sizes += [len(s) for s in own] or [0, 0]
+            null.append(x is None)
+        first, last = np.concatenate([*spans, np.zeros((0, 2), np.int32)]).T.copy()
+        number = np.repeat(np.arange(len(sizes), dtype=np.int32) % 2, sizes)
+        bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)[1::2]]), pa.int32(), mask=np.array([*null, False]))
+        found = pa.StructArray.from_arrays([kinds.take(pa.array(number)), pa.array(first), pa.array(last)], ["kind", "first", "last"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(bounds, found)], names)
 
 
 def math_spans(rows: DataFrame, text: str, name: str = "spans") -> DataFrame:

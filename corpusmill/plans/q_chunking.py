@@ -95,9 +95,11 @@ def k09_math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.translate("text", "$\\", "")
     text = F.concat(F.replace(bare, F.lit(" "), F.lit(" $a$ ")), F.lit("\n$$x\n\ny$$\n\\[ z \\] \n $$ open"))
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.alias("text"))
-    found = math_spans(text_batches(rows), "text").withColumn("s", F.explode("spans"))
-    count = lambda kind: F.count_if(F.col("s.kind") == kind)
-    return found.groupBy("doc_id").agg(count("inline").alias("inline"), count("display").alias("display"), F.sum(F.when(F.col("s.kind") == "display", F.col("s.last") - F.col("s.first"))).cast("long").alias("display_signs"))
+    found = math_spans(text_batches(rows), "text")
+    display = F.filter("spans", lambda s: s["kind"] == "display")
+    found = found.select("doc_id", F.size("spans").cast("long").alias("all"), F.transform(display, lambda s: (s["last"] - s["first"]).cast("long")).alias("sizes"))
+    shown = F.size("sizes").cast("long")
+    return found.select("doc_id", (F.col("all") - shown).alias("inline"), shown.alias("display"), F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("display_signs"))
 
 
 @query("""
