@@ -1,5 +1,6 @@
 """What must stay small, or keep its results, as tables and texts grow."""
 
+import time
 import tracemalloc
 
 import pyarrow as pa
@@ -29,3 +30,11 @@ def test_rows_that_share_an_id_have_formulas_of_their_own(spark, tmp_path):
     sf = written(spark, tmp_path, "documents", [(1, "a b c"), (1, "a"), (2, None), (3, "")], "doc_id long, text string")
     found = sorted(tuple(r) for r in queries()["k09_math_spans"](spark, sf).collect())
     assert found == [(1, 0, 2, 15), (1, 2, 2, 15), (3, 0, 2, 15)]
+
+
+def test_span_tokens_of_a_long_text(spark, tmp_path):
+    sf = written(spark, tmp_path, "documents", [(1, "ab c " * 200_000), (2, "one two three four"), (3, "")], "doc_id long, text string")
+    begun = time.monotonic()
+    found = {r.doc_id: r.tokens for r in queries()["k07_span_tokens"](spark, sf).collect()}
+    assert found == {1: 100_000, 2: 2}
+    assert time.monotonic() - begun < 60
