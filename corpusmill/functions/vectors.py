@@ -29,6 +29,12 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """`x` rounded, where a negative number that becomes zero stays a negative zero, as floating-point rounding has it."""
+    short = F.round(x, digits)
+    return F.when(short == 0, x * 0.0).otherwise(short)
+
+
 def checked(v: Column, size: int) -> Column:
     """The vector, or an error if it has another size."""
     return F.when(F.size(v) == size, v).otherwise(F.raise_error(F.concat(F.lit(f"expected {size} dimensions, found "), F.size(v))))

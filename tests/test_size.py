@@ -1,5 +1,6 @@
 """What must stay small, or keep its results, as tables and texts grow."""
 
+import math
 import time
 import tracemalloc
 
@@ -38,3 +39,13 @@ def test_span_tokens_of_a_long_text(spark, tmp_path):
     found = {r.doc_id: r.tokens for r in queries()["k07_span_tokens"](spark, sf).collect()}
     assert found == {1: 100_000, 2: 2}
     assert time.monotonic() - begun < 60
+
+
+def test_numbers_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    rows = [(1, [-1e-8, 1e-8, 0.0, 1.0], 7), (2, [0.0, -0.0, None, -2.0], 8)]
+    sf = written(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    signed = lambda v: [x if x is None else math.copysign(abs(x) + 1, x) for x in v]
+    found = {r.vec_id: signed(r.unit) for r in queries()["e03_unit_vectors"](spark, sf).collect()}
+    assert found[1] == [-1.0, 1.0, 1.0, 2.0]
+    sf = written(spark, tmp_path / "means", "embeddings", rows[:1], "vec_id long, embedding array<float>, label int")
+    assert [signed(r["mean"]) for r in queries()["e04_mean_vectors"](spark, sf).collect()] == [[-1.0, 1.0, 1.0, 2.0]]
