@@ -4,10 +4,12 @@ import math
 import time
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
 from __spark_entry__ import queries
 from corpusmill.operators import parts
+from corpusmill.operators import vector_search as vs
 
 
 def written(spark, folder, name, rows, schema):
@@ -49,3 +51,19 @@ def test_numbers_that_round_to_zero_keep_their_sign(spark, tmp_path):
     assert found[1] == [-1.0, 1.0, 1.0, 2.0]
     sf = written(spark, tmp_path / "means", "embeddings", rows[:1], "vec_id long, embedding array<float>, label int")
     assert [signed(r["mean"]) for r in queries()["e04_mean_vectors"](spark, sf).collect()] == [[-1.0, 1.0, 1.0, 2.0]]
+
+
+def test_a_search_holds_one_pair_of_blocks_at_a_time_and_remembers_what_is_near():
+    rng = np.random.default_rng(3)
+    q, blocks = rng.normal(size=(4, 8)), rng.normal(size=(500, 64, 8))
+    ids = np.arange(500 * 64).reshape(500, 64)
+    columns = {"ids": [x.tobytes() for x in ids], "data": [x.tobytes() for x in blocks], "q_ids": [np.arange(4).tobytes()] * 500, "q_data": [q.tobytes()] * 500}
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns.values()], list(columns))
+    tracemalloc.start()
+    given = [(r["query_id"], r["distance"], r["chunk_id"]) for out in vs._nearest(iter([batch]), 10) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(given) < 500 * 4 * 10 / 10 and peak < 1_500_000
+    away = vs._distances(q @ blocks.reshape(-1, 8).T, q, np.linalg.norm(blocks.reshape(-1, 8), axis=1))
+    for k in range(4):
+        assert [c for _, _, c in sorted(g for g in given if g[0] == k)[:10]] == np.lexsort((np.arange(500 * 64), away[k]))[:10].tolist()
