@@ -4,10 +4,11 @@ import math
 import time
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
-from __spark_entry__ import queries
+from __spark_entry__ import oracle_sql, queries
 from corpusmill.operators import parts
 from corpusmill.operators import vector_search as vs
 
@@ -67,3 +68,15 @@ def test_a_search_holds_one_pair_of_blocks_at_a_time_and_remembers_what_is_near(
     away = vs._distances(q @ blocks.reshape(-1, 8).T, q, np.linalg.norm(blocks.reshape(-1, 8), axis=1))
     for k in range(4):
         assert [c for _, _, c in sorted(g for g in given if g[0] == k)[:10]] == np.lexsort((np.arange(500 * 64), away[k]))[:10].tolist()
+
+
+def test_search_in_a_data_set_as_in_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vs, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)], i % 3 if i % 11 else 5) for i in range(300)] + [(400, [0.0] * 3, 1), (420, [0.0] * 3, 5), (421, None, 5), (440, [1.0] * 3, 6)]
+    sf = written(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet/*.parquet'")
+    plain = lambda rs: sorted((q, c, "none" if d is None else str(d + 0.0), r) for q, c, d, r in rs)
+    found = queries()["r07_vector_top_k_in_dataset"](spark, sf)
+    assert plain(map(tuple, found.collect())) == plain(db.execute(oracle_sql()["r07_vector_top_k_in_dataset"]).fetchall())
