@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from __spark_entry__ import oracle_sql, queries
-from corpusmill.operators import parts
+from corpusmill.operators import embedding, parts
 from corpusmill.operators import vector_search as vs
 
 
@@ -54,6 +54,25 @@ def test_numbers_that_round_to_zero_keep_their_sign(spark, tmp_path):
     assert [signed(r["mean"]) for r in queries()["e04_mean_vectors"](spark, sf).collect()] == [[-1.0, 1.0, 1.0, 2.0]]
 
 
+def test_group_similarity_holds_one_pair_of_blocks_at_a_time():
+    rng = np.random.default_rng(1)
+    block = [{"id": i, "v": v} for i, v in enumerate(rng.normal(size=(100, 16)).astype(np.float32).tolist())]
+    side = pa.array([block] * 60, pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float32()))])))
+    numbers = pa.array(range(60), pa.int32())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, pa.array([99] * 60, pa.int32()), side, side], ["by", "i", "j", "left", "right"])
+    tracemalloc.start()
+    assert sum(out.num_rows for out in embedding._products(iter([batch]))) == 60 * 2 * 100 * 100
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000
+
+
+def test_similarities_that_round_to_zero_keep_their_sign(spark):
+    data = spark.createDataFrame([(1, 7, [1.0, 0.0]), (2, 7, [-1e-8, 1.0]), (3, 7, [1e-8, 1.0])], "id long, label int, v array<float>")
+    out = {(r.a, r.b): math.copysign(1, r.similarity) for r in embedding.group_similarity(data, "label", "id", "v").collect()}
+    assert out[1, 2] == out[2, 1] == -1 and out[1, 3] == 1
+
+
 def test_a_search_holds_one_pair_of_blocks_at_a_time_and_remembers_what_is_near():
     rng = np.random.default_rng(3)
     q, blocks = rng.normal(size=(4, 8)), rng.normal(size=(500, 64, 8))
