@@ -14,8 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Fixed value: words and single signs.
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+# What words consist of and what parts tokens; any other character is a token of its own.
+_WORD, _BLANK = re.compile(r"\w+"), re.compile(r"\s+")
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For every code point: 0 for white space, 1 inside words, 2 for single signs, as `re` has them."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(len(every), 2, np.uint8)
+    for kind, pattern in enumerate((_BLANK, _WORD)):
+        for m in pattern.finditer(every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
 
 
 class Tokenizer(Protocol):
@@ -32,8 +43,9 @@ class Words:
     name = "words"
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = np.array([m.span() for m in _TOKEN.finditer(text)], np.int64).reshape(-1, 2)
-        return found[:, 0], found[:, 1]
+        kinds = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        edges, signs = np.diff((kinds == 1).astype(np.int8), prepend=0, append=0), kinds == 2
+        return np.flatnonzero(signs | (edges[:-1] == 1)), np.flatnonzero(signs | (edges[1:] == -1)) + 1
 
 
 @functools.lru_cache(4)

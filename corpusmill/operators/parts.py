@@ -57,8 +57,9 @@ def _measure(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer, max_tokens
     for batch in batches:
         counts, found = [], []
         for text in batch.column("text").to_pylist():
-            counts.append(len(tokenizer.spans(text)[0]) if text else 0)
-            found.append(sp.Splitter(text, tokenizer).borders() if counts[-1] > max_tokens else None)
+            spans = tokenizer.spans(text) if text else ([], [])
+            counts.append(len(spans[0]))
+            found.append(sp.Splitter(text, tokenizer, spans).borders() if counts[-1] > max_tokens else None)
         rows = [f for f in found if f is not None]
         column = lambda name, kind: pa.array(np.concatenate([r[name] for r in rows]) if rows else np.zeros(0), kind)  # noqa: E731, B023
         parts = [column(n, pa.int32()) for n in _NUMBERS] + [column(n, pa.bool_()) for n in sp.SIGNS]

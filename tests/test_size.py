@@ -1,6 +1,7 @@
 """What must stay small, or keep its results, as tables and texts grow."""
 
 import math
+import re
 import time
 import tracemalloc
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 from __spark_entry__ import oracle_sql, queries
+from corpusmill.functions.tokenizers import Words
 from corpusmill.operators import embedding, parts
 from corpusmill.operators import vector_search as vs
 
@@ -99,3 +101,23 @@ def test_search_in_a_data_set_as_in_sql(spark, tmp_path, monkeypatch):
     plain = lambda rs: sorted((q, c, "none" if d is None else str(d + 0.0), r) for q, c, d, r in rs)
     found = queries()["r07_vector_top_k_in_dataset"](spark, sf)
     assert plain(map(tuple, found.collect())) == plain(db.execute(oracle_sql()["r07_vector_top_k_in_dataset"]).fetchall())
+
+
+def test_words_are_found_as_by_their_pattern():
+    every = "".join(map(chr, range(0x110000)))
+    for text in ("", " ", "a", "a_1 b-c\n\x1cé\u0301 x", every, "".join(np.random.default_rng(4).permutation(list(every[:0x3000])))):
+        first, last = Words().spans(text)
+        assert list(zip(first.tolist(), last.tolist())) == [m.span() for m in re.finditer(r"\w+|[^\w\s]", text)]
+
+
+def test_tokens_of_a_text_are_found_once():
+    class Counted(Words):
+        calls = 0
+
+        def spans(self, text):
+            Counted.calls += 1
+            return super().spans(text)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["One two. " * 300, "short", "", None])], ["text"])
+    (out,) = parts._measure(iter([batch]), Counted(), 256, ["text", "tokens", "borders"])
+    assert out.column("tokens").to_pylist() == [900, 1, 0, 0] and Counted.calls == 2
