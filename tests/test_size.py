@@ -12,6 +12,7 @@ import pyarrow as pa
 from __spark_entry__ import oracle_sql, queries
 from corpusmill.functions.tokenizers import Words
 from corpusmill.operators import embedding, parts
+from corpusmill.operators import text_search as ts
 from corpusmill.operators import vector_search as vs
 
 
@@ -121,3 +122,11 @@ def test_tokens_of_a_text_are_found_once():
     batch = pa.RecordBatch.from_arrays([pa.array(["One two. " * 300, "short", "", None])], ["text"])
     (out,) = parts._measure(iter([batch]), Counted(), 256, ["text", "tokens", "borders"])
     assert out.column("tokens").to_pylist() == [900, 1, 0, 0] and Counted.calls == 2
+
+
+def test_places_are_ranked_in_many_tasks_however_few_their_bytes(spark):
+    asked = spark.createDataFrame([(1, "a b")], "query_id long, query string")
+    posted = ts.postings(spark.createDataFrame([(n, "a b x " * n) for n in range(1, 40)], "chunk_id long, text string"))
+    found = ts.ranked(asked, posted)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.chunk_id: r.rank for r in found.collect()} == {n: 2.0 * n - 1 for n in range(1, 40)}
