@@ -29,6 +29,12 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+@functools.cache
+def word_characters() -> np.ndarray:
+    """For every code point whether words consist of it."""
+    return _kinds() == 1
+
+
 class Tokenizer(Protocol):
     """`spans` gives first and end places, in characters and in order, of a text's tokens."""
 

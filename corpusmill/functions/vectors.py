@@ -24,9 +24,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """At length one; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    """At length one; a zero vector stays as it is. The length is taken once, not for every number."""
+    scaled = lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"), lambda s: scaled(F.sqrt(s)))
 
 
 def rounded(x: Column, digits: int) -> Column:

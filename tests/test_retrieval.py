@@ -2,8 +2,11 @@
 
 import os
 import random
+import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +71,40 @@ def test_each_batch_is_encoded_once_by_an_encoder_that_fails_at_random(spark, tm
     assert sorted(seen) == sorted(f"text{i}" for i in range(60))
 
 
+def test_small_batches_of_an_encoder_come_back_as_one():
+    """An encoder of one text at a time doesn't make a batch of Spark's out of each row."""
+    held = np.zeros((1, 2))
+
+    def encode(texts):
+        if texts == ["bad"]:
+            raise RuntimeError("no")
+        held[:] = [[len(texts[0]), float("nan") if texts == ["nan"] else 0]]
+        return held
+
+    frame = pa.RecordBatch.from_pydict({"id": [1, None, 3, 2**53 + 1], "text": ["a", "bad", "nan", "four"]})
+    out = list(embedding._encoded(iter([frame, frame.slice(0, 0)]), encode, 2, 1))
+    assert [x.num_rows for x in out] == [4, 0]
+    assert out[0].to_pydict() == {"id": [1, None, 3, 2**53 + 1], "embedding": [[1.0, 0.0], None, [3.0, None], [4.0, 0.0]], "error": [None, "RuntimeError: no", None, None]}
+
+
+def test_long_ids_beside_a_null_stay_whole(spark):
+    data = spark.createDataFrame([(None, "x"), (2**53 + 1, "x"), (2**53 + 3, "bad")], "id long, text string").coalesce(1)
+    good, rejects = embedding.embedded(data, lambda texts: np.ones((len(texts), 3 if texts == ["bad"] else 4)), 4, batch=1)
+    assert {(r.id, tuple(r.embedding)) for r in good.collect()} == {(None, (0.5,) * 4), (2**53 + 1, (0.5,) * 4)}
+    assert [tuple(r) for r in rejects.collect()] == [(2**53 + 3, "ValueError: expected (1, 4), found (1, 3)")]
+
+
+def test_default_encoder_counts_the_words_that_re_finds():
+    every = "".join(chr(i) + ("\n" if i % 3 else "") for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    texts = ["", " ", "Red red FOX_1", "ΣΟΦΟΣ\x1cΣ İI\u2028ß", "w" * 5000, every]
+    for text, found in zip(texts, embedding.hashed_features(8)(texts), strict=True):
+        want = np.zeros(8)
+        for word in re.findall(r"\w+", text.lower()):
+            h = zlib.crc32(word.encode())
+            want[h % 8] += 1 if h >> 31 else -1
+        assert np.array_equal(found, want)
+
+
 def test_pooling_of_what_cannot_be_pooled(spark):
     pool = lambda *vectors: embedding.mean_pooled(spark.createDataFrame([("g", v) for v in vectors], "g string, v array<double>"), ["g"], "v").collect()
     assert pool([1.0, 2.0], [3.0, 6.0])[0].mean == [2.0, 4.0]
