@@ -99,6 +99,29 @@ def test_rate_of_series_that_are_cut(many_tasks, windows):
     assert tasks > 8 and metrics.rate(series.where("false"), "counter").count() == 0
 
 
+def test_rate_by_the_clock_of_times_without_zone(spark):
+    rows = [(f"2024-03-10 {h:02}:{m:02}:00", h * 60 + m, float(h * 60 + m)) for h in range(5) for m in (0, 20, 40)] + [("1969-12-31 23:59:59.5", 9000, 1.0), ("1970-01-01 00:00:00.25", 9001, 4.0)]
+    series = spark.createDataFrame(rows, "t string, event_id long, counter double").selectExpr("'a' AS name", "CAST(t AS TIMESTAMP_NTZ) AS ts", "event_id", "counter")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        found = []
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            found.append({r.event_id: r.rate for r in metrics.rate(series, "counter", 3600).collect()})
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found[0] == found[1] and found[0][9001] == round(3 / 3600, 6)
+    # Each hour has the increases of its three samples and of the one an hour before; at midnight the counter began anew.
+    assert [found[0][m] for m in (120, 140, 160, 180)] == [round(80 / 3600, 6)] * 4
+
+
+def test_rate_of_samples_that_share_a_time_and_an_id(many_tasks):
+    rows = [("a", 60 * (k // 6), k // 6, float(k)) for k in range(600)]
+    series = many_tasks.createDataFrame(random.Random(3).sample(rows, len(rows)), "name string, s long, event_id long, counter double")
+    out = metrics.rate(series.select("name", F.timestamp_seconds("s").alias("ts"), "event_id", "counter").repartition(13), "counter", 60).collect()
+    assert {(r.event_id, r.rate) for r in out} == {(k, round((5 if k == 0 else 11 if k == 1 else 12) / 60, 6)) for k in range(100)}
+
+
 def test_places_across_ranges(spark):
     rng = random.Random(2)
     rows = [(rng.choice([None, 1, 1, 1, 1, 2, 3]), rng.randint(0, 50), k) for k in range(500)]
