@@ -8,12 +8,14 @@ import tracemalloc
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from corpusmill.functions.tokenizers import Words
 from corpusmill.operators import embedding, parts
 from corpusmill.operators import text_search as ts
 from corpusmill.operators import vector_search as vs
+from corpusmill.plans.staging import staged
 
 
 def written(spark, folder, name, rows, schema):
@@ -70,6 +72,24 @@ def test_group_similarity_holds_one_pair_of_blocks_at_a_time():
     assert peak < 3_000_000
 
 
+@pytest.mark.parametrize(("numbers", "strips"), [(1 << 22, 8), (40, 13)])
+def test_rows_of_a_large_group_are_moved_a_bounded_number_of_times(spark, monkeypatch, numbers, strips):
+    tables = []
+    monkeypatch.setattr(embedding, "staged", lambda df, *by: tables.append(staged(df, *by)) or tables[-1])
+    monkeypatch.setattr(embedding, "SIDE", 4)
+    monkeypatch.setattr(embedding, "NUMBERS", numbers, raising=False)
+    v = np.random.default_rng(5).normal(size=(260, 2))
+    v[7] = 0
+    label = lambda k: None if k < 3 else 1 if k < 5 else 2
+    data = spark.createDataFrame([(k, label(k), x) for k, x in enumerate(v.tolist())], "id long, label int, v array<double>")
+    out = {(r.label, r.a, r.b): r.similarity for r in embedding.group_similarity(data, "label", "id", "v").collect()}
+    with np.errstate(invalid="ignore"):
+        u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = lambda a, b: 1.0 if a == b else None if 7 in (a, b) else round(float(u[a] @ u[b]), 6)
+    assert out == {(label(a), a, b): near(a, b) for a in range(260) for b in range(260) if label(a) == label(b)}
+    assert tables[-1].where("by = 2").count() <= strips
+
+
 def test_similarities_that_round_to_zero_keep_their_sign(spark):
     data = spark.createDataFrame([(1, 7, [1.0, 0.0]), (2, 7, [-1e-8, 1.0]), (3, 7, [1e-8, 1.0])], "id long, label int, v array<float>")
     out = {(r.a, r.b): math.copysign(1, r.similarity) for r in embedding.group_similarity(data, "label", "id", "v").collect()}
