@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import embedding, fusion, text_search
+from corpusmill.operators import blocks, embedding, fusion, text_search
+from corpusmill.plans import q_retrieval
 
 TEXTS = ["red fox", "the red, red fox runs", "blue whale", "red whale and a blue fox", "", None, "fox red", "a big blue whale sings of red foxes", "rot"]
 ASKED = ["red fox", '"red fox"', "fox or whale", "whale -blue", 'blue -"big blue"', '"blue whale" or rot', " ", None, "unknown", "red OR  fox", 'fox "red red"']
@@ -36,6 +37,39 @@ def test_table_function_equals_the_operator(spark, p):
     assert (out or p.fused_k == 0) and all(r[2] != 3 for r in out)
 
 
+def test_table_function_over_many_blocks_equals_the_operator(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("aabbcdex"), rng.integers(0, 60))) for _ in range(120)]
+    chunks = [(int(i), None if i % 9 == 4 else 1, texts[i]) for i in rng.permutation(120)]
+    chunks = spark.createDataFrame(chunks, "chunk_id long, document_id long, text string").repartition(5)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(0, 140, 3)], "chunk_id long, embedding array<float>")
+    asked = ["a", "a b", "a b c d e", '"a b" x', "a b or c -x", "y or x a", '"x x" "a b"', '"a b c"', "none", "-a", 'b -"c d" "a a"']
+    queries = spark.createDataFrame([(i, t, [1.0, float(i % 3), -1.0]) for i, t in enumerate(asked)], "query_id long, query string, qvec array<float>")
+    queries.createOrReplaceTempView("asked")
+    fusion.register_hybrid_retrieve(spark, "found_by", chunks, vectors=vectors)
+    whole = chunks.join(vectors, "chunk_id", "left")
+    for k in (3, 50):
+        p = fusion.Params(k, k, 2 * k)
+        found = spark.sql(f"SELECT q.query_id, f.* FROM asked q, LATERAL found_by(q.query, q.qvec, {k}, {k}, {2 * k}) f").select("query_id", "chunk_id", "text_rank", "vector_rank", "rrf_score", "fused_rank")
+        assert sorted(found.collect()) == sorted(fusion.hybrid_retrieve(whole, queries, p).select(*found.columns).collect())
+
+
+def test_table_function_takes_texts_apart_once(spark, tmp_path):
+    spark.createDataFrame([(1, "red fox", "en", "s", 7), (20, "a fox", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0], 1), (20, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "red old fox")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = q_retrieval.r09_table_function(spark, str(tmp_path))
+    assert sorted((r.chunk_id, r.text_rank, r.vector_rank) for r in found.collect()) == [(1, 1, 2), (20, None, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(text") == 1
+
+
+def test_one_score_is_cut_by_ids_and_near_scores_are_kept():
+    ids, score = np.array([5, 3, 9, 1, 7, 2]), np.array([1.0, 1.0, 2.0, 1.0 - 4e-7, 0.5, 1.0])
+    assert [x.tolist() for x in blocks._best(ids, score, 2)] == [[9, 2, 3, 1], [2.0, 1.0, 1.0, 1.0 - 4e-7]]
+    assert [len(x) for x in blocks._best(ids, score, 0)] == [0, 0] and len(blocks._best(ids, score, 9)[0]) == 6
+
+
 def test_table_function_of_one_query(spark):
     chunks, _ = library(spark, np.random.default_rng(3))
     fusion.register_hybrid_retrieve(spark, "found_by", chunks, text_search.postings(chunks))
