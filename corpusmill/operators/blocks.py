@@ -7,16 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import terms
 from corpusmill.operators.text_search import COVER
 from corpusmill.operators.vector_search import _distances, _first
-from corpusmill.plans.staging import staged, text_batches
+from corpusmill.plans.staging import BATCH_BYTES, staged
 
 #: Words that a block holds before it is given; chunks that are added to it at once; what sets the places of one chunk apart from those of the next.
 WORDS, PART, APART = 1 << 19, 100, 1 << 32
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BLOCK = "block long, term string, ids binary, counts binary, places binary"
 #: What `covers` and `nearest` give.
 COVERS, NEAREST = "array<struct<chunk_id: bigint, rank: double>>", "array<struct<chunk_id: bigint, distance: double>>"
@@ -67,6 +68,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size, number = [], 0, number + 1
     if size:
         yield _block(held, number)
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def word_blocks(words: DataFrame) -> DataFrame:
@@ -74,7 +77,14 @@ def word_blocks(words: DataFrame) -> DataFrame:
 
     A chunk's words are all in one block, so what a block's chunks are worth is known from its rows.
     """
-    return text_batches(words).mapInArrow(_blocks, _BLOCK)
+    return words.mapInArrow(_blocks, _BLOCK)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches for rows that hold whole blocks or texts; a smaller setting stays."""
+    now = spark.conf.get(_LIMIT).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
 
 
 def _term(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

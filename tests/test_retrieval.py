@@ -64,6 +64,19 @@ def test_table_function_takes_texts_apart_once(spark, tmp_path):
     assert plan.count("regexp_extract_all(lower(text") == 1
 
 
+def test_blocks_are_bounded_whatever_the_session_sets(spark):
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.unset(key)
+        fusion.register_hybrid_retrieve(spark, "found_by", library(spark, np.random.default_rng(3))[0])
+        assert int(spark.conf.get(key)) == 4 << 20
+        spark.conf.set(key, "1024")
+        blocks.small_batches(spark)
+        assert spark.conf.get(key).removesuffix("b") == "1024"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_one_score_is_cut_by_ids_and_near_scores_are_kept():
     ids, score = np.array([5, 3, 9, 1, 7, 2]), np.array([1.0, 1.0, 2.0, 1.0 - 4e-7, 0.5, 1.0])
     assert [x.tolist() for x in blocks._best(ids, score, 2)] == [[9, 2, 3, 1], [2.0, 1.0, 1.0, 1.0 - 4e-7]]
